@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Numbers, lots, spans
+from .shared import Numbers, lots, spans, text_batches
 
 SPACE = "▁"
 NEVER = np.iinfo(np.int64).max
@@ -247,6 +247,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
     Null and empty texts get an empty list. Other columns stay as they are, a column named
     like `out` is replaced. Repeated rows are encoded alike. No shuffle.
     """
+    text_batches(df.sparkSession)
     schema = T.StructType([f for f in df.schema if f.name != out] + [T.StructField(out, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,6 +267,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
 
     Byte pieces that form no UTF-8 become one U+FFFD each; ids outside the vocabulary raise.
     """
+    text_batches(df.sparkSession)
     schema = T.StructType([f for f in df.schema if f.name != out] + [T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +279,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
             flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             step = a = 0
             while a < len(counts):
-                b = max(a + 1, int(np.searchsorted(ends, step + 1_000_000, "right")))
+                b = max(a + 1, int(np.searchsorted(ends, step + 500_000, "right")))
                 texts = tables.decode(flat[step : ends[b - 1]], counts[a:b])
                 yield _put(batch.slice(a, b - a), out, pa.array(texts, pa.string()))
                 a, step = b, int(ends[b - 1])

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: A word is a run of letters, digits and underscores, in lower case.
 WORD = re.compile(r"\w+")
 #: Texts are handled in lots of about so many characters, so that a task's memory doesn't follow its batch size.
-LOT_CHARS = 4_000_000
+LOT_CHARS = 1_500_000
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -34,6 +34,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Holds the batches that go to Python to so many rows, since texts are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) not in range(1, rows + 1):
+        spark.conf.set(key, str(rows))
+
+
 def held_out(doc_id: Column | str) -> Column:
     """True for rows whose crc32 of the id as text is divisible by 5; a null id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
