@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from . import mixing
+from .language import op9_language
+from .mixing import op7_mixing
 from .pieces import op2_sentencepiece
+from .quality import op8_quality
+from .sketches import op6_fingerprints
 
 QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op6_fingerprints": op6_fingerprints,
+    "op7_mixing": op7_mixing,
+    "op8_quality": op8_quality,
+    "op9_language": op9_language,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_mixing": mixing.SQL,
+}
