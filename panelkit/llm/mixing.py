@@ -97,7 +97,9 @@ def slots(plan: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SH
     p = p.withColumn("shards", shards).withColumn("pass", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / F.col("n")).cast("int"))))
     p = p.withColumn("here", F.least(F.col("n"), F.col("slots") - F.col("pass") * F.col("n")))
     p = p.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("here") - 1) / RUN).cast("long"))))
-    p = p.select("key", "pass", "n", "here", "run", "shards").repartition("key", "pass", "run")
+    # A given number of partitions: the rows are small, but each stands for RUN slots.
+    tasks = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    p = p.select("key", "pass", "n", "here", "run", "shards").repartition(tasks, "key", "pass", "run")
     p = p.withColumn("slot", F.explode(F.sequence(F.col("run") * RUN, F.least((F.col("run") + 1) * RUN, F.col("here")) - 1)))
     name = F.concat_ws("|", F.lit(seed), F.col("key"), F.col("pass"))
     return p.select("key", "pass", permuted(F.col("slot"), F.col("n"), name).alias("block"), (_number(F.concat_ws("|", F.lit("shard"), name, "slot"), 8) % F.col("shards")).alias("shard"))
