@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"\w+")
 #: Texts are handled in lots of about so many characters, so that a task's memory doesn't follow its batch size.
 LOT_CHARS = 1_500_000
+ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -34,11 +36,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+def text_batches(spark: SparkSession, rows: int = 250) -> None:
     """Holds the batches that go to Python to so many rows, since texts are long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) not in range(1, rows + 1):
-        spark.conf.set(key, str(rows))
+    if int(spark.conf.get(ROWS_PER_BATCH)) not in range(1, rows + 1):
+        spark.conf.set(ROWS_PER_BATCH, str(rows))
+
+
+@contextmanager
+def one_row_batches(spark: SparkSession) -> Iterator[None]:
+    """For jobs run inside: each row goes to Python by itself, as rows that are whole indexes must."""
+    before = spark.conf.get(ROWS_PER_BATCH)
+    spark.conf.set(ROWS_PER_BATCH, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(ROWS_PER_BATCH, before)
 
 
 def held_out(doc_id: Column | str) -> Column:
@@ -69,7 +81,7 @@ class Numbers(dict):
 
 
 class WordHashes(dict):
-    """Word -> 64-bit hash, kept up to a bound."""
+    """Word -> 64-bit hash of its lower case, kept up to a bound."""
 
     def __init__(self, most: int = 400_000):
         super().__init__()
@@ -78,7 +90,7 @@ class WordHashes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= self.most:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = self[word] = xxhash.xxh3_64_intdigest(word.lower())
         return h
 
     def of(self, words: list[str]) -> np.ndarray:
