@@ -1,0 +1,164 @@
+"""Secret scans with DataFrame operations only: patterns propose, a random forest removes false positives.
+
+A finding is described by the candidate's length, the transitions between the kinds of its
+characters, how much of it the corpus's own letter groups cover, the path it stands in and the
+words beside it. The forest is fitted on labelled findings: given ones, or those that the rules
+in `rule_labels` decide.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .shared import materialise
+
+#: A candidate: at least LEAST letters, digits and signs of the usual encodings.
+LEAST = 16
+CANDIDATE = rf"[A-Za-z0-9+/_\-]{{{LEAST},}}={{0,2}}"
+#: Forms that providers publish for their keys; a candidate of such a form is a labelled secret.
+FORMS = r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36,}$|^xox[abpr]-[A-Za-z0-9\-]{10,}$|^sk_live_[A-Za-z0-9]{16,}$|^AIza[A-Za-z0-9_\-]{35}$"
+NAMES = r"(?i)(passw|pwd|secret|token|api.?key|access.?key|credential|auth|private.?key)"
+PLACEHOLDER = r"(?i)(example|sample|dummy|changeme|placeholder|your[_\-]|xxxx|0000|1234567)"
+TEST_PATH = r"(?i)(test|example|sample|fixture|demo)"
+#: Groups of three letters: the DICTIONARY most frequent ones, counted over the words of all documents.
+LETTERS, DICTIONARY = 26, 2000
+#: About so many labelled findings of either kind are fitted on at most, drawn by a hash of the finding.
+FIT_FINDINGS, TREES, DEPTH, SEED, MARK = 4000, 20, 6, 3, 0.5
+FEATURES = ("length", "transitions", "distinct", "digits", "uppers", "lowers", "signs", "hex_only", "coverage", "test_path", "name_before", "assigned", "name_after", "placeholder", "quoted")
+HIDDEN = "[SECRET]"
+
+
+def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
+    """doc_id, text_key, start (characters), candidate, path, before, after: one row for each candidate.
+
+    text_key tells rows with the same id apart. before and after hold the neighbouring words and the
+    rest of the candidate's own. Null texts have no candidates.
+    """
+    where = F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")
+    d = docs.select("doc_id", where.alias("path"), F.coalesce("text", F.lit("")).alias("t"))
+    d = d.select("doc_id", "path", F.xxhash64("t").alias("text_key"), F.split("t", r"\s").alias("w"))
+    long = F.filter(F.transform("w", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: (F.length(x["w"]) >= LEAST) & x["w"].rlike(CANDIDATE))
+    d = d.select("doc_id", "path", "text_key", "w", F.explode(long).alias("x"))
+    i = F.col("x.i")
+    word = lambda k: F.coalesce(F.get(F.col("w"), i + k), F.lit(""))
+    at = F.when(i > 0, F.aggregate(F.slice("w", F.lit(1), i), F.lit(0), lambda n, w: n + F.length(w) + 1)).otherwise(F.lit(0))
+    d = d.select("doc_id", "path", "text_key", at.alias("at"), F.concat_ws(" ", word(-3), word(-2), word(-1), F.lit("")).alias("b"), F.concat_ws(" ", F.lit(""), word(1), word(2)).alias("a"), F.split("x.w", CANDIDATE).alias("rest"), F.regexp_extract_all("x.w", F.lit(CANDIDATE), F.lit(0)).alias("found"))
+    d = d.select("*", F.posexplode("found").alias("k", "candidate"))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda n, w: n + F.length(w))
+    start = F.col("at") + total(F.slice("rest", F.lit(1), F.col("k") + 1)) + F.when(F.col("k") > 0, total(F.slice("found", F.lit(1), F.col("k")))).otherwise(F.lit(0))
+    return d.select("doc_id", "text_key", start.alias("start"), "candidate", "path", F.concat("b", F.get("rest", F.col("k"))).alias("before"), F.concat(F.get("rest", F.col("k") + 1), "a").alias("after"))
+
+
+def _places(text: Column) -> Column:
+    """Numbers, from 0 to LETTERS ** 3 - 1, of the groups of three letters in text; a group with other signs is null."""
+    low = F.lower(text)
+    letter = lambda i: F.ascii(F.substring(low, i, F.lit(1))) - 97
+
+    def number(i: Column) -> Column:
+        a, b, c = letter(i), letter(i + 1), letter(i + 2)
+        inside = a.between(0, 25) & b.between(0, 25) & c.between(0, 25)
+        return F.when(inside, (a * LETTERS + b) * LETTERS + c)
+
+    return F.when(F.length(text) >= 3, F.transform(F.sequence(F.lit(1), F.length(text) - 2), number)).otherwise(F.array().cast("array<int>"))
+
+
+def dictionary(docs: DataFrame) -> bytes:
+    """A byte for each group of three letters: 1 for the most frequent. All documents are counted; at most LETTERS ** 3 counts come back."""
+    words = docs.select(F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+")).alias("word")).filter(F.length("word").between(3, 60))
+    words = words.groupBy("word").agg(F.count("*").alias("n"))
+    groups = words.select("n", F.explode(_places(F.col("word"))).alias("g")).groupBy("g").agg(F.sum("n").alias("n"))
+    top = {r["g"] for r in groups.orderBy(F.desc("n"), "g").limit(DICTIONARY).collect()}
+    return bytes(int(g in top) for g in range(LETTERS**3))
+
+
+def described(found: DataFrame, known: bytes) -> DataFrame:
+    """Adds the columns FEATURES to findings: rows of candidate, before, after and path."""
+    c = F.col("candidate")
+    n = F.length(c)
+    kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0")
+    share = lambda pattern: F.length(F.regexp_replace(c, pattern, "")) / n
+    there = F.lit(bytearray(known))
+    groups = F.filter(_places(c), lambda g: g.isNotNull())
+    hits = F.size(F.filter(groups, lambda g: F.substring(there, g + 1, F.lit(1)) == F.lit(bytearray(b"\1"))))
+    flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
+    values = {
+        "length": F.least(n, F.lit(200)).cast("double"),
+        "transitions": (F.length(F.regexp_replace(kinds, r"(.)\1*", "x")) - 1) / n,
+        "distinct": F.size(F.array_distinct(F.split(c, ""))) / n,
+        "digits": share("[^0-9]"),
+        "uppers": share("[^A-Z]"),
+        "lowers": share("[^a-z]"),
+        "signs": share("[A-Za-z0-9]"),
+        "hex_only": flag(c.rlike("^([0-9a-f]+|[0-9A-F]+)$")),
+        "coverage": hits / F.greatest(n - 2, F.lit(1)),
+        "test_path": flag(F.col("path").rlike(TEST_PATH)),
+        "name_before": flag(F.col("before").rlike(NAMES)),
+        "assigned": flag(F.col("before").rlike(r"[=:]\s*[\"'`]?$")),
+        "name_after": flag(F.col("after").rlike(NAMES)),
+        "placeholder": flag(c.rlike(PLACEHOLDER)),
+        "quoted": flag(F.col("before").rlike("[\"'`]$")),
+    }
+    return found.withColumns(values)
+
+
+def rule_labels() -> Column:
+    """1 for candidates of a published form, or varied ones with digits that are assigned to a telling name; 0 for placeholders and plain words; else null."""
+    named = (F.col("name_before") == 1) & (F.col("assigned") == 1)
+    secret = F.col("candidate").rlike(FORMS) | named & (F.col("digits") >= 0.15) & (F.col("distinct") * F.col("length") >= 8)
+    plain = (F.col("placeholder") == 1) | (F.col("digits") == 0) & (F.col("coverage") >= 0.5) & ~named
+    return F.when(plain, 0.0).when(secret, 1.0)
+
+
+def fitted(labelled: DataFrame, most: int = FIT_FINDINGS):
+    """The forest, from rows of FEATURES and label (0, 1, null: not used); None where a kind is missing."""
+    labelled = labelled.filter(F.col("label").isNotNull())
+    counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
+    if set(counts) != {0.0, 1.0}:
+        return None
+    lot = F.pmod(F.xxhash64(F.lit(SEED), "candidate", "before"), F.lit(1 << 30)) / float(1 << 30)
+    rows = labelled.filter(F.when(F.col("label") == 1, lot < most / counts[1.0]).otherwise(lot < most / counts[0.0]))
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows.orderBy("candidate", "before")).select("features", "label")
+    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(materialise(rows, "secret-fit"))
+
+
+def findings(docs: DataFrame, path: str = "source", labelled: DataFrame | None = None) -> DataFrame:
+    """doc_id, text_key, start, length, candidate, score, one row for each finding that the forest takes for a secret.
+
+    labelled: findings (candidate, before, after, path, label) to learn from; without them the
+    corpus's own findings are labelled by rules. Where one kind of label is missing, the rules decide
+    alone. Repeated rows give repeated findings, an empty table gives none.
+    """
+    known = dictionary(docs)
+    found = materialise(described(candidates(docs, path), known), "secret-findings")
+    forest = fitted(found.withColumn("label", rule_labels()) if labelled is None else described(labelled, known).withColumn("label", F.col("label").cast("double")))
+    if forest is None:
+        scored = found.withColumn("score", F.coalesce(rule_labels(), F.lit(0.0)))
+    else:
+        rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found)
+        scored = forest.transform(rows).withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
+    return scored.filter(F.col("score") >= MARK).select("doc_id", "text_key", "start", F.length("candidate").alias("length"), "candidate", "score")
+
+
+def redacted(docs: DataFrame, path: str = "source") -> DataFrame:
+    """docs with every secret in `text` replaced by HIDDEN; n_chars, where there is one, follows. No row is dropped."""
+    docs = materialise(docs, "secret-docs")
+    hits = findings(docs, path).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("_hits"))
+    hits = hits.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_hits")
+    d = docs.withColumn("_text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    j = d.join(hits, d["doc_id"].eqNullSafe(hits["_id"]) & (d["_text_key"] == hits["_key"]), "left")
+    begins = F.concat(F.array(F.lit(0)), F.transform("_hits", lambda h: h["start"] + h["length"]))
+    ends = F.concat(F.transform("_hits", lambda h: h["start"]), F.array(F.length("text")))
+    clean = F.array_join(F.transform(F.arrays_zip(begins.alias("b"), ends.alias("e")), lambda x: F.substring(F.col("text"), x["b"] + 1, x["e"] - x["b"])), HIDDEN)
+    j = j.withColumn("text", F.when(F.col("_hits").isNull(), F.col("text")).otherwise(clean))
+    if "n_chars" in docs.columns:
+        j = j.withColumn("n_chars", F.when(F.col("_hits").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return j.select(*docs.columns)
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = findings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "start", "length", F.sha2(F.col("candidate").cast("binary"), 256).alias("secret_sha256"), "score")
