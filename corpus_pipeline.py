@@ -3,8 +3,39 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from panelkit.llm import mixing, near, pieces, quality, secrets
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier passes, whatever their language or source."""
+    machine = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.scored(docs, machine, "_quality").filter(F.col("_quality") >= quality.PASS_MARK).select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates, that with the least id."""
+    return near.deduplicated(docs)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the secrets in their texts replaced."""
+    return secrets.redacted(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix takes: a row for each document and pass over its source."""
+    return mixing.mixed_documents(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, lang, ids, n_tokens of every row: its whole text as pieces."""
+    ids = pieces.encode(docs.select("doc_id", "source", "lang", "text"), pieces.vocabulary())
+    return ids.select("doc_id", "source", "lang", "ids", F.size("ids").cast("long").alias("n_tokens"))
+
+
+STAGES = [("quality", good_quality), ("near_dedup", one_of_each), ("secrets", without_secrets), ("mixing", mixed), ("sentencepiece", encoded)]
 
 #: Learned scores, sketches and a merge-based tokenizer take part: SQL can't express the rows.
 ORACLE_SQL = None
