@@ -154,30 +154,36 @@ def linked(nodes: DataFrame, texts: DataFrame, width: int = WIDTH, like: float =
     bucket is left out and groups of copies cost one comparison for each member.
     """
     held = nodes.select("node", F.explode("bands").alias("bucket"))
-    many = held.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    members = materialise(held.join(many, "bucket").withColumn("label", F.col("node")), "near-members")
+    many = held.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    members = held.join(many, "bucket").withColumn("label", F.col("node"))
+    # Central texts meet others in more buckets: compared first, they connect most of their group at once.
+    members = materialise(members, "near-members")
+    met = members.groupBy("node").agg(F.sum("n").alias("met"))
+    members = materialise(members.drop("n").join(met, "node"), "near-members")
     texts = materialise(texts.join(members.select("node").distinct(), "node").dropDuplicates(["node"]), "near-texts")
-    links, labels, hubs = None, None, 1
+    links, labels, tested, hubs = None, None, None, 1
     while True:
         if hubs == 1:
-            lead = members.groupBy("bucket").agg(F.min("node").alias("hub")).withColumn("hub_label", F.col("hub"))
+            lead = members.groupBy("bucket").agg(F.max(F.struct("met", "node"))["node"].alias("hub")).withColumn("hub_label", F.col("hub"))
         else:  # members of the parts that are smallest in their bucket come first
             parts = members.groupBy("bucket", "label").agg(F.count("*").alias("size"))
-            turn = F.row_number().over(Window.partitionBy("bucket").orderBy("size", "label", "node"))
+            turn = F.row_number().over(Window.partitionBy("bucket").orderBy("size", "label", F.desc("met"), "node"))
             lead = members.join(parts, ["bucket", "label"]).withColumn("turn", turn).filter(F.col("turn") <= hubs)
             lead = lead.select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label"))
         pairs = members.join(lead, "bucket").filter("label <> hub_label")
         pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
         found = materialise(verified(pairs, texts, width, like), "near-found")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
         left = members.drop("label").join(lead.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti")
         left = left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         split = left.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
-        members = materialise(left.join(split, "bucket").select("bucket", "node", "label"), "near-members")
+        members = materialise(left.join(split, "bucket").select("bucket", "node", "label", "met"), "near-members")
         if not members.limit(1).count():
             return labels
-        hubs *= 16
+        hubs *= 4
 
 
 def _classed(feats: DataFrame, width: int, like: float) -> DataFrame:
