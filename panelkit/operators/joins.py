@@ -23,7 +23,7 @@ def merge_daily(products: list[DataFrame], keys: tuple[str, ...] = ("Grid_ID", "
 def join_static(df: DataFrame, static: DataFrame, key: str = "Grid_ID", order: str | None = None) -> DataFrame:
     """Left join with one row of static for each key, the least by `order`."""
     columns = [c for c in static.columns if c != key]
-    rank = F.struct(order, *columns) if order else F.struct(*columns)
+    rank = F.struct(F.col(order).alias("_order"), *columns) if order else F.struct(*columns)
     one = static.groupBy(key).agg(F.min(rank).alias("_r")).select(key, *(F.col(f"_r.{c}").alias(c) for c in columns))
     return df.join(one, key, "left")
 

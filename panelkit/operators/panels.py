@@ -243,7 +243,7 @@ def importance(values: DataFrame, blocks: dict[str, list[str]]) -> DataFrame:
 
 def rasterise(points: DataFrame, value: str, alpha: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """ix, iy, value, alpha: points binned by the median gap between neighbours of a row (and of a column), averaged in each bin."""
-    gap = lambda along, across: points.select(along, across).distinct().withColumn("_g", F.col(along) - F.lag(along).over(Window.partitionBy(across).orderBy(along))).agg(F.percentile("_g", 0.5))
+    gap = lambda along, across: points.select(along, across).distinct().withColumn("_g", F.col(along) - F.lag(along).over(Window.partitionBy(across).orderBy(along))).agg(F.coalesce(F.percentile("_g", 0.5), F.lit(1.0)))
     steps = gap(lon, lat).toDF("dx").join(F.broadcast(gap(lat, lon).toDF("dy"))).join(F.broadcast(points.agg(F.min(lon).alias("x0"), F.min(lat).alias("y0"))))
     p = points.join(F.broadcast(steps))
     ix, iy = F.round((F.col(lon) - F.col("x0")) / F.col("dx")).cast("int"), F.round((F.col(lat) - F.col("y0")) / F.col("dy")).cast("int")

@@ -78,7 +78,7 @@ def score(df: DataFrame, y: str = "y", p: str = "p", by: list[str] | None = None
     two = (F.col("_pos") > 0) & (neg > 0)
     prev = F.col("_pos") / F.col("n")
     brier = F.col("_se") / F.col("n")
-    return agg.select(*by, F.col("n"), prev.alias("prevalence"), F.when(two, F.col("_ap") / F.col("_pos")).alias("pr_auc"), F.when(two, F.col("_ap") / F.col("_pos") - prev).alias("pr_lift"), F.when(two, F.col("_area") / (F.col("_pos") * neg)).alias("roc_auc"), brier.alias("brier"), F.when(two, 1 - brier / (prev * (1 - prev))).alias("bss"))
+    return agg.select(*by, F.col("n").cast("double").alias("n"), prev.alias("prevalence"), F.when(two, F.col("_ap") / F.col("_pos")).alias("pr_auc"), F.when(two, F.col("_ap") / F.col("_pos") - prev).alias("pr_lift"), F.when(two, F.col("_area") / (F.col("_pos") * neg)).alias("roc_auc"), brier.alias("brier"), F.when(two, 1 - brier / (prev * (1 - prev))).alias("bss"))
 
 
 def reliability(df: DataFrame, y: str = "y", p: str = "p", bins: int = 10, by: list[str] | None = None) -> DataFrame:
