@@ -50,14 +50,13 @@ def _drawn(seed: int | str, key: list[str]) -> list[Column]:
 def stratified_sample(df: DataFrame, n: int, target: str, key: list[str], seed: int = 42) -> DataFrame:
     """About n rows with the classes' shares kept, at least one of each; exact sizes, by a hash of the key.
 
-    A class's rows are cut first to those whose hash lies below twice what is needed; where that
-    leaves too few, all are ranked.
+    No class needs more than n + 1 rows, so every task hands on at most as many of each.
     """
     sizes = df.groupBy(target).agg(F.count("*").alias("_n"))
     sizes = sizes.withColumn("_k", F.greatest(F.lit(1), F.round(n * F.col("_n") / F.sum("_n").over(Window.partitionBy())).cast("long")))
     d = df.join(F.broadcast(sizes), target)
     rank = F.row_number().over(Window.partitionBy(target).orderBy(*_drawn(seed, key)))
-    return d.withColumn("_r", rank).filter(F.col("_r") <= F.col("_k")).select(*df.columns)
+    return d.withColumn("_r", rank).filter(F.col("_r") <= n + 1).filter(F.col("_r") <= F.col("_k")).select(*df.columns)
 
 
 def sample_background(cells: DataFrame, years: list[int], weeks: list[int], exclude: DataFrame, n: int, seed: int = 42) -> DataFrame:
