@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .shared import WORD, Numbers, held_out, lots, materialise, text_batches
 
 #: The classifier is fitted on about so many labelled rows at most, drawn evenly by a hash of their ids.
-FIT_ROWS = 6000
+FIT_ROWS = 3000
 BUCKETS, RANK, SEED, PASS_MARK = 1 << 14, 8, 11, 0.3
 STATS = ("chars", "words", "word_length", "upper", "digits", "marks", "spaces", "lines", "distinct", "mark_runs", "pipes", "repeated_lines", "upper_words", "short_words", "line_length", "no_words")
 UPPER, LETTER, DIGIT, SPACE, MARK, LINE, PIPE = (1 << i for i in range(7))
@@ -105,7 +105,7 @@ class FactorisationMachine:
         return 1 / (1 + np.exp(-np.clip(self.margin(*features), -30, 30)))
 
 
-def fit(row: np.ndarray, col: np.ndarray, value: np.ndarray, stats: np.ndarray, label: np.ndarray, rank: int = RANK, epochs: int = 40, rate: float = 0.05, decay: float = 1e-4, seed: int = SEED) -> FactorisationMachine:
+def fit(row: np.ndarray, col: np.ndarray, value: np.ndarray, stats: np.ndarray, label: np.ndarray, rank: int = RANK, epochs: int = 15, rate: float = 0.05, decay: float = 1e-4, seed: int = SEED) -> FactorisationMachine:
     """Logistic loss, AdaGrad steps over small lots. row must be in ascending order."""
     rng, n, d = np.random.default_rng(seed), len(label), BUCKETS + stats.shape[1]
     prior = (label.sum() + 1) / (n + 2)
