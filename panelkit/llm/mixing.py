@@ -59,15 +59,18 @@ def _number(text: Column, digits: int) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, digits), 16, 10).cast("long")
 
 
-def permuted(x: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Column:
-    """Swap-or-not: a keyed permutation of 0 .. n - 1, whatever n is."""
-    keys = F.transform(F.sequence(F.lit(1), F.lit(rounds)), lambda r: _number(F.concat_ws("|", key, r), 12) % n)
+def round_keys(n: Column, key: Column, rounds: int = ROUNDS) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.lit(rounds)), lambda r: _number(F.concat_ws("|", key, r), 12) % n)
+
+
+def permuted(x: Column, n: Column, key: Column, keys: Column | None = None) -> Column:
+    """Swap-or-not: a keyed permutation of 0 .. n - 1, whatever n is. keys: round_keys(n, key), where rows share them."""
 
     def swap(at: Column, r: Column) -> Column:
         other = F.pmod(r["k"] - at, n)
         return F.when(F.substring(F.md5(F.concat_ws("|", key, r["r"], F.greatest(at, other)).cast("binary")), 1, 1) < "8", other).otherwise(at)
 
-    return F.aggregate(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("r"))), x, swap)
+    return F.aggregate(F.transform(round_keys(n, key) if keys is None else keys, lambda k, i: F.struct(k.alias("k"), i.alias("r"))), x, swap)
 
 
 def laid_out(sizes: DataFrame) -> DataFrame:
@@ -96,13 +99,14 @@ def slots(plan: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SH
     shards = F.greatest(F.lit(1), F.ceil(F.sum("slots").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) / shard_slots))
     p = p.withColumn("shards", shards).withColumn("pass", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / F.col("n")).cast("int"))))
     p = p.withColumn("here", F.least(F.col("n"), F.col("slots") - F.col("pass") * F.col("n")))
+    name = F.concat_ws("|", F.lit(seed), F.col("key"), F.col("pass"))
+    p = p.withColumn("name", name).withColumn("keys", round_keys(F.col("n"), name))
     p = p.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("here") - 1) / RUN).cast("long"))))
     # A given number of partitions: the rows are small, but each stands for RUN slots.
     tasks = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    p = p.select("key", "pass", "n", "here", "run", "shards").repartition(tasks, "key", "pass", "run")
+    p = p.select("key", "pass", "n", "here", "run", "shards", "name", "keys").repartition(tasks, "key", "pass", "run")
     p = p.withColumn("slot", F.explode(F.sequence(F.col("run") * RUN, F.least((F.col("run") + 1) * RUN, F.col("here")) - 1)))
-    name = F.concat_ws("|", F.lit(seed), F.col("key"), F.col("pass"))
-    return p.select("key", "pass", permuted(F.col("slot"), F.col("n"), name).alias("block"), (_number(F.concat_ws("|", F.lit("shard"), name, "slot"), 8) % F.col("shards")).alias("shard"))
+    return p.select("key", "pass", permuted(F.col("slot"), F.col("n"), F.col("name"), F.col("keys")).alias("block"), (_number(F.concat_ws("|", F.lit("shard"), "name", "slot"), 8) % F.col("shards")).alias("shard"))
 
 
 def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
