@@ -109,14 +109,14 @@ def slots(plan: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SH
     return p.select("key", "pass", permuted(F.col("slot"), F.col("n"), F.col("name"), F.col("keys")).alias("block"), (_number(F.concat_ws("|", F.lit("shard"), "name", "slot"), 8) % F.col("shards")).alias("shard"))
 
 
-def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix(docs: DataFrame, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The documents' sizes and places, the sources' targets, and the slots of the mix.
 
     Null texts and texts without words have size 0 and are never drawn; a null source is a
     source of its own; repeated rows lie one after another. An empty table gives empty results.
-    Texts are read once: what follows works on ids, sources and sizes.
+    Texts are read once: what follows works on ids, sources and sizes, and columns to keep.
     """
-    sizes = materialise(docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size")), "mix-sizes")
+    sizes = materialise(docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), *(keep or [])), "mix-sizes")
     plan = materialise(targets(sizes), "mix-targets")
     return laid_out(sizes), plan, slots(plan)
 
@@ -136,24 +136,22 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents: one row for each document and pass with the words that were drawn.
 
     Where all words of a document were drawn its text stays as it is; otherwise the drawn
-    ranges of words are joined by spaces. Documents without words aren't drawn. Columns stay.
+    ranges of words are joined by spaces. Documents without words aren't drawn. Columns stay;
+    rows that repeat id, source and text share the other columns of one of them. docs is read
+    twice, its texts are shuffled once: give a stored table.
     """
-    docs = materialise(docs, "mix-documents")
-    laid, _, drawn = mix(docs)
+    row = ["_id", "_key", "_hash"]
+    names = docs.columns
+    docs = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("_key", _source_key(F.col("source"))).withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    laid, _, drawn = mix(docs, ["_id", "_hash"])
     parts = blocks(laid).join(drawn.select("key", "block", "pass"), ["key", "block"])
-    ranges = parts.groupBy("key", "doc_id", "size", "start", "pass").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("ranges"), F.sum(F.col("last") - F.col("first")).alias("drawn"))
-    # Rows that repeat an id and its size lie in this order in both tables.
-    copy = Window.partitionBy("doc_id", "_key", "_size").orderBy
-    first = laid.filter("size > 0").select("doc_id", F.col("key").alias("_key"), F.col("size").alias("_size"), "start")
-    first = first.withColumn("_copy", F.row_number().over(copy("start")))
-    ranges = ranges.select("start", "pass", "ranges", "drawn", F.col("key").alias("_key")).join(first, ["_key", "start"])
-    full = docs.withColumn("_key", _source_key(F.col("source"))).withColumn("_words", words(F.col("text"))).withColumn("_size", F.size("_words").cast("long"))
-    full = full.withColumn("_copy", F.row_number().over(copy(F.xxhash64("text"))))
-    j = full.join(ranges.withColumnRenamed("doc_id", "_id"), (F.col("doc_id").eqNullSafe(F.col("_id"))) & (full["_key"] == ranges["_key"]) & (full["_size"] == ranges["_size"]) & (full["_copy"] == ranges["_copy"]))
-    cut = F.array_join(F.flatten(F.transform("ranges", lambda r: F.slice(F.col("_words"), (r["first"] + 1).cast("int"), (r["last"] - r["first"]).cast("int")))), " ")
-    text = F.when(F.col("drawn") == full["_size"], F.col("text")).otherwise(cut)
-    out = {c: F.col(c) for c in docs.columns} | {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
-    return j.select(*(v.alias(c) for c, v in out.items()))
+    ranges = parts.groupBy("_id", F.col("key").alias("_key"), "_hash", "size", "start", "pass").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_ranges"), F.sum(F.col("last") - F.col("first")).alias("_drawn"))
+    ranges = ranges.select(*row, F.col("size").alias("_size"), "_ranges", "_drawn")
+    one = docs.withColumn("_turn", F.row_number().over(Window.partitionBy(*row).orderBy(F.lit(0)))).filter("_turn = 1")
+    cut = F.array_join(F.flatten(F.transform("_ranges", lambda r: F.slice(words(F.col("text")), (r["first"] + 1).cast("int"), (r["last"] - r["first"]).cast("int")))), " ")
+    out = {c: F.col(c) for c in names} | {"text": F.when(F.col("_drawn") == F.col("_size"), F.col("text")).otherwise(cut)}
+    j = one.join(ranges, row).select(*(v.alias(c) for c, v in out.items()))
+    return j.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else j
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

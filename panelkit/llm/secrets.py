@@ -144,8 +144,10 @@ def findings(docs: DataFrame, path: str = "source", labelled: DataFrame | None =
 
 
 def redacted(docs: DataFrame, path: str = "source") -> DataFrame:
-    """docs with every secret in `text` replaced by HIDDEN; n_chars, where there is one, follows. No row is dropped."""
-    docs = materialise(docs, "secret-docs")
+    """docs with every secret in `text` replaced by HIDDEN; n_chars, where there is one, follows. No row is dropped.
+
+    docs is read three times: give a stored table.
+    """
     hits = findings(docs, path).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("_hits"))
     hits = hits.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_hits")
     d = docs.withColumn("_text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
