@@ -23,6 +23,10 @@ from .shared import WORD, WordHashes, lots, materialise, mixed, shingled, text_b
 WIDTH, LIKE = 5, 0.8
 #: At a similarity of 0.8 all bands differ with a probability of 3e-6.
 BANDS, ROWS = 24, 4
+#: A set's parity bitmap has so many bits; two bitmaps differ in no more bits than their sets in elements.
+BITS = 512
+#: Members of a bucket that are compared with all others in the second round.
+HUBS = 4096
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -74,9 +78,9 @@ class Shingler:
 
 
 def featured(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Adds _node (a 128-bit digest of the words, or of the text if it has none) and _bands, its bands' hashes."""
+    """Adds _node (a 128-bit digest of the words, or of the text if it has none), _bands (its bands' hashes), _size and _bits (its shingle set's size and parity bitmap)."""
     text_batches(docs.sparkSession)
-    schema = T.StructType([*docs.schema, T.StructField("_node", T.BinaryType()), T.StructField("_bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*docs.schema, T.StructField("_node", T.BinaryType()), T.StructField("_bands", T.ArrayType(T.LongType())), T.StructField("_size", T.IntegerType()), T.StructField("_bits", T.ArrayType(T.LongType()))])
     names, text = [f.name for f in schema], docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +97,10 @@ def featured(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int
                     weights.append(w)
                     per.append(len(s))
                 n = b - a
-                held = probminhash(np.concatenate(parts), np.concatenate(weights), np.repeat(np.arange(n), per), n, bands * rows)
+                every, of = np.concatenate(parts), np.repeat(np.arange(n), per)
+                held = probminhash(every, np.concatenate(weights), of, n, bands * rows)
+                odd = np.bincount(of * BITS + (every % np.uint64(BITS)).astype(np.int64), minlength=n * BITS) & 1
+                bits = np.packbits(odd.reshape(n, BITS).astype(np.uint8), axis=1).view(np.int64)
                 key = np.zeros((n, bands), np.uint64)
                 for r in range(rows):
                     key = mixed(key * GOLD + held.reshape(n, bands, rows)[:, :, r])
@@ -101,7 +108,8 @@ def featured(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int
                 some = np.array(per) > 0
                 ends = np.r_[0, np.cumsum(some * bands)].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(key[some].ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, n).columns, pa.array(nodes, pa.binary()), lists], names)
+                bitmaps = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (BITS // 64)), pa.array(bits.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, n).columns, pa.array(nodes, pa.binary()), lists, pa.array(per, pa.int32()), bitmaps], names)
 
     return docs.mapInArrow(run, schema)
 
@@ -148,12 +156,13 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, like: float
 def linked(nodes: DataFrame, texts: DataFrame, width: int = WIDTH, like: float = LIKE) -> DataFrame:
     """node, label of all nodes that are alike another one, directly or through others.
 
-    nodes: node, bands. In each bucket of equal bands a few hubs are compared with all other
-    members that aren't connected with them yet; hubs then leave, and buckets whose members
-    are all connected are done. Each round takes three times as many hubs, so no pair of a
-    bucket is left out and groups of copies cost one comparison for each member.
+    nodes: node, bands, size, bits. In each bucket of equal bands, hubs meet all other members that
+    aren't connected with them yet; hubs then leave, and buckets whose members are all connected
+    are done. First the most central member of each bucket is the hub, then up to HUBS others, then
+    more, so that no pair of a bucket is left out. A pair whose bitmaps differ in more bits than
+    the sets may in elements is no link, and isn't emitted.
     """
-    held = nodes.select("node", F.explode("bands").alias("bucket"))
+    held = nodes.select("node", "size", "bits", F.explode("bands").alias("bucket"))
     many = held.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = held.join(many, "bucket").withColumn("label", F.col("node"))
     # Central texts meet others in more buckets: compared first, they connect most of their group at once.
@@ -163,33 +172,36 @@ def linked(nodes: DataFrame, texts: DataFrame, width: int = WIDTH, like: float =
     texts = materialise(texts.join(members.select("node").distinct(), "node").dropDuplicates(["node"]), "near-texts")
     links, labels, tested, hubs = None, None, None, 1
     while True:
+        hub = F.struct("node", "label", "size", "bits")
         if hubs == 1:
-            lead = members.groupBy("bucket").agg(F.max(F.struct("met", "node"))["node"].alias("hub")).withColumn("hub_label", F.col("hub"))
+            lead = members.groupBy("bucket").agg(F.max_by(hub, F.struct("met", "node")).alias("hub"))
         else:  # members of the parts that are smallest in their bucket come first
-            parts = members.groupBy("bucket", "label").agg(F.count("*").alias("size"))
-            turn = F.row_number().over(Window.partitionBy("bucket").orderBy("size", "label", F.desc("met"), "node"))
-            lead = members.join(parts, ["bucket", "label"]).withColumn("turn", turn).filter(F.col("turn") <= hubs)
-            lead = lead.select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-        pairs = members.join(lead, "bucket").filter("label <> hub_label")
-        pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+            parts = members.groupBy("bucket", "label").agg(F.count("*").alias("parts"))
+            turn = F.row_number().over(Window.partitionBy("bucket").orderBy("parts", "label", F.desc("met"), "node"))
+            lead = members.join(parts, ["bucket", "label"]).withColumn("turn", turn).filter(F.col("turn") <= hubs).select("bucket", hub.alias("hub"))
+        lead = lead.select("bucket", *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("node", "label", "size", "bits")))
+        apart = sum(F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("hub_bits")[i])) for i in range(BITS // 64))
+        alike = apart <= (F.col("size") + F.col("hub_size")) * ((1 - like) / (1 + like)) + 1e-6
+        pairs = members.join(lead, "bucket").filter((F.col("label") != F.col("hub_label")) & alike)
+        pairs = pairs.select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b")).distinct()
         pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = materialise(verified(pairs, texts, width, like), "near-found")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
-        left = members.drop("label").join(lead.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti")
+        left = members.drop("label").join(lead.select("bucket", F.col("hub_node").alias("node")), ["bucket", "node"], "left_anti")
         left = left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         split = left.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
-        members = materialise(left.join(split, "bucket").select("bucket", "node", "label", "met"), "near-members")
+        members = materialise(left.join(split, "bucket").select("bucket", "node", "label", "met", "size", "bits"), "near-members")
         if not members.limit(1).count():
             return labels
-        hubs *= 4
+        hubs = max(HUBS, hubs * 16)
 
 
 def _classed(feats: DataFrame, width: int, like: float) -> DataFrame:
     """_node, class_id, n_in_class, _kept_node of every distinct text in feats."""
-    nodes = feats.groupBy(F.col("_node").alias("node")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.first("_bands").alias("bands"))
-    labels = linked(nodes.select("node", "bands"), feats.select(F.col("_node").alias("node"), F.coalesce("text", F.lit("")).alias("text")), width, like)
+    nodes = feats.groupBy(F.col("_node").alias("node")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.first("_bands").alias("bands"), F.first("_size").alias("size"), F.first("_bits").alias("bits"))
+    labels = linked(nodes.select("node", "bands", "size", "bits"), feats.select(F.col("_node").alias("node"), F.coalesce("text", F.lit("")).alias("text")), width, like)
     known = nodes.select("node", "first_id", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     known = materialise(known, "near-classes")
     classes = known.groupBy("label").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("kept"), F.sum("n").alias("n_in_class"))
