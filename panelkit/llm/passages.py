@@ -1,10 +1,11 @@
 """Substring dedup: repeated passages are found by hashed units and removed but for the first.
 
 Texts are normalised to words. Their units are windows of UNIT words that their content
-selects: of SPREAD neighbouring windows the one with the least hash, so that equal runs of
-UNIT + SPREAD - 1 = MIN_WORDS words always share one, wherever they stand in their lines. Digests
-are grouped globally, the earliest occurrence is kept, and every other occurrence is widened,
-word by word, to the longest run that it shares with the kept text.
+selects: each run of MIN_WORDS words selects, of its SPREAD windows, the one with the least hash,
+so that equal runs always select the same one, wherever they stand in their lines. Digests are
+grouped globally. Occurrences of a window whose selecting runs are all the same repeat the
+earliest of them as a whole; where they differ, the earliest of each kind send every run of
+MIN_WORDS words to a group of its own, which keeps its earliest occurrence.
 """
 
 from __future__ import annotations
@@ -12,28 +13,35 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import WORD, WordHashes, lots, materialise, shingled, text_batches
+from .shared import WORD, WordHashes, lots, materialise, mixed, shingled, spans, text_batches
 
 MIN_WORDS, UNIT = 50, 30
 SPREAD = MIN_WORDS - UNIT + 1
+GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def selected(h: np.ndarray, unit: int = UNIT, spread: int = SPREAD) -> tuple[np.ndarray, np.ndarray]:
-    """Digests and first words of the units of a text, given its words' hashes: none for a text of less than unit words."""
-    if len(h) < unit:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def run_hashes(s: np.ndarray, unit: int = UNIT, spread: int = SPREAD) -> np.ndarray:
+    """Hashes of all runs of unit + spread - 1 words, from those of the windows of unit words that cover them."""
+    n = len(s) - spread + 1
+    out = s[:n]
+    for k in sorted({*range(0, spread - 1, unit), spread - 1} - {0}):
+        out = mixed(out * GOLD + s[k : k + n])
+    return out
+
+
+def selected(h: np.ndarray, unit: int = UNIT, spread: int = SPREAD) -> tuple[np.ndarray, ...]:
+    """Of the units of a text, given its words' hashes: digest, first word and end of the runs that select it, and a hash of these runs."""
+    if len(h) < unit + spread - 1:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     s = shingled(h, unit)
-    if len(s) <= spread:
-        at = np.array([len(s) - 1 - int(np.argmin(s[::-1]))])
-    else:
-        view = np.lib.stride_tricks.sliding_window_view(s, spread)
-        at = np.unique(np.arange(len(view)) + spread - 1 - np.argmin(view[:, ::-1], axis=1))
-    return s[at], at
+    view = np.lib.stride_tricks.sliding_window_view(s, spread)
+    at, lo, n = np.unique(np.arange(len(view)) + spread - 1 - np.argmin(view[:, ::-1], axis=1), return_index=True, return_counts=True)
+    r = run_hashes(s, unit, spread)
+    return s[at], lo, lo + n + unit + spread - 2, mixed(r[lo] * GOLD + r[lo + n - 1])
 
 
 def _digest(text: Column) -> Column:
@@ -41,7 +49,7 @@ def _digest(text: Column) -> Column:
 
 
 def units(docs: DataFrame, unit: int = UNIT, spread: int = SPREAD) -> DataFrame:
-    """doc_id, text_key (tells rows with the same id apart), word (the unit's first) and digest of every unit."""
+    """doc_id, text_key (tells rows with the same id apart), word and past (first word and end of what a unit stands for), digest and context (of the unit, and of all its words) of every unit."""
     text_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -51,80 +59,80 @@ def units(docs: DataFrame, unit: int = UNIT, spread: int = SPREAD) -> DataFrame:
             texts = batch.column(2).to_pylist()
             for a, b in lots(texts):
                 found = [selected(hashes.of(WORD.findall(t or "")), unit, spread) for t in texts[a:b]]
-                row = pa.array(np.repeat(np.arange(a, b), [len(x) for _, x in found]))
-                digest, word = (np.concatenate(x) for x in zip(*found))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(word.astype(np.int32)), pa.array(digest.view(np.int64))], ["doc_id", "text_key", "word", "digest"])
+                row = pa.array(np.repeat(np.arange(a, b), [len(x[0]) for x in found]))
+                digest, word, past, context = (np.concatenate(x) for x in zip(*found))
+                values = [pa.array(x) for x in (word.astype(np.int32), past.astype(np.int32), digest.view(np.int64), context.view(np.int64))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *values], ["doc_id", "text_key", "word", "past", "digest", "context"])
 
     rows = docs.select("doc_id", _digest(F.col("text")).alias("text_key"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, text_key bigint, word int, digest bigint")
-
+    return rows.mapInArrow(run, f"doc_id {kind}, text_key bigint, word int, past int, digest bigint, context bigint")
 
-class Runs:
-    """Words of a text with their places, and the runs that two texts share."""
 
-    def __init__(self, text: str):
-        found = list(WORD.finditer(text))
-        self.words = np.array([m.group().lower() for m in found], object)
-        self.start, self.end = [m.start() for m in found], [m.end() for m in found]
+def _placed(texts: DataFrame, min_words: int, unit: int) -> DataFrame:
+    """Characters of the units in `at`: one row for a unit that repeats as a whole (run is null), else one for each of its runs."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "text_key", "word", "first", "last", "first_doc_id", "digest", "context", "run"]
 
-    def shared(self, other: "Runs", here: int, there: int) -> tuple[int, int]:
-        """The longest run of equal words around word `here` of this text and word `there` of the other one."""
-        if here >= len(self.words) or there >= len(other.words) or self.words[here] != other.words[there]:
-            return here, here
-        back = self._equal(self.words[:here][::-1], other.words[:there][::-1])
-        return here - back, here + self._equal(self.words[here:], other.words[there:])
-
-    @staticmethod
-    def _equal(a: np.ndarray, b: np.ndarray) -> int:
-        n, i = min(len(a), len(b)), 0
-        while i < n:
-            step = a[i : min(n, i + 512)] != b[i : min(n, i + 512)]
-            if step.any():
-                return i + int(np.argmax(step))
-            i += 512
-        return n
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            at = batch.column(2)
+            flat, ends = at.flatten(), at.offsets.to_numpy() - at.offsets[0].as_py()
+            word, past = (flat.field(x).to_numpy() for x in ("word", "past"))
+            whole = flat.field("whole").to_numpy(zero_copy_only=False)
+            for i, text in enumerate(batch.column(3).to_pylist()):
+                mine = np.arange(ends[i], ends[i + 1])
+                found = list(WORD.finditer(text))
+                start, end = (np.fromiter((f(m) for m in found), np.int32, len(found)) for f in (lambda m: m.start(), lambda m: m.end()))
+                full, part = mine[whole[mine]], mine[~whole[mine]]
+                n = past[part] - word[part] - min_words + 1
+                begins = spans(n.astype(np.int64), word[part].astype(np.int64))
+                runs = np.zeros(0, np.uint64)
+                if len(part):
+                    runs = run_hashes(shingled(hashes.of([m.group() for m in found]), unit), unit, min_words - unit + 1)[begins]
+                of = np.r_[full, np.repeat(part, n)]
+                row, take = pa.array(np.full(len(of), i)), pa.array(of)
+                none = np.arange(len(of)) < len(full)
+                values = [np.r_[word[full], begins], np.r_[start[word[full]], start[begins]], np.r_[end[past[full] - 1], end[begins + min_words - 1]]]
+                values = [pa.array(x.astype(np.int32)) for x in values]
+                keys = [flat.field(x).take(take) for x in ("first_doc_id", "digest", "context")]
+                hashed = pa.array(np.r_[np.zeros(len(full), np.uint64), runs].view(np.int64), mask=none)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *values, *keys, hashed], names)
+
+    return texts.select("doc_id", "text_key", "at", "text").mapInArrow(run, f"doc_id {kind}, text_key bigint, word int, first int, last int, first_doc_id {kind}, digest bigint, context bigint, run bigint")
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, unit: int = UNIT) -> DataFrame:
     """doc_id, text_key, first, last (characters), first_doc_id: the passages that an earlier row has, too.
 
     Rows are ranked by doc_id, then by a digest of their text; null ids come first. A passage counts
-    from min_words words on, in the same text as well; words are compared in lower case and without
-    what stands between them. Rows that repeat both id and text count as one.
+    from min_words words on, in the same text as well: every run of min_words words that stands
+    earlier anywhere is in one. Words are compared in lower case, by 64-bit hashes, and without what
+    stands between them. Rows that repeat both id and text count as one.
     """
     docs = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
-    kind = docs.schema["doc_id"].dataType.simpleString()
     found = materialise(units(docs, unit, min_words - unit + 1), "passage-units")
     rank = F.struct("doc_id", "text_key", "word")
-    many = found.groupBy("digest").agg(F.min(rank).alias("kept"), F.max(rank).alias("latest")).filter("kept <> latest").select("digest", "kept")
-    hits = found.join(many, "digest").filter(rank != F.col("kept"))
-    hits = hits.groupBy("doc_id", "text_key", F.col("kept.doc_id").alias("first_doc_id"), F.col("kept.text_key").alias("first_key")).agg(F.collect_set(F.struct("word", F.col("kept.word").alias("there"))).alias("at"))
-    hits = materialise(hits.withColumn("pair", F.xxhash64("doc_id", "text_key", "first_doc_id", "first_key")), "passage-pairs")
-    # Texts come to their pairs from both sides by one pass over the documents.
-    sides = hits.select("pair", "doc_id", "text_key", F.lit(0).alias("side")).union(hits.select("pair", "first_doc_id", "first_key", F.lit(1)))
-    rows = docs.withColumn("text_key", _digest(F.col("text")))
-    same = [rows["doc_id"].eqNullSafe(sides["doc_id"]), rows["text_key"] == sides["text_key"]]
-    texts = sides.join(rows, same).groupBy("pair").agg(F.max(F.when(F.col("side") == 0, F.col("text"))).alias("text"), F.max(F.when(F.col("side") == 1, F.col("text"))).alias("first_text"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for doc_id, key, first_id, first_key, at, text, first_text in f.itertuples(index=False):
-                own = key == first_key and (doc_id == first_id or (pd.isna(doc_id) and pd.isna(first_id)))
-                a = Runs(text)
-                b = a if own else Runs(first_text)
-                done: dict[int, int] = {}
-                for word, there in sorted((x["word"], x["there"]) for x in at):
-                    if word < done.get(word - there, -1):
-                        continue
-                    start, end = a.shared(b, word, there)
-                    done[word - there] = end
-                    if end - start >= min_words:
-                        out.append((doc_id, key, a.start[start], a.end[end - 1], first_id))
-            yield pd.DataFrame(out, columns=["doc_id", "text_key", "first", "last", "first_doc_id"]).astype({"doc_id": "Int64", "first_doc_id": "Int64"} if kind in ("bigint", "int") else {})
-
-    both = hits.join(texts, "pair").select("doc_id", "text_key", "first_doc_id", "first_key", "at", "text", "first_text")
-    return both.mapInPandas(run, f"doc_id {kind}, text_key bigint, first int, last int, first_doc_id {kind}")
+    many = found.groupBy("digest").agg(F.min(rank).alias("kept"), F.max(rank).alias("latest"), (F.min("context") != F.max("context")).alias("several")).filter("kept <> latest").select("digest", "several")
+    hits = materialise(found.join(many, "digest"), "passage-hits")
+    kept = hits.groupBy("digest", "context").agg(F.min(rank).alias("kept"))
+    hits = hits.join(kept, ["digest", "context"]).withColumn("whole", rank != F.col("kept")).filter("whole or several")
+    key = lambda c: F.when(F.col("several"), F.col(c)).alias(c)
+    hits = hits.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("word", "past", "whole", F.col("kept.doc_id").alias("first_doc_id"), key("digest"), key("context"))).alias("at"))
+    rows = docs.withColumn("text_key", _digest(F.col("text"))).alias("r")
+    hits = hits.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+    texts = rows.join(hits, F.col("r.doc_id").eqNullSafe(F.col("_id")) & (F.col("r.text_key") == F.col("_key")))
+    text_batches(docs.sparkSession)
+    placed = materialise(_placed(texts, min_words, unit), "passage-places")
+    # Where the runs around a unit differ, each run of min_words words has its own earliest occurrence.
+    runs = placed.filter("run is not null")
+    runs = runs.join(runs.groupBy("digest", "run").agg(F.min(rank).alias("kept")), ["digest", "run"])
+    keepers = runs.groupBy("digest", "context").agg(F.collect_set(F.struct("kept.doc_id")).alias("ids"))
+    out = ["doc_id", "text_key", "first", "last"]
+    alone = placed.filter("run is null and digest is null").select(*out, "first_doc_id")
+    again = runs.filter(rank != F.col("kept")).select(*out, F.col("kept.doc_id").alias("first_doc_id"))
+    same = placed.filter("run is null and digest is not null").join(keepers, ["digest", "context"]).select(*out, F.explode("ids").alias("_k")).select(*out, F.col("_k.doc_id").alias("first_doc_id"))
+    return alone.union(again).union(same)
 
 
 def _apart(ranges: Column) -> Column:

@@ -60,3 +60,27 @@ def test_edge_rows(spark):
     assert clean[2] == "İx , tail" and clean[5] == "head  mid " and clean[1] == p and clean[3] is None and clean[4] == ""
     assert len(clean[6]) < 500
     assert passages.removals(df.limit(0)).count() == 0 and passages.without_repeats(df.limit(0)).count() == 0
+
+
+def test_holder_that_quotes_less_than_a_passage(spark):
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    for length, quote in ((50, 49), (60, 49), (50, 40)):
+        docs = []
+        for k in range(0, 90, 3):
+            p, cut = word(length), (length - quote) // 2
+            docs += [(k, " ".join([*word(20), *p[cut : cut + quote], *word(20)])), (k + 1, " ".join([*word(20), *p, *word(20)])), (k + 2, " ".join([*word(20), *p, *word(20)]))]
+        rows = {r.doc_id: r for r in passages.removals(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        assert sorted(rows) == [k + 2 for k in range(0, 90, 3)]
+        for d, r in rows.items():
+            (x,) = r.removed
+            assert len(WORD.findall(dict(docs)[d][x["first"] : x["last"]])) == length and r.first_doc_ids == [d - 1]
+
+
+def test_query_finds_every_run(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows = {r.doc_id: r.removed for r in passages.op4_passages(spark, sf).collect()}
+    texts = dict(docs)
+    for d, want in brute(docs).items():
+        places = [(m.start(), m.end()) for m in WORD.finditer(texts[d])]
+        assert all(any(x["first"] <= places[i][0] and places[i][1] <= x["last"] for x in rows[d]) for i in want)
