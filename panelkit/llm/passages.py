@@ -1,7 +1,7 @@
 """Substring dedup: repeated passages are found by hashed units and removed but for the first.
 
-Texts are normalised to words. Their units are windows of UNIT words that their content
-selects: each run of MIN_WORDS words selects, of its SPREAD windows, the one with the least hash,
+Texts are normalised to words. Their units are lines and paragraphs, which repeat as a whole,
+and, for passages inside lines, windows of UNIT words that their content selects: each run of MIN_WORDS words selects, of its SPREAD windows, the one with the least hash,
 so that equal runs always select the same one, wherever they stand in their lines. Digests are
 grouped globally. Occurrences of a window whose selecting runs are all the same repeat the
 earliest of them as a whole; where they differ, the earliest of each kind send every run of
@@ -10,15 +10,17 @@ MIN_WORDS words to a group of its own, which keeps its earliest occurrence.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import WORD, WordHashes, lots, materialise, mixed, shingled, spans, text_batches
 
+LINE = re.compile(r"\r\n?|\n")
 MIN_WORDS, UNIT = 50, 30
 SPREAD = MIN_WORDS - UNIT + 1
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -44,6 +46,33 @@ def selected(h: np.ndarray, unit: int = UNIT, spread: int = SPREAD) -> tuple[np.
     return s[at], lo, lo + n + unit + spread - 2, mixed(r[lo] * GOLD + r[lo + n - 1])
 
 
+def cut(text: str, most: int = MIN_WORDS) -> tuple[list[str], np.ndarray]:
+    """Words of a text, and first word and end of its lines and paragraphs (lines between blank ones) that have words, but fewer than most: longer ones are runs anyway."""
+    words: list[str] = []
+    found, begin = set(), 0
+    for line in LINE.split(text):
+        n = len(words)
+        words += WORD.findall(line)
+        if len(words) > n:
+            found.add((n, len(words)))
+        elif not line.strip():
+            found.add((begin, n))
+            begin = n
+    found.add((begin, len(words)))
+    return words, np.array(sorted(x for x in found if 0 < x[1] - x[0] < most), np.int64).reshape(-1, 2)
+
+
+def whole_digests(h: np.ndarray, ranges: np.ndarray) -> np.ndarray:
+    """Digests of ranges of words, given the words' hashes: equal for equal words in the same order."""
+    if not len(ranges):
+        return np.zeros(0, np.uint64)
+    n = ranges[:, 1] - ranges[:, 0]
+    begins = np.cumsum(n) - n
+    place = (np.arange(n.sum()) - np.repeat(begins, n)).astype(np.uint64)
+    total = np.add.reduceat(mixed(h[spans(n, ranges[:, 0])] + place * GOLD), begins)
+    return mixed(total * GOLD + n.astype(np.uint64))
+
+
 def _digest(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
@@ -58,7 +87,12 @@ def units(docs: DataFrame, unit: int = UNIT, spread: int = SPREAD) -> DataFrame:
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for a, b in lots(texts):
-                found = [selected(hashes.of(WORD.findall(t or "")), unit, spread) for t in texts[a:b]]
+                found = []
+                for t in texts[a:b]:
+                    words, ranges = cut(t or "", unit + spread - 1)
+                    h = hashes.of(words)
+                    whole = (whole_digests(h, ranges), ranges[:, 0], ranges[:, 1], np.zeros(len(ranges), np.uint64))
+                    found.append([np.concatenate(x) for x in zip(selected(h, unit, spread), whole)])
                 row = pa.array(np.repeat(np.arange(a, b), [len(x[0]) for x in found]))
                 digest, word, past, context = (np.concatenate(x) for x in zip(*found))
                 values = [pa.array(x) for x in (word.astype(np.int32), past.astype(np.int32), digest.view(np.int64), context.view(np.int64))]
@@ -105,9 +139,10 @@ def _placed(texts: DataFrame, min_words: int, unit: int) -> DataFrame:
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, unit: int = UNIT) -> DataFrame:
     """doc_id, text_key, first, last (characters), first_doc_id: the passages that an earlier row has, too.
 
-    Rows are ranked by doc_id, then by a digest of their text; null ids come first. A passage counts
-    from min_words words on, in the same text as well: every run of min_words words that stands
-    earlier anywhere is in one. Words are compared in lower case, by 64-bit hashes, and without what
+    Rows are ranked by doc_id, then by a digest of their text; null ids come first. Lines and
+    paragraphs count whatever their length, other passages from min_words words on, in the same text
+    as well: every run of min_words words that stands earlier anywhere is in one. Lines without
+    words stay. Words are compared in lower case, by 64-bit hashes, and without what
     stands between them. Rows that repeat both id and text count as one.
     """
     docs = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
@@ -135,25 +170,17 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, unit: int = UNIT) -> Da
     return alone.union(again).union(same)
 
 
-def _apart(ranges: Column) -> Column:
-    """Sorted ranges with those that overlap made one."""
-    empty = F.array().cast("array<struct<first:int,last:int>>")
-
-    def add(done: Column, r: Column) -> Column:
-        last = F.element_at(done, -1)
-        wider = F.struct(last["first"].alias("first"), F.greatest(last["last"], r["last"]).alias("last"))
-        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["last"] >= r["first"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(wider))).otherwise(F.concat(done, F.array(r)))
-
-    return F.aggregate(F.array_sort(ranges), empty, add)
-
-
 def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each document that repeats a passage: doc_id, text_key, removed (ranges first .. last of characters, apart, in order), removed_chars, first_doc_ids (of the rows that keep the passages)."""
-    r = repeats(docs, min_words).groupBy("doc_id", "text_key", "first", "last").agg(F.min("first_doc_id").alias("first_doc_id"))
-    r = r.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "last")).alias("ranges"), F.array_sort(F.collect_set("first_doc_id")).alias("first_doc_ids"))
-    r = r.withColumn("removed", _apart(F.col("ranges")))
-    chars = F.aggregate("removed", F.lit(0), lambda n, x: n + x["last"] - x["first"])
-    return r.select("doc_id", "text_key", "removed", chars.cast("long").alias("removed_chars"), "first_doc_ids")
+    r = repeats(docs, min_words).groupBy("doc_id", "text_key", "first", "last").agg(F.collect_set("first_doc_id").alias("ids"))
+    # Ranges that overlap become one; a text may have very many lines, so this isn't done within a row.
+    order = Window.partitionBy("doc_id", "text_key").orderBy("first", "last")
+    before = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    r = r.withColumn("new", F.when(before >= F.col("first"), 0).otherwise(1))
+    r = r.withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    r = r.groupBy("doc_id", "text_key", "part").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
+    r = r.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("removed"), F.sum(F.col("last") - F.col("first")).alias("removed_chars"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("first_doc_ids"))
+    return r.select("doc_id", "text_key", "removed", "removed_chars", "first_doc_ids")
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

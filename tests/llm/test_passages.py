@@ -84,3 +84,28 @@ def test_query_finds_every_run(spark):
     for d, want in brute(docs).items():
         places = [(m.start(), m.end()) for m in WORD.finditer(texts[d])]
         assert all(any(x["first"] <= places[i][0] and places[i][1] <= x["last"] for x in rows[d]) for i in want)
+
+
+def test_short_lines_and_paragraphs(spark):
+    rows = [(1, "Licensed under the Apache License\nalpha\n\n---\nred green\nblue"), (2, "beta\r\n  licensed under the apache license.\r\ngamma"), (3, "red\ngreen blue\n\n---\n\ndelta alpha"), (4, "licensed under the Apache\n\n* Beta *"), (None, "gamma\n\n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: ([dict(rows)[r.doc_id][x["first"] : x["last"]] for x in r.removed], r.first_doc_ids) for r in passages.removals(df).collect()}
+    assert got == {2: (["licensed under the apache license", "gamma"], [1]), 3: (["red\ngreen blue"], [1]), 4: (["Beta"], [2])}
+    clean = {r.doc_id: r.text for r in passages.without_repeats(df).collect()}
+    assert clean[2] == "beta\r\n  .\r\n" and clean[3] == "\n\n---\n\ndelta alpha" and clean[4] == "licensed under the Apache\n\n*  *"
+
+
+def test_query_finds_every_repeated_line(spark):
+    sf, seen, want = "/root/testdata/sf0.01", set(), {}
+    docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    for d, text in docs:
+        at = 0
+        for line in text.split("\n"):
+            found = [m.span() for m in WORD.finditer(line)]
+            words = tuple(line[a:b].lower() for a, b in found)
+            if words and words in seen:
+                want.setdefault(d, []).append((at + found[0][0], at + found[-1][1]))
+            seen.add(words)
+            at += len(line) + 1
+    rows = {r.doc_id: r.removed for r in passages.op4_passages(spark, sf).collect()}
+    assert len(want) > 100 and all(any(x["first"] <= a and b <= x["last"] for x in rows[d]) for d, v in want.items() for a, b in v)
