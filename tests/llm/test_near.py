@@ -79,3 +79,15 @@ def test_edge_rows(spark):
     assert sorted(str(r.doc_id) for r in left) == ["2", "4", "7", "8", "None"]
     assert left[0].asDict().keys() == {"doc_id", "text", "label", "node"}
     assert near.near_duplicates(df.limit(0)).count() == 0 and near.deduplicated(df.limit(0)).count() == 0
+
+
+def test_pairs_that_differ_in_a_long_token(spark):
+    docs = []
+    for i in range(300):
+        t = [f"w{x}" for x in rng.integers(0, 10**9, 50)]
+        for k in (0, 1):
+            t[20] = "".join(rng.choice(list("0123456789abcdef"), (100, 300, 3000)[i % 3]))
+            docs.append((2 * i + k, " ".join(t)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near.near_duplicates(df).collect()}
+    assert got == classes(docs) == {d: d - d % 2 for d, _ in docs}
