@@ -19,10 +19,11 @@ from .shared import materialise
 #: A candidate: at least LEAST letters, digits and signs of the usual encodings.
 LEAST = 16
 CANDIDATE = rf"[A-Za-z0-9+/_\-]{{{LEAST},}}={{0,2}}"
-#: Forms that providers publish for their keys; a candidate of such a form is a labelled secret.
-FORMS = r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36,}$|^xox[abpr]-[A-Za-z0-9\-]{10,}$|^sk_live_[A-Za-z0-9]{16,}$|^AIza[A-Za-z0-9_\-]{35}$"
+#: Forms that providers publish for their keys; a candidate that is or holds one, apart from other letters and digits, is a labelled secret.
+FORMS = r"(?<![A-Za-z0-9])((AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abpr]-[A-Za-z0-9\-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{35})(?![A-Za-z0-9])"
 NAMES = r"(?i)(passw|pwd|secret|token|api.?key|access.?key|credential|auth|private.?key)"
-PLACEHOLDER = r"(?i)(example|sample|dummy|changeme|placeholder|your[_\-]|xxxx|0000|1234567)"
+#: Words that placeholders hold; x, 0 and counted digits, which random keys hold by chance, must be all there is behind a key's prefix.
+PLACEHOLDER = r"(?i)(example|sample|dummy|changeme|placeholder|your[_\-])|^(AKIA|ASIA|AIza|([a-z]+[_\-])*)([x0_\-]+|(0?1234567(89?)?)+0?)=*$"
 TEST_PATH = r"(?i)(test|example|sample|fixture|demo)"
 #: Groups of three letters: the DICTIONARY most frequent ones, counted over the words of all documents.
 LETTERS, DICTIONARY = 26, 2000
@@ -36,7 +37,7 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     """doc_id, text_key, start (characters), candidate, path, before, after: one row for each candidate.
 
     text_key tells rows with the same id apart. before and after hold the neighbouring words and the
-    rest of the candidate's own. Null texts have no candidates.
+    rest of the candidate's own; before holds all that stands left in it, other candidates, too. Null texts have no candidates.
     """
     where = F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")
     d = docs.select("doc_id", where.alias("path"), F.coalesce("text", F.lit("")).alias("t"))
@@ -46,11 +47,11 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     i = F.col("x.i")
     word = lambda k: F.coalesce(F.get(F.col("w"), i + k), F.lit(""))
     at = F.when(i > 0, F.aggregate(F.slice("w", F.lit(1), i), F.lit(0), lambda n, w: n + F.length(w) + 1)).otherwise(F.lit(0))
-    d = d.select("doc_id", "path", "text_key", at.alias("at"), F.concat_ws(" ", word(-3), word(-2), word(-1), F.lit("")).alias("b"), F.concat_ws(" ", F.lit(""), word(1), word(2)).alias("a"), F.split("x.w", CANDIDATE).alias("rest"), F.regexp_extract_all("x.w", F.lit(CANDIDATE), F.lit(0)).alias("found"))
+    d = d.select("doc_id", "path", "text_key", at.alias("at"), F.concat_ws(" ", word(-3), word(-2), word(-1), F.lit("")).alias("b"), F.concat_ws(" ", F.lit(""), word(1), word(2)).alias("a"), F.col("x.w").alias("own"), F.split("x.w", CANDIDATE).alias("rest"), F.regexp_extract_all("x.w", F.lit(CANDIDATE), F.lit(0)).alias("found"))
     d = d.select("*", F.posexplode("found").alias("k", "candidate"))
     total = lambda xs: F.aggregate(xs, F.lit(0), lambda n, w: n + F.length(w))
-    start = F.col("at") + total(F.slice("rest", F.lit(1), F.col("k") + 1)) + F.when(F.col("k") > 0, total(F.slice("found", F.lit(1), F.col("k")))).otherwise(F.lit(0))
-    return d.select("doc_id", "text_key", start.alias("start"), "candidate", "path", F.concat("b", F.get("rest", F.col("k"))).alias("before"), F.concat(F.get("rest", F.col("k") + 1), "a").alias("after"))
+    left = total(F.slice("rest", F.lit(1), F.col("k") + 1)) + F.when(F.col("k") > 0, total(F.slice("found", F.lit(1), F.col("k")))).otherwise(F.lit(0))
+    return d.select("doc_id", "text_key", (F.col("at") + left).alias("start"), "candidate", "path", F.concat("b", F.substring(F.col("own"), F.lit(1), left)).alias("before"), F.concat(F.get("rest", F.col("k") + 1), "a").alias("after"))
 
 
 def _places(text: Column) -> Column:
