@@ -43,10 +43,10 @@ def text_batches(spark: SparkSession, rows: int = 250) -> None:
 
 
 @contextmanager
-def one_row_batches(spark: SparkSession) -> Iterator[None]:
-    """For jobs run inside: each row goes to Python by itself, as rows that are whole indexes must."""
+def row_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """For jobs run inside: so many rows go to Python at once; one, where rows are whole indexes. The session's setting comes back."""
     before = spark.conf.get(ROWS_PER_BATCH)
-    spark.conf.set(ROWS_PER_BATCH, "1")
+    spark.conf.set(ROWS_PER_BATCH, str(rows))
     try:
         yield
     finally:
