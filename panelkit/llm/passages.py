@@ -1,9 +1,10 @@
-"""Substring dedup: repeated passages are found by hashed units and removed but for the first.
+"""Substring dedup: repeated lines and paragraphs are found by their digests and removed but for the first.
 
-Texts are normalised to words. Their units are lines and paragraphs, which repeat as a whole,
-and, for passages inside lines, windows of UNIT words that their content selects: each run of MIN_WORDS words selects, of its SPREAD windows, the one with the least hash,
-so that equal runs always select the same one, wherever they stand in their lines. Digests are
-grouped globally. Occurrences of a window whose selecting runs are all the same repeat the
+Texts are normalised to words. Their units are lines and paragraphs, which repeat as a whole.
+As a second level, for passages inside lines, windows of UNIT words are units, too, which their
+content selects: each run of MIN_WORDS words selects, of its SPREAD windows, the one with the least
+hash, so that equal runs always select the same one, wherever they stand in their lines. Digests
+are grouped globally. A line or paragraph repeats the earliest with its digest. Occurrences of a window whose selecting runs are all the same repeat the
 earliest of them as a whole; where they differ, the earliest of each kind send every run of
 MIN_WORDS words to a group of its own, which keeps its earliest occurrence.
 """
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, WordHashes, lots, materialise, mixed, shingled, spans, text_batches
+from .shared import WORD, WordHashes, lots, materialise, mixed, rolled, spans, text_batches
 
 LINE = re.compile(r"\r\n?|\n")
 MIN_WORDS, UNIT = 50, 30
@@ -39,15 +40,17 @@ def selected(h: np.ndarray, unit: int = UNIT, spread: int = SPREAD) -> tuple[np.
     """Of the units of a text, given its words' hashes: digest, first word and end of the runs that select it, and a hash of these runs."""
     if len(h) < unit + spread - 1:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    s = shingled(h, unit)
+    s = rolled(h, unit)
     view = np.lib.stride_tricks.sliding_window_view(s, spread)
-    at, lo, n = np.unique(np.arange(len(view)) + spread - 1 - np.argmin(view[:, ::-1], axis=1), return_index=True, return_counts=True)
+    chosen = np.arange(len(view)) + spread - 1 - np.argmin(view[:, ::-1], axis=1)
+    lo = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])  # runs that follow each other and choose the same
+    at, n = chosen[lo], np.diff(np.r_[lo, len(chosen)])
     r = run_hashes(s, unit, spread)
     return s[at], lo, lo + n + unit + spread - 2, mixed(r[lo] * GOLD + r[lo + n - 1])
 
 
-def cut(text: str, most: int = MIN_WORDS) -> tuple[list[str], np.ndarray]:
-    """Words of a text, and first word and end of its lines and paragraphs (lines between blank ones) that have words, but fewer than most: longer ones are runs anyway."""
+def cut(text: str) -> tuple[list[str], np.ndarray]:
+    """Words of a text, and first word and end of its lines and paragraphs (lines between blank ones) that have words."""
     words: list[str] = []
     found, begin = set(), 0
     for line in LINE.split(text):
@@ -59,7 +62,7 @@ def cut(text: str, most: int = MIN_WORDS) -> tuple[list[str], np.ndarray]:
             found.add((begin, n))
             begin = n
     found.add((begin, len(words)))
-    return words, np.array(sorted(x for x in found if 0 < x[1] - x[0] < most), np.int64).reshape(-1, 2)
+    return words, np.array(sorted(x for x in found if x[0] < x[1]), np.int64).reshape(-1, 2)
 
 
 def whole_digests(h: np.ndarray, ranges: np.ndarray) -> np.ndarray:
@@ -89,7 +92,7 @@ def units(docs: DataFrame, unit: int = UNIT, spread: int = SPREAD) -> DataFrame:
             for a, b in lots(texts):
                 found = []
                 for t in texts[a:b]:
-                    words, ranges = cut(t or "", unit + spread - 1)
+                    words, ranges = cut(t or "")
                     h = hashes.of(words)
                     whole = (whole_digests(h, ranges), ranges[:, 0], ranges[:, 1], np.zeros(len(ranges), np.uint64))
                     found.append([np.concatenate(x) for x in zip(selected(h, unit, spread), whole)])
@@ -105,7 +108,7 @@ def units(docs: DataFrame, unit: int = UNIT, spread: int = SPREAD) -> DataFrame:
 def _placed(texts: DataFrame, min_words: int, unit: int) -> DataFrame:
     """Characters of the units in `at`: one row for a unit that repeats as a whole (run is null), else one for each of its runs."""
     kind = texts.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "text_key", "word", "first", "last", "first_doc_id", "digest", "context", "run"]
+    names = ["doc_id", "text_key", "word", "first", "last", "line", "first_doc_id", "digest", "context", "run"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -123,21 +126,21 @@ def _placed(texts: DataFrame, min_words: int, unit: int) -> DataFrame:
                 begins = spans(n.astype(np.int64), word[part].astype(np.int64))
                 runs = np.zeros(0, np.uint64)
                 if len(part):
-                    runs = run_hashes(shingled(hashes.of([m.group() for m in found]), unit), unit, min_words - unit + 1)[begins]
+                    runs = run_hashes(rolled(hashes.of([m.group() for m in found]), unit), unit, min_words - unit + 1)[begins]
                 of = np.r_[full, np.repeat(part, n)]
                 row, take = pa.array(np.full(len(of), i)), pa.array(of)
                 none = np.arange(len(of)) < len(full)
                 values = [np.r_[word[full], begins], np.r_[start[word[full]], start[begins]], np.r_[end[past[full] - 1], end[begins + min_words - 1]]]
                 values = [pa.array(x.astype(np.int32)) for x in values]
-                keys = [flat.field(x).take(take) for x in ("first_doc_id", "digest", "context")]
+                keys = [flat.field(x).take(take) for x in ("line", "first_doc_id", "digest", "context")]
                 hashed = pa.array(np.r_[np.zeros(len(full), np.uint64), runs].view(np.int64), mask=none)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *values, *keys, hashed], names)
 
-    return texts.select("doc_id", "text_key", "at", "text").mapInArrow(run, f"doc_id {kind}, text_key bigint, word int, first int, last int, first_doc_id {kind}, digest bigint, context bigint, run bigint")
+    return texts.select("doc_id", "text_key", "at", "text").mapInArrow(run, f"doc_id {kind}, text_key bigint, word int, first int, last int, line boolean, first_doc_id {kind}, digest bigint, context bigint, run bigint")
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, unit: int = UNIT) -> DataFrame:
-    """doc_id, text_key, first, last (characters), first_doc_id: the passages that an earlier row has, too.
+    """doc_id, text_key, first, last (characters), line, first_doc_id: the lines and paragraphs (line) and the passages that an earlier row has, too.
 
     Rows are ranked by doc_id, then by a digest of their text; null ids come first. Lines and
     paragraphs count whatever their length, other passages from min_words words on, in the same text
@@ -149,11 +152,13 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, unit: int = UNIT) -> Da
     found = materialise(units(docs, unit, min_words - unit + 1), "passage-units")
     rank = F.struct("doc_id", "text_key", "word")
     many = found.groupBy("digest").agg(F.min(rank).alias("kept"), F.max(rank).alias("latest"), (F.min("context") != F.max("context")).alias("several")).filter("kept <> latest").select("digest", "several")
-    hits = materialise(found.join(many, "digest"), "passage-hits")
-    kept = hits.groupBy("digest", "context").agg(F.min(rank).alias("kept"))
+    # What is summed up by digest is stored before it is joined: both sides are then shuffled for the
+    # join alone, so that Spark can split the many rows of one digest over several tasks.
+    hits = materialise(found.join(materialise(many, "passage-digests"), "digest"), "passage-hits")
+    kept = materialise(hits.groupBy("digest", "context").agg(F.min(rank).alias("kept")), "passage-kept")
     hits = hits.join(kept, ["digest", "context"]).withColumn("whole", rank != F.col("kept")).filter("whole or several")
     key = lambda c: F.when(F.col("several"), F.col(c)).alias(c)
-    hits = hits.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("word", "past", "whole", F.col("kept.doc_id").alias("first_doc_id"), key("digest"), key("context"))).alias("at"))
+    hits = hits.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("word", "past", "whole", (F.col("context") == 0).alias("line"), F.col("kept.doc_id").alias("first_doc_id"), key("digest"), key("context"))).alias("at"))
     rows = docs.withColumn("text_key", _digest(F.col("text"))).alias("r")
     hits = hits.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
     texts = rows.join(hits, F.col("r.doc_id").eqNullSafe(F.col("_id")) & (F.col("r.text_key") == F.col("_key")))
@@ -161,9 +166,9 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, unit: int = UNIT) -> Da
     placed = materialise(_placed(texts, min_words, unit), "passage-places")
     # Where the runs around a unit differ, each run of min_words words has its own earliest occurrence.
     runs = placed.filter("run is not null")
-    runs = runs.join(runs.groupBy("digest", "run").agg(F.min(rank).alias("kept")), ["digest", "run"])
+    runs = runs.join(materialise(runs.groupBy("digest", "run").agg(F.min(rank).alias("kept")), "passage-runs"), ["digest", "run"])
     keepers = runs.groupBy("digest", "context").agg(F.collect_set(F.struct("kept.doc_id")).alias("ids"))
-    out = ["doc_id", "text_key", "first", "last"]
+    out = ["doc_id", "text_key", "first", "last", "line"]
     alone = placed.filter("run is null and digest is null").select(*out, "first_doc_id")
     again = runs.filter(rank != F.col("kept")).select(*out, F.col("kept.doc_id").alias("first_doc_id"))
     same = placed.filter("run is null and digest is not null").join(keepers, ["digest", "context"]).select(*out, F.explode("ids").alias("_k")).select(*out, F.col("_k.doc_id").alias("first_doc_id"))
@@ -171,16 +176,26 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, unit: int = UNIT) -> Da
 
 
 def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row for each document that repeats a passage: doc_id, text_key, removed (ranges first .. last of characters, apart, in order), removed_chars, first_doc_ids (of the rows that keep the passages)."""
-    r = repeats(docs, min_words).groupBy("doc_id", "text_key", "first", "last").agg(F.collect_set("first_doc_id").alias("ids"))
+    """One row for each document that repeats a passage: doc_id, text_key, removed (ranges first .. last of characters, apart, in order), removed_chars, first_doc_ids (of the rows that keep the passages), lines, passages.
+
+    lines are the ranges of repeated lines and paragraphs, passages those of repeated runs of
+    min_words words and more; removed is both together. Ties, repeated rows and nulls: see repeats().
+    """
+    r = repeats(docs, min_words).groupBy("doc_id", "text_key", "first", "last", "line").agg(F.collect_set("first_doc_id").alias("ids"))
     # Ranges that overlap become one; a text may have very many lines, so this isn't done within a row.
-    order = Window.partitionBy("doc_id", "text_key").orderBy("first", "last")
-    before = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    r = r.withColumn("new", F.when(before >= F.col("first"), 0).otherwise(1))
-    r = r.withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    r = r.groupBy("doc_id", "text_key", "part").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
-    r = r.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("removed"), F.sum(F.col("last") - F.col("first")).alias("removed_chars"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("first_doc_ids"))
-    return r.select("doc_id", "text_key", "removed", "removed_chars", "first_doc_ids")
+    order = Window.partitionBy("doc_id", "text_key").orderBy("first", "last", "line")
+    before, here = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+
+    def part(of: Column) -> Column:
+        return F.when(of & ~F.coalesce(F.max(F.when(of, F.col("last"))).over(before) >= F.col("first"), F.lit(False)), 1).otherwise(0)
+
+    r = r.withColumns({"n": part(F.lit(True)), "n_line": part(F.col("line")), "n_run": part(~F.col("line"))})
+    r = r.withColumns({"part": F.sum("n").over(here), "own": F.when(F.col("line"), F.sum("n_line").over(here)).otherwise(F.sum("n_run").over(here))})
+    r = r.groupBy("doc_id", "text_key", "part", "line", "own").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
+    r = r.groupBy("doc_id", "text_key", "part").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.collect_list(F.struct("line", "first", "last")).alias("own"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
+    r = r.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("removed"), F.sum(F.col("last") - F.col("first")).alias("removed_chars"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("first_doc_ids"), F.flatten(F.collect_list("own")).alias("own"))
+    level = lambda line: F.array_sort(F.transform(F.filter("own", lambda x: x["line"] == F.lit(line)), lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"))))
+    return r.select("doc_id", "text_key", "removed", "removed_chars", "first_doc_ids", level(True).alias("lines"), level(False).alias("passages"))
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
 import numpy as np
 import xxhash
@@ -21,12 +22,17 @@ ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all machines share (spark.checkpoint.dir); where that is unset, in a local one."""
+    """A new path in the folder that all machines share (spark.checkpoint.dir). Where that is unset: in a local one for a session on one machine, else ValueError.
+
+    All paths of an application lie in one folder, that of its id, so that it can be removed when the application has ended.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="panelkit-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/panelkit-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -119,6 +125,23 @@ def shingled(h: np.ndarray, width: int) -> np.ndarray:
     return mixed(out)
 
 
+@lru_cache(maxsize=4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number, and of its inverse, modulo 2 ** 64."""
+    base = 0x9E3779B97F4A7C15
+    return tuple(np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, x, np.uint64)]) for x in (base, pow(base, -1, 1 << 64)))
+
+
+def rolled(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the runs of exactly `width` words, from running sums: the cost doesn't grow with width."""
+    n = len(h) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    up, down = _powers(1 << max(12, int(len(h)).bit_length()))
+    sums = np.r_[np.uint64(0), np.cumsum(mixed(h) * up[: len(h)], dtype=np.uint64)]
+    return mixed((sums[width:] - sums[:n]) * down[:n])
+
+
 def spans(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Indices of the concatenated ranges starts[i] .. starts[i] + lengths[i]."""
     total = int(lengths.sum())

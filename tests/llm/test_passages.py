@@ -26,16 +26,20 @@ def test_query_against_all_runs(spark):
     sf = "/root/testdata/sf0.01"
     docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     want = brute(docs)
-    rows = {r.doc_id: r for r in passages.op4_passages(spark, sf).collect()}
+    every = passages.op4_passages(spark, sf).collect()
+    rows = {r.doc_id: r for r in every if r.passages}
     assert rows.keys() == want.keys()
     texts, missed, total = dict(docs), 0, 0
     for d, r in rows.items():
         places = [(m.start(), m.end()) for m in WORD.finditer(texts[d])]
-        got = {i for i, (a, b) in enumerate(places) if any(x["first"] <= a and b <= x["last"] for x in r.removed)}
+        got = {i for i, (a, b) in enumerate(places) if any(x["first"] <= a and b <= x["last"] for x in r.passages)}
         assert got <= want[d]
         missed, total = missed + len(want[d] - got), total + len(want[d])
-        assert r.removed_chars == sum(x["last"] - x["first"] for x in r.removed) and all(i <= d for i in r.first_doc_ids)
     assert missed <= 0.01 * total
+    for r in every:  # what is removed is what either level says, each place once
+        inside = lambda ranges: {i for x in ranges for i in range(x["first"], x["last"])}
+        assert inside(r.removed) == inside(r.lines) | inside(r.passages) and r.removed_chars == len(inside(r.removed))
+        assert all(a["last"] < b["first"] for a, b in zip(r.removed, r.removed[1:])) and all(i <= r.doc_id for i in r.first_doc_ids)
 
 
 def test_passages_inside_lines(spark):
@@ -107,5 +111,5 @@ def test_query_finds_every_repeated_line(spark):
                 want.setdefault(d, []).append((at + found[0][0], at + found[-1][1]))
             seen.add(words)
             at += len(line) + 1
-    rows = {r.doc_id: r.removed for r in passages.op4_passages(spark, sf).collect()}
+    rows = {r.doc_id: r.lines for r in passages.op4_passages(spark, sf).collect()}
     assert len(want) > 100 and all(any(x["first"] <= a and b <= x["last"] for x in rows[d]) for d, v in want.items() for a, b in v)
