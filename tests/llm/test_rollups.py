@@ -7,13 +7,16 @@ def test_query_against_plain_counts(spark, sf):
     import public_tokenizers
 
     enc = rollups._encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    want, seen = defaultdict(lambda: [0, 0]), set()
+    want, seen = defaultdict(lambda: [0, 0, 0, 0]), set()
     for r in sorted(spark.read.parquet(f"{sf}/documents.parquet").collect(), key=lambda r: r.doc_id):
-        if r.text not in seen:
-            seen.add(r.text)
-            want[r.source, r.lang, rollups.BYTE_BPE][0] += 1
-            want[r.source, r.lang, rollups.BYTE_BPE][1] += len(enc.encode_ordinary(r.text or ""))
-    got = {(r.source, r.lang, r.tokenizer): [r.docs, r.tokens] for r in rollups.op1_token_counts(spark, sf).collect()}
+        t = r.text or ""
+        for version, n in ((rollups.WORDS, len(t.split())), (rollups.BYTE_BPE, len(enc.encode_ordinary(t)))):
+            x = want[r.source, r.lang, version]
+            x[0], x[1] = x[0] + 1, x[1] + n
+            if t not in seen:
+                x[2], x[3] = x[2] + 1, x[3] + n
+        seen.add(t)
+    got = {(r.source, r.lang, r.tokenizer): [r.docs, r.tokens, r.distinct_docs, r.distinct_tokens] for r in rollups.op1_token_counts(spark, sf).collect()}
     assert got == want
 
 
@@ -34,9 +37,33 @@ def test_signed_changes_and_batches_sent_again(spark):
     assert totals() == {("a", "en"): (2, 11), (None, "en"): (2, 0)}
     r = r.compacted("all")
     assert totals() == {("a", "en"): (2, 11), (None, "en"): (2, 0)}
+    assert not r.commit("1", rollups.inserts(words))  # a late copy of a folded batch counts no second time
+    assert r.commit("odd id / = 'x' \n", rollups.inserts(words.filter("doc_id = 1"))) and r.commit("odd id / = 'x' \n", rollups.inserts(words.filter("doc_id = 1")))
+    assert totals() == {("a", "en"): (3, 13), (None, "en"): (2, 0)}
+    again = rollups.Rollup(spark, r.path)
+    assert sorted(map(repr, again.totals().collect())) == sorted(map(repr, r.totals().collect()))
+
+
+def test_batch_that_breaks_off_leaves_what_was_there(spark):
+    docs = spark.createDataFrame([(1, "a", "en", "one two")], "doc_id long, source string, lang string, text string")
+    words = rollups.counted(docs, rollups.WORDS)
+    r = rollups.Rollup(spark)
+    r.commit("1", rollups.inserts(words))
+    try:
+        r.commit("1", rollups.inserts(words.withColumn("tokens", rollups.F.raise_error(rollups.F.lit("stop")).cast("long"))))
+        raise AssertionError
+    except Exception as e:
+        assert "stop" in str(e)
+    assert r.totals().first().tokens == 2
+
+
+def test_repeated_rows_are_copies(spark):
+    docs = spark.createDataFrame([(1, "a", "en", "x y"), (1, "a", "en", "x y"), (2, "a", "en", "x y"), (None, "a", "en", "x y"), (3, None, None, None), (4, "b", None, "")], "doc_id long, source string, lang string, text string")
+    got = {(r.source, r.lang): (r.docs, r.tokens, r.distinct_docs, r.distinct_tokens) for r in rollups.token_counts(docs).filter("tokenizer = 'words-1'").collect()}
+    assert got == {("a", "en"): (4, 8, 1, 2), (None, None): (1, 0, 1, 0), ("b", None): (1, 0, 0, 0)}
 
 
 def test_long_text_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a", "en", "word " * 300_000)], "doc_id long, source string, lang string, text string")
-    assert rollups.token_counts(docs).first().tokens > 300_000
+    assert rollups.token_counts(docs).filter(rollups.F.col("tokenizer") == rollups.BYTE_BPE).first().tokens > 300_000
     assert rollups.token_counts(docs.limit(0)).count() == 0
