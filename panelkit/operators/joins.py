@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from ..functions import KM_PER_DEGREE, distance_km, week_neighbours
 from ..sources import materialise
 
-#: Rows of the cells up to which a plain comparison with all of them is sent to every task.
-MOST_CELLS = 100_000
-
 
 def merge_daily(products: list[DataFrame], keys: tuple[str, ...] = ("Grid_ID", "Date")) -> DataFrame:
     """Full outer join of all products on cell and day."""
@@ -36,38 +33,60 @@ def join_with_coverage(left: DataFrame, right: DataFrame, on: list[str], least:
     return left.join(right, on), counts.withColumn("coverage", share).withColumn("enough", F.coalesce(share >= least, F.lit(False)))
 
 
+def _beside(targets: DataFrame, side: float, wide: float) -> DataFrame:
+    """targets in the buckets of their own and the eight around: _bx, _by."""
+    near = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    bx, by = F.floor(F.col("cell_lat") / side) + F.col("_n.i"), F.floor(F.col("cell_lon") / wide) + F.col("_n.j")
+    return targets.withColumn("_n", F.explode(near)).withColumn("_bx", bx).withColumn("_by", by).drop("_n")
+
+
+def nearest(rows: DataFrame, lat: str, lon: str, targets: DataFrame, order: list[str], step: float, cos: float, on: tuple[str, ...] = (), key: list[str] | None = None) -> DataFrame:
+    """rows with _best: km to the nearest target (cell_lat, cell_lon) of equal `on`, and its columns `order`, which also decide ties; null without a place or target.
+
+    Rows meet the targets of their own bucket and those around it, which stand there as one array, by
+    an equi-join. A find nearer than a bucket's side is the nearest of all. The other rows try again
+    with buckets of twice the side, until none is left or one bucket spans everything. key: columns
+    that tell rows apart; without it the rows that try again are numbered.
+    """
+    keys, payload = [*on, "_bx", "_by"], [*order, "cell_lat", "cell_lon"]
+    targets = targets.select(*on, *dict.fromkeys(payload))
+    buckets = lambda side: (F.floor(F.col(lat) / side).alias("_bx"), F.floor(F.col(lon) / (side / max(cos, 0.1))).alias("_by"))
+    best = lambda t: F.struct(distance_km(F.col(lat), F.col(lon), t("cell_lat"), t("cell_lon"), cos).alias("km"), *(t(c).alias(c) for c in dict.fromkeys(payload)))
+    sure = lambda side: F.coalesce(F.col("_best.km") < side * KM_PER_DEGREE * 0.999, F.lit(False))
+    known = F.col(lat).isNotNull() & F.col(lon).isNotNull()
+
+    grouped = _beside(targets, step, step / max(cos, 0.1)).groupBy(*keys).agg(F.collect_list(F.struct(*dict.fromkeys(payload))).alias("_there"))
+    first = rows.select("*", *buckets(step)).join(grouped, keys, "left")
+    first = first.withColumn("_best", F.array_min(F.transform("_there", lambda t: best(lambda c: t[c])))).select(*rows.columns, "_best")
+    out = first.filter(sure(step) | ~known)
+    # Row numbers are written down, since they would differ if a lost task ran again.
+    far = materialise(first.filter(~sure(step) & known).drop("_best").withColumn("_id", F.struct(*key) if key else F.monotonically_increasing_id()), "far-rows")
+    place = [F.min("a"), F.max("a"), F.min("b"), F.max("b")]
+    span = far.select(F.col(lat).alias("a"), F.col(lon).alias("b")).unionByName(targets.select(F.col("cell_lat").alias("a"), F.col("cell_lon").alias("b"))).agg(*place).first()
+    most = max(span[1] - span[0], span[3] - span[2]) if None not in span else 0.0
+    side = step
+    while far.limit(1).count():
+        side *= 2
+        met = far.select("*", *buckets(side)).join(_beside(targets, side, side / max(cos, 0.1)), keys)
+        found = met.groupBy("_id").agg(F.min(best(F.col)).alias("_best"))
+        tried = materialise(far.join(found, "_id", "left"), "far-rows")
+        done = sure(side) | F.lit(side > most)
+        out = out.unionByName(tried.filter(done).select(*rows.columns, "_best"))
+        far = tried.filter(~done).drop("_best")
+    return out
+
+
 def snap_to_cells(records: DataFrame, cells: DataFrame, step: float = 0.05, lat: str = "decimalLatitude", lon: str = "decimalLongitude", key: list[str] | None = None) -> DataFrame:
     """Adds Grid_ID, cell_lat, cell_lon and snap_km of the nearest cell; ties go to the lesser cell_ord.
 
-    Distances take the cosine of the records' mean latitude. Records meet the cells of their own
-    and the eight buckets around it by an equi-join. A find nearer than one bucket's side is the
-    nearest of all; other records are compared with every cell, which is bounded by MOST_CELLS.
-    key: columns that tell records apart; without it rows are numbered first.
-    Records stay, far ones with their distance; those without a place keep nulls.
+    Distances take the cosine of the records' mean latitude. Records stay, far ones with their
+    distance; those without a place keep nulls. key: see nearest().
     """
     mean = records.agg(F.avg(lat)).first()[0]
     cos = math.cos(math.radians(mean)) if mean is not None else 1.0
-    wide = step / max(cos, 0.1)
-    bucket = lambda la, lo: (F.floor(la / step).alias("_bx"), F.floor(lo / wide).alias("_by"))
-    # Row numbers are written down, since they would differ if a lost task ran again.
-    r = records.withColumn("_id", F.struct(*key)) if key else materialise(records.withColumn("_id", F.monotonically_increasing_id()), "snap-records")
-    c = cells.select("Grid_ID", "cell_ord", "cell_lat", "cell_lon")
-    near = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    spread = c.withColumn("_n", F.explode(near))
-    bx, by = bucket(F.col("cell_lat"), F.col("cell_lon"))
-    spread = spread.withColumn("_bx", bx + F.col("_n.i")).withColumn("_by", by + F.col("_n.j")).drop("_n")
-    rx, ry = bucket(F.col(lat), F.col(lon))
-    km = distance_km(F.col(lat), F.col(lon), F.col("cell_lat"), F.col("cell_lon"), cos)
-    best = F.min(F.struct(km.alias("snap_km"), "cell_ord", "Grid_ID", "cell_lat", "cell_lon")).alias("_best")
-    keyed = r.select("_id", lat, lon, rx.alias("_bx"), ry.alias("_by"))
-    first = keyed.join(spread, ["_bx", "_by"], "left").groupBy("_id", lat, lon).agg(F.min(F.when(F.col("Grid_ID").isNotNull(), F.struct(km.alias("snap_km"), "cell_ord", "Grid_ID", "cell_lat", "cell_lon"))).alias("_best"))
-    sure = F.coalesce(F.col("_best.snap_km") < step * KM_PER_DEGREE * 0.999, F.lit(False))
-    if cells.limit(MOST_CELLS + 1).count() > MOST_CELLS:
-        raise ValueError("too many cells to compare far records with all of them")
-    far = first.filter(~sure).select("_id", lat, lon).join(F.broadcast(c), F.col(lat).isNotNull() & F.col(lon).isNotNull(), "inner").groupBy("_id").agg(best)
-    found = first.filter(sure).select("_id", "_best").unionByName(far)
-    out = r.join(found, "_id", "left")
-    return out.select(*records.columns, *(F.col(f"_best.{x}").alias(x) for x in ("Grid_ID", "cell_lat", "cell_lon", "snap_km")))
+    names = ("Grid_ID", "cell_lat", "cell_lon")
+    out = nearest(records.drop(*names), lat, lon, cells, ["cell_ord", "Grid_ID"], step, cos, key=key)
+    return out.select(*(c for c in records.columns if c not in names), *(F.col(f"_best.{c}").alias(c) for c in names), F.col("_best.km").alias("snap_km"))
 
 
 def attach_features(weeks: DataFrame, features: DataFrame) -> DataFrame:
@@ -116,17 +135,17 @@ def tier_usage(forecast: DataFrame) -> DataFrame:
     return forecast.agg(share(1), share(2), share(3), F.count("*").alias("n_test"))
 
 
-def support_distance(grid: DataFrame, sampled: DataFrame, window: int = 2) -> DataFrame:
+def support_distance(grid: DataFrame, sampled: DataFrame, window: int = 2, step: float = 0.1) -> DataFrame:
     """grid with support_km, the distance to the nearest cell sampled in a week at most `window` away on the circle of weeks; null without one.
 
     grid: Grid_ID, iso_week, lat, lon; sampled: cell_lat, cell_lon, iso_week. Distances take the
     cosine of the grid's mean latitude.
     """
-    cos = F.cos(F.radians(F.avg("lat"))).alias("_cos")
+    mean = grid.agg(F.avg("lat")).first()[0]
+    cos = math.cos(math.radians(mean)) if mean is not None else 1.0
     near = sampled.select("cell_lat", "cell_lon", F.explode(week_neighbours(F.col("iso_week"), window)).alias("iso_week")).distinct()
-    j = grid.join(near, "iso_week").join(F.broadcast(grid.agg(cos)))
-    d = j.groupBy("Grid_ID", "iso_week").agg(F.min(distance_km(F.col("lat"), F.col("lon"), F.col("cell_lat"), F.col("cell_lon"), F.col("_cos"))).alias("support_km"))
-    return grid.join(d, ["Grid_ID", "iso_week"], "left")
+    out = nearest(grid, "lat", "lon", near, [], step, cos, ("iso_week",))
+    return out.select(*grid.columns, F.col("_best.km").alias("support_km"))
 
 
 def join_week(predicted: DataFrame, observed: DataFrame, week: int) -> DataFrame:

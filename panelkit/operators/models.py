@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Estimator, Model
@@ -10,13 +12,14 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import disagreement, effort_weight, key_hash, opacity, support
 from ..sources import materialise
 from .joins import support_distance
-from .panels import fit_medians, impute
+from .panels import impute
 from .sets import group_kfold, group_shuffle_split
 from .verification import SCHEMES, build_blocks, score
 
@@ -46,6 +49,12 @@ def training_weights(df: DataFrame, balanced: bool = True) -> DataFrame:
     return d.withColumn(WEIGHT, F.col(WEIGHT) * F.when(F.col(LABEL) == 1, n / (2.0 * pos)).otherwise(n / (2.0 * (n - pos))))
 
 
+def sketched_medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    """Medians to replace unknown values with: of a quantile summary of bounded size, in one pass; of all nulls 0."""
+    row = df.agg(*(F.percentile_approx(F.col(c).cast("double"), 0.5, 10_000).alias(c) for c in columns)).first()
+    return {c: float(row[c]) if row[c] is not None else 0.0 for c in columns}
+
+
 class Fitted:
     """A model with the medians of its training rows and, where it is calibrated, its isotonic map."""
 
@@ -69,7 +78,7 @@ class Fitted:
 
 def fit(train: DataFrame, features: list[str], make: Callable[[], Estimator], calibration: DataFrame | None = None, balanced: bool = True) -> Fitted:
     """Medians, weights and model from train alone; the isotonic map from calibration rows."""
-    medians = fit_medians(train, features)
+    medians = sketched_medians(train, features)
     d = impute(training_weights(train, balanced), medians)
     d = VectorAssembler(inputCols=features, outputCol=VECTOR).transform(d.withColumns({c: F.col(c).cast("double") for c in features}))
     fitted = Fitted(make().fit(d), features, medians)
@@ -79,37 +88,66 @@ def fit(train: DataFrame, features: list[str], make: Callable[[], Estimator], ca
     return fitted
 
 
-def pooled_oof(df: DataFrame, features: list[str], make: Callable[[], Estimator], fold: str, keys: list[str], calibrate: bool = False, group: str = "Grid_ID") -> DataFrame:
+def _empty(df: DataFrame, columns: list[str]) -> DataFrame:
+    """No rows of the columns, with fold and p, as out-of-fold predictions have them."""
+    return df.select(*columns, LABEL).limit(0)
+
+
+def _scored(train: DataFrame, aside: DataFrame | None, test: DataFrame, features: list[str], make: Callable[[], Estimator]) -> DataFrame:
+    """test with p: of the model of train, through the isotonic map of aside; where train has one class, the share of its positives (null without rows)."""
+    share, classes = train.agg(F.avg(LABEL), F.countDistinct(LABEL)).first()
+    if classes < 2:
+        return test.withColumn("p", F.lit(share).cast("double"))
+    return fit(train, features, make, aside).predict(test)
+
+
+def pooled_oof(df: DataFrame, features: list[str], make: Callable[[], Estimator], fold: str, keys: list[str], calibrate: bool = False, group: str | None = None, parallel: int = 4) -> DataFrame:
     """keys, presence, fold, p: every row scored by the model that didn't see its fold.
 
-    The driver loops over the folds alone; fitting and scoring are distributed. With calibrate, a
-    quarter of the training groups is set aside for the isotonic map. Folds whose training rows
-    have one class are left out.
+    The driver loops over the folds alone, `parallel` at a time; fitting and scoring are distributed.
+    With calibrate, a quarter of the other folds (or of the groups in them) is set aside for the
+    isotonic map; where nothing would be left to fit on, scores stay raw. A null fold is a fold. Where
+    the training rows have one class, or there are none, p is their share of positives, or null.
     """
-    parts = []
-    for r in df.select(fold).distinct().orderBy(fold).collect():
-        test, train = df.filter(F.col(fold) == r[0]), df.filter(F.col(fold) != r[0])
-        if train.select(LABEL).distinct().count() < 2:
-            continue
-        aside = None
-        if calibrate:
-            split = group_shuffle_split(train, group)
-            train, aside = split.filter("part = 'train'"), split.filter("part = 'calibration'")
-        parts.append(fit(train, features, make, aside).predict(test).select(*keys, LABEL, F.col(fold).cast("string").alias("fold"), "p"))
-    return reduce(DataFrame.unionByName, parts)
+    folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]
+
+    def one(value) -> DataFrame:
+        own = F.col(fold).eqNullSafe(F.lit(value))
+        test, train, aside = df.filter(own), df.filter(~own), None
+        if calibrate and train.select(group or fold).distinct().count() > 1:
+            split = group_shuffle_split(train, group or fold)
+            train, aside = split.filter("part = 'train'").drop("part"), split.filter("part = 'calibration'").drop("part")
+        return _scored(train, aside, test, features, make).select(*keys, LABEL, F.col(fold).cast("string").alias("fold"), "p")
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(folds) or 1))) as pool:
+        parts = list(pool.map(inheritable_thread_target(df.sparkSession)(one), folds))
+    none = _empty(df, keys).withColumn("fold", F.lit(None).cast("string")).withColumn("p", F.lit(None).cast("double"))
+    return reduce(DataFrame.unionByName, parts or [none])
 
 
 def forward_oof(df: DataFrame, features: list[str], make: Callable[[], Estimator], keys: list[str], year: str = "iso_year") -> DataFrame:
     """keys, presence, test_year, p: each year scored by a model of all years before it; with two or more, the last of them calibrates."""
-    years = [r[0] for r in df.select(year).distinct().orderBy(year).collect()]
+    years = [r[0] for r in df.select(year).filter(F.col(year).isNotNull()).distinct().orderBy(year).collect()]
     parts = []
     for i, y in enumerate(years[1:], 1):
         train, aside = df.filter(F.col(year) < y), None
         if i >= 2:
             aside, train = df.filter(F.col(year) == years[i - 1]), df.filter(F.col(year) < years[i - 1])
-        if train.select(LABEL).distinct().count() == 2:
-            parts.append(fit(train, features, make, aside).predict(df.filter(F.col(year) == y)).select(*keys, LABEL, F.col(year).alias("test_year"), "p"))
-    return reduce(DataFrame.unionByName, parts)
+        parts.append(_scored(train, aside, df.filter(F.col(year) == y), features, make).select(*keys, LABEL, F.col(year).alias("test_year"), "p"))
+    none = _empty(df.withColumn("test_year", F.col(year)), [*keys, "test_year"]).withColumn("p", F.lit(None).cast("double"))
+    return reduce(DataFrame.unionByName, parts or [none])
+
+
+def regression_oof(df: DataFrame, features: list[str], make: Callable[[], Estimator], fold: str, keys: list[str], label: str = "mean_log_count") -> DataFrame:
+    """keys, label, fold, p: abundance out of fold, each fold scored by the regressor of the others; null where there are none."""
+    parts = []
+    for r in df.select(fold).distinct().orderBy(fold).collect():
+        own = F.col(fold).eqNullSafe(F.lit(r[0]))
+        test, train = df.filter(own), df.filter(~own & F.col(label).isNotNull())
+        scored = fit(train, features, make, balanced=False).predict(test) if train.limit(1).count() else test.withColumn("p", F.lit(None).cast("double"))
+        parts.append(scored.select(*keys, label, F.col(fold).cast("string").alias("fold"), "p"))
+    none = df.select(*keys, label).limit(0).withColumn("fold", F.lit(None).cast("string")).withColumn("p", F.lit(None).cast("double"))
+    return reduce(DataFrame.unionByName, parts or [none])
 
 
 def forward_scores(oof: DataFrame) -> DataFrame:
@@ -124,7 +162,7 @@ def calibration_table(df: DataFrame, features: list[str], makers: dict[str, Call
     for name, make in makers.items():
         for scheme, fold in (schemes or SCHEMES).items():
             for calibrated in (False, True):
-                s = score(pooled_oof(df, features, make, fold, list(keys), calibrated), LABEL, "p")
+                s = score(materialise(pooled_oof(df, features, make, fold, list(keys), calibrated), "grid-oof"), LABEL, "p")
                 parts.append(s.select(F.lit(name).alias("model"), F.lit(scheme).alias("scheme"), F.lit(calibrated).alias("calibrated"), "*"))
     return reduce(DataFrame.unionByName, parts)
 
@@ -159,7 +197,7 @@ class MaxEnt:
 
     def fit(self, presence: DataFrame, background: DataFrame) -> "MaxEnt":
         both = presence.select(*self.features).withColumn(LABEL, F.lit(1.0)).unionByName(background.select(*self.features).withColumn(LABEL, F.lit(0.0)))
-        self.medians = fit_medians(background, self.features)
+        self.medians = sketched_medians(background, self.features)
         row = both.agg(*(f(c).alias(f"{n}{c}") for c in self.features for n, f in (("a_", F.min), ("b_", F.max)))).first()
         self.low, self.high = ({c: float(row[f"{n}{c}"] or 0.0) for c in self.features} for n in ("a_", "b_"))
         d = self._expanded(both).withColumn(WEIGHT, F.when(F.col(LABEL) == 1, 1.0).otherwise(self.background_weight))
@@ -167,8 +205,6 @@ class MaxEnt:
         eta = self._eta(background)
         peak = eta.agg(F.max("_eta")).first()[0] or 0.0
         z, e = eta.agg(F.sum(F.exp(F.col("_eta") - peak)), F.sum(F.exp(F.col("_eta") - peak) * F.col("_eta"))).first()
-        import math
-
         self.log_sum = peak + math.log(z or 1.0)
         self.entropy = self.log_sum - (e or 0.0) / (z or 1.0)
         return self
@@ -217,25 +253,44 @@ def predict_surface(grid: DataFrame, models: dict[str, Fitted | MaxEnt], sampled
 
 
 def gain_importance(fitted: Fitted, blocks: dict[str, str] | None = None) -> list[tuple[str, str | None, float]]:
-    """feature, block, share of the split gain, from the largest on."""
+    """feature, block, share of the split gain, from the largest on. As many rows as there are features."""
     values = fitted.model.featureImportances.toArray()
     rows = [(c, (blocks or {}).get(c), float(v)) for c, v in zip(fitted.features, values)]
     return sorted(rows, key=lambda r: (-r[2], r[0]))
 
 
-def shapley(fitted: Fitted, rows: DataFrame, background: DataFrame, keys: list[str], permutations: int = 4, seed: int = 42) -> DataFrame:
-    """keys, feature, value: sampled-permutation Shapley values against the background's medians.
+def gain_by_block(gains: DataFrame) -> DataFrame:
+    """block, n_features, gain, pct: the rows of gain_importance() rolled up by block."""
+    g = gains.groupBy("block").agg(F.count("*").alias("n_features"), F.sum("gain").alias("gain"))
+    total = gains.agg(F.sum("gain").alias("_all"))
+    return g.join(F.broadcast(total)).select("block", "n_features", "gain", F.when(F.col("_all") > 0, 100 * F.col("gain") / F.col("_all")).alias("pct"))
+
+
+def background_sample(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
+    """n rows drawn by a hash of their keys: what absent features are replaced with."""
+    return df.orderBy(key_hash(seed, *map(F.col, keys)), *keys).limit(n)
+
+
+def shapley(fitted: Fitted, rows: DataFrame, background: DataFrame, keys: list[str], permutations: int = 4, seed: int = 42, most_background: int = 50) -> DataFrame:
+    """keys, feature, value: sampled-permutation Shapley values against rows of the background.
 
-    Every row meets every permutation and every step of it; all steps are scored in one batch, and
-    the differences between steps are averaged. A row's values sum to its score less the background's.
+    background: at most `most_background` rows are taken (it is a sample of a bounded size by its
+    meaning) and held as one array. Each permutation of a row goes with one of them, drawn by a hash,
+    whose values absent features have. All steps are scored in one batch, and the differences
+    between steps are averaged: a row's values sum to its score less the mean score of its
+    background rows.
     """
-    names, medians = fitted.features, fit_medians(background, fitted.features)
+    names, medians = fitted.features, fitted.medians
+    known = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c]))
+    held = background.select(*names).limit(most_background).agg(F.array_sort(F.collect_list(F.struct(*(known(c).alias(c) for c in names)))).alias("_held"))
     steps = F.explode(F.sequence(F.lit(0), F.lit(len(names)))).alias("_step")
-    d = rows.select(*keys, *names).withColumn("_perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
+    d = rows.select(*keys, *names).withColumn("_perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))).join(F.broadcast(held))
+    turn = F.pmod(key_hash(f"{seed}b", F.col("_perm"), *map(F.col, keys)), F.size("_held")).cast("int")
+    d = d.withColumn("_base", F.get("_held", turn)).drop("_held")
     order = F.array_sort(F.array(*(F.struct(key_hash(seed, F.col("_perm"), F.lit(c)).alias("h"), F.lit(c).alias("c")) for c in names)))
     d = d.withColumn("_order", F.transform(order, lambda x: x["c"])).select("*", steps)
     taken = lambda c: F.array_position("_order", c) <= F.col("_step")
-    d = d.withColumns({c: F.when(taken(c), F.coalesce(F.col(c).cast("double"), F.lit(medians[c]))).otherwise(F.lit(medians[c])) for c in names})
+    d = d.withColumns({c: F.when(taken(c), known(c)).otherwise(F.col(f"_base.{c}")) for c in names})
     s = fitted.raw(d, "_s").select(*keys, "_perm", "_order", "_step", "_s")
     pairs = s.groupBy(*keys, "_perm", "_order").agg(F.transform(F.array_sort(F.collect_list(F.struct("_step", "_s"))), lambda x: x["_s"]).alias("_all"))
     gains = F.transform("_order", lambda c, i: F.struct(c.alias("feature"), (F.get(F.col("_all"), i + 1) - F.get(F.col("_all"), i)).alias("v")))

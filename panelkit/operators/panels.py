@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from itertools import combinations, combinations_with_replacement
+from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import iso_monday, iso_week, iso_year, region_label
 from .joins import without_keys
+from .ordering import exact_percentiles, running
 from .windows import top_per_group
 
 WEEK = ["Grid_ID", "iso_year", "iso_week"]
@@ -68,12 +69,28 @@ def as_absence_rows(absent: DataFrame, min_events: int = 2) -> DataFrame:
     return absent.select(*WEEK, iso_monday(F.col("iso_year"), F.col("iso_week")).alias("week_start"), "cell_lat", "cell_lon", F.lit(0).alias("presence"), F.col("n_other_events").alias("n_events"), zero.alias("mean_log_count"), zero.alias("mean_count"), zero.alias("total_count"), zero.alias("max_count"), (F.col("n_other_events") < min_events).alias("low_n_flag"), "other_count", "n_species")
 
 
-def labelled_panel(records: DataFrame, focal: str, min_other: float = 3, cap: int | None = None) -> DataFrame:
-    """Presences and inferred absences as one panel."""
-    from .sets import union_labelled
-
-    presence = presence_panel(records, focal)
-    return union_labelled(presence, as_absence_rows(infer_absences(cellweek_activity(records, focal), presence, min_other, cap)))
+def labelled_panel(records: DataFrame, focal: str, min_other: float = 3, cap: int | None = None, min_events: int = 2) -> DataFrame:
+    """Presences and inferred absences as one panel, told apart in one aggregation: a cell-week is one or the other, or left out."""
+    mine, c, zero = F.col("species") == focal, F.col("individualCount"), F.lit(0.0)
+    other = F.col("species") != focal
+    own = lambda f, x: f(F.when(mine, x))
+    cw = with_week(records).groupBy(*WEEK).agg(
+        F.count_if(mine).alias("_n"), own(F.avg, F.log1p(c)).alias("_log"), own(F.avg, c).alias("_mean"), own(F.sum, c).alias("_sum"), own(F.max, c).alias("_max"),
+        F.sum(F.when(other, c)).alias("_other"), F.count_if(other).alias("_m"), F.countDistinct(F.when(other, F.col("species"))).alias("_species"),
+        F.coalesce(own(F.min, F.col("cell_lat")), F.min("cell_lat")).alias("cell_lat"), F.coalesce(own(F.min, F.col("cell_lon")), F.min("cell_lon")).alias("cell_lon"),
+        F.coalesce(F.sum(F.when(~other, c)), zero).alias("_focal"),
+    )
+    there = F.col("_n") > 0
+    cw = cw.filter(there | (F.col("_m") > 0) & (F.col("_focal") == 0) & (F.col("_other") >= min_other))
+    if cap is not None:
+        rank = F.row_number().over(Window.partitionBy("Grid_ID", there).orderBy(F.desc("_other"), "iso_year", "iso_week"))
+        cw = cw.withColumn("_rank", rank).filter(there | (F.col("_rank") <= cap))
+    either = lambda a, b: F.when(there, a).otherwise(b)
+    return cw.select(
+        *WEEK, iso_monday(F.col("iso_year"), F.col("iso_week")).alias("week_start"), "cell_lat", "cell_lon", either(1, 0).alias("presence"), either(F.col("_n"), F.col("_m")).alias("n_events"),
+        either(F.col("_log"), zero).alias("mean_log_count"), either(F.col("_mean"), zero).alias("mean_count"), either(F.col("_sum"), zero).alias("total_count"), either(F.col("_max"), zero).alias("max_count"),
+        (either(F.col("_n"), F.col("_m")) < min_events).alias("low_n_flag"), F.when(~there, F.col("_other")).alias("other_count"), F.when(~there, F.col("_species")).alias("n_species"),
+    )
 
 
 def weekly_climatology(daily: DataFrame, columns: list[str]) -> DataFrame:
@@ -89,7 +106,7 @@ def collapse_years(panel: DataFrame, dynamic: list[str], static: list[str], key:
 
 def winsorise(df: DataFrame, column: str, share: float = 0.995) -> tuple[DataFrame, DataFrame]:
     """The column capped at an exact percentile, and one row of the cap and how many rows it cut."""
-    cap = df.agg(F.percentile(column, share).alias("cap"))
+    cap = exact_percentiles(df, [column], [share]).select(F.get("values", F.lit(0)).alias("cap"))
     out = df.join(F.broadcast(cap)).withColumn(column, F.least(column, "cap")).drop("cap")
     cut = df.join(F.broadcast(cap)).agg(F.max("cap").alias("cap"), F.count_if(F.col(column) > F.col("cap")).alias("n_capped"))
     return out, cut
@@ -124,9 +141,9 @@ def block_effort(panel: DataFrame, block: str = "spatial_block") -> DataFrame:
 
 
 def fit_medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
-    """Exact medians of the columns, in one pass; of all nulls 0."""
-    row = df.agg(*(F.percentile(c, 0.5).alias(c) for c in columns)).first()
-    return {c: float(row[c]) if row[c] is not None else 0.0 for c in columns}
+    """Exact medians of the columns, in one job; of all nulls 0."""
+    known = {r["column"]: r["values"][0] for r in exact_percentiles(df, columns, [0.5]).collect()}
+    return {c: float(known.get(c, 0.0)) for c in columns}
 
 
 def impute(df: DataFrame, medians: dict[str, float]) -> DataFrame:
@@ -180,8 +197,8 @@ def nearest_pixel_series(assigned: DataFrame, time: str, bands: list[str], key:
 def average_ranks(df: DataFrame, column: str) -> DataFrame:
     """value, avg_rank of every distinct value: ties share the mean of their ranks."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("_n"))
-    up_to = F.sum("_n").over(Window.orderBy("value"))
-    return counts.select("value", (up_to - (F.col("_n") - 1) / 2).alias("avg_rank"))
+    placed = running(counts, [F.col("value")], {"_before": "_n"})
+    return placed.select("value", (F.col("_before") + (F.col("_n") + 1) / 2).alias("avg_rank"))
 
 
 def corr_matrix(df: DataFrame, columns: list[str], method: str = "pearson") -> DataFrame:
@@ -287,7 +304,3 @@ def block_geography(cells: DataFrame, block: str = "spatial_block") -> DataFrame
     """Cells, centroid, extent and region of each block."""
     g = cells.groupBy(block).agg(F.countDistinct("Grid_ID").alias("n_cells"), F.avg("cell_lat").alias("lat"), F.avg("cell_lon").alias("lon"), F.min("cell_lat").alias("lat_min"), F.max("cell_lat").alias("lat_max"), F.min("cell_lon").alias("lon_min"), F.max("cell_lon").alias("lon_max"))
     return g.withColumn("region", region_label(F.col("lat"), F.col("lon")))
-
-
-def pairs(names: list[str]) -> list[tuple[str, str]]:
-    return list(combinations(names, 2))

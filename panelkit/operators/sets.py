@@ -9,23 +9,22 @@ from pyspark.sql import functions as F
 
 from ..functions import key_hash
 from .joins import without_keys
+from .ordering import numbered
 
 
 def in_order(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.orderBy(*columns)
 
 
-def stored_in_order(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Sorted inside each partition, as files want it; no exchange."""
-    return df.sortWithinPartitions(*columns)
-
-
 def top_n(df: DataFrame, metric: str, n: int, ties: list[str]) -> DataFrame:
     return df.orderBy(F.desc(metric), *ties).limit(n)
 
 
-def union_labelled(presence: DataFrame, absence: DataFrame) -> DataFrame:
-    """Both panels by name, missing columns null."""
+def union_labelled(presence: DataFrame, absence: DataFrame, keys: tuple[str, ...] = ("Grid_ID", "iso_year", "iso_week")) -> DataFrame:
+    """Both panels by name, missing columns null. Raises ValueError where a key stands in both."""
+    both = shared_keys(presence, absence, list(keys))
+    if found := both.limit(1).collect():
+        raise ValueError(f"a key stands in both panels: {found[0].asDict()}")
     return presence.unionByName(absence, allowMissingColumns=True)
 
 
@@ -69,20 +68,19 @@ def sample_background(cells: DataFrame, years: list[int], weeks: list[int], excl
 
 def group_shuffle_split(df: DataFrame, group: str, share: float = 0.25, seed: int = 42) -> DataFrame:
     """Adds part: calibration for the first ceil(share * groups) groups by hash, else train."""
-    groups = df.select(group).distinct()
-    rank = F.row_number().over(Window.orderBy(*_drawn(seed, [group])))
-    total = F.count("*").over(Window.partitionBy())
-    parts = groups.withColumn("part", F.when(rank <= F.ceil(share * total), "calibration").otherwise("train"))
-    return df.join(parts, group)
+    groups = df.select(group).distinct().withColumn("_hash", _drawn(seed, [group])[0])
+    groups = numbered(groups, [F.col("_hash"), F.col(group)], "_place")
+    total = groups.agg(F.count("*").alias("_total"))
+    parts = groups.join(F.broadcast(total)).select(F.col(group).alias("_group"), F.when(F.col("_place") < F.ceil(share * F.col("_total")), "calibration").otherwise("train").alias("part"))
+    return df.join(parts, df[group].eqNullSafe(parts["_group"])).drop("_group")
 
 
 def group_kfold(df: DataFrame, group: str, k: int) -> DataFrame:
     """Adds fold, 0 to k - 1: groups by size, dealt out to and fro."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("_n"))
-    at = F.row_number().over(Window.orderBy(F.desc("_n"), group)) - 1
-    turn, place = F.floor(at / k), at % k
-    folds = sizes.select(group, F.when(turn % 2 == 0, place).otherwise(k - 1 - place).cast("int").alias("fold"))
-    return df.join(folds, group)
+    sizes = numbered(df.groupBy(group).agg(F.count("*").alias("_n")), [F.desc("_n"), F.col(group)], "_at")
+    turn, place = F.floor(F.col("_at") / k), F.col("_at") % k
+    folds = sizes.select(F.col(group).alias("_group"), F.when(turn % 2 == 0, place).otherwise(k - 1 - place).cast("int").alias("fold"))
+    return df.join(folds, df[group].eqNullSafe(folds["_group"])).drop("_group")
 
 
 def prefer_complete(df: DataFrame, columns: list[str], n: int, key: list[str], seed: int = 42) -> DataFrame:

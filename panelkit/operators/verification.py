@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions import fold_label, key_hash
 from .joins import previous_label
+from .ordering import exact_percentiles, numbered, running
 
 
 def lattice_blocks(cells: DataFrame, rows: int = 2, columns: int = 3) -> DataFrame:
-    """Grid_ID, spatial_block: tiles between quantiles of latitude and longitude."""
+    """Grid_ID, spatial_block: tiles between quantiles of latitude and longitude; a single row or column has no cuts."""
     c = cells.select("Grid_ID", "cell_lat", "cell_lon").distinct()
-    inner = lambda n: F.array(*(F.lit(i / n) for i in range(1, n)))
-    cuts = c.agg(F.percentile("cell_lat", inner(rows)).alias("_y"), F.percentile("cell_lon", inner(columns)).alias("_x"))
+    none = F.array().cast("array<double>")
+    inner = lambda v, n: F.percentile(v, F.array(*(F.lit(i / n) for i in range(1, n)))) if n > 1 else F.any_value(none)
+    cuts = c.agg(inner("cell_lat", rows).alias("_y"), inner("cell_lon", columns).alias("_x"))
     above = lambda edges, v: F.size(F.filter(edges, lambda e: v > e))
     block = above(F.col("_y"), F.col("cell_lat")) * columns + above(F.col("_x"), F.col("cell_lon"))
     return c.join(F.broadcast(cuts)).select("Grid_ID", block.cast("int").alias("spatial_block"))
@@ -50,13 +52,13 @@ def group_labels(df: DataFrame, schemes: dict[str, str] | None = None) -> DataFr
 def curve(df: DataFrame, y: str, p: str, by: list[str], weight: str | None = None) -> DataFrame:
     """by, p, pos, neg and what stands above: tp, fp before each score, from the highest on. Ties are one row.
 
-    Scores are summed before the window, so that it runs over distinct scores of a group alone.
+    Scores are summed first, so that what is ordered are the distinct scores of a group; they are
+    dealt out by ranges, so that no group is ordered in one task.
     """
     w = F.col(weight) if weight else F.lit(1)
     d = df.filter(F.col(p).isNotNull() & F.col(y).isNotNull())
     g = d.groupBy(*by, F.col(p).cast("double").alias("p")).agg(F.sum(F.when(F.col(y) == 1, w).otherwise(0)).cast("double").alias("pos"), F.sum(F.when(F.col(y) == 1, 0).otherwise(w)).cast("double").alias("neg"))
-    above = Window.partitionBy(*by).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, -1)
-    return g.withColumn("tp", F.coalesce(F.sum("pos").over(above), F.lit(0.0))).withColumn("fp", F.coalesce(F.sum("neg").over(above), F.lit(0.0)))
+    return running(g, [F.desc("p")], {"tp": "pos", "fp": "neg"}, by)
 
 
 def score(df: DataFrame, y: str = "y", p: str = "p", by: list[str] | None = None, weight: str | None = None) -> DataFrame:
@@ -90,7 +92,7 @@ def reliability(df: DataFrame, y: str = "y", p: str = "p", bins: int = 10, by: l
 def quantile_reliability(df: DataFrame, y: str = "y", p: str = "p", bins: int = 10, least: int = 15) -> DataFrame:
     """The same in bins between distinct quantiles, without bins of fewer than `least` rows; ties stay together."""
     d = df.filter(F.col(p).isNotNull() & F.col(y).isNotNull())
-    edges = d.agg(F.array_distinct(F.percentile(p, F.array(*(F.lit(i / bins) for i in range(bins + 1))))).alias("_e"))
+    edges = exact_percentiles(d, [p], [i / bins for i in range(bins + 1)]).select(F.array_distinct("values").alias("_e"))
     inner = F.slice("_e", F.lit(2), F.greatest(F.size("_e") - 2, F.lit(0)))
     d = d.join(F.broadcast(edges)).withColumn("bin", F.size(F.filter(inner, lambda e: F.col(p) > e)))
     return d.groupBy("bin").agg(F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.avg(y).alias("observed")).filter(F.col("n") >= least)
@@ -156,7 +158,8 @@ def draws(units: DataFrame, unit: str, n_boot: int, seed: int = 42) -> DataFrame
 
     The k-th draw of a replicate is a hash of both, modulo the number of units; units are numbered by name.
     """
-    u = units.select(unit).distinct().withColumn("_i", F.row_number().over(Window.orderBy(unit)) - 1).withColumn("_g", F.count("*").over(Window.partitionBy()))
+    u = numbered(units.select(unit).distinct(), [F.col(unit)], "_i")
+    u = u.join(F.broadcast(u.agg(F.count("*").alias("_g"))))
     each = u.select("_i", "_g", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("replicate"))
     got = each.select("replicate", (key_hash(seed, F.col("replicate"), F.col("_i")) % F.col("_g")).alias("_i")).groupBy("replicate", "_i").agg(F.count("*").alias("times"))
     return got.join(u.select("_i", unit), "_i").select("replicate", unit, "times")
@@ -194,6 +197,28 @@ def paired_differences(wide: DataFrame, models: list[str], unit: str, n_boot: in
     return x.groupBy("a", "b").agg(F.avg("d").alias("mean"), F.percentile("d", 0.025).alias("lo"), F.percentile("d", 0.975).alias("hi"), F.avg((F.col("d") > 0).cast("double")).alias("favours_a"))
 
 
+def against_reference(wide: DataFrame, p: str, reference: str, unit: str, n_boot: int, seed: int = 42, y: str = "y") -> DataFrame:
+    """statistic (brier_diff: reference - p, bss, roc_diff: p - reference), point, lo, hi, n_blocks, n_boot (draws where it can be told), significant.
+
+    On rows where both are known, with units drawn as blocks; squared errors are summed by unit first.
+    A draw of one class has no statistic. significant: the interval leaves out 0.
+    """
+    d = wide.dropna(subset=[p, reference, y])
+    long = d.unpivot([y, unit], [p, reference], "model", "p")
+    stats = ["brier", "roc_auc"]
+
+    def told(scores: DataFrame, by: list[str]) -> DataFrame:
+        one = scores.groupBy(*by).agg(*(F.max(F.when((F.col("model") == m) & F.col("roc_auc").isNotNull(), F.col(s))).alias(f"{s}_{k}") for s in stats for k, m in (("m", p), ("r", reference))))
+        values = {"brier_diff": F.col("brier_r") - F.col("brier_m"), "bss": F.when(F.col("brier_r") > 0, 1 - F.col("brier_m") / F.col("brier_r")), "roc_diff": F.col("roc_auc_m") - F.col("roc_auc_r")}
+        return one.select(*by, *(v.alias(k) for k, v in values.items())).unpivot(by, list(values), "statistic", "value")
+
+    point = told(score(long, y, "p", ["model"]).withColumn("_all", F.lit(0)), ["_all"]).select("statistic", F.col("value").alias("point"))
+    reps = told(bootstrap_scores(long, unit, n_boot, seed, y, "p", ["model"]), ["replicate"])
+    ci = reps.groupBy("statistic").agg(F.percentile("value", 0.025).alias("lo"), F.percentile("value", 0.975).alias("hi"), F.count("value").alias("n_boot"))
+    blocks = d.select(unit).distinct().agg(F.count("*").alias("n_blocks"))
+    return point.join(ci, "statistic").join(F.broadcast(blocks)).withColumn("significant", F.coalesce((F.col("lo") > 0) | (F.col("hi") < 0), F.lit(False)))
+
+
 def brier_against(wide: DataFrame, p: str, reference: str, unit: str, n_boot: int, seed: int = 42, y: str = "y") -> DataFrame:
     """Mean brier difference (reference - p) and skill with their intervals; squared errors are summed by unit first."""
     sums = wide.dropna(subset=[p, reference, y]).groupBy(unit).agg(F.count("*").alias("_n"), F.sum((F.col(p) - F.col(y)) ** 2).alias("_p"), F.sum((F.col(reference) - F.col(y)) ** 2).alias("_r"))

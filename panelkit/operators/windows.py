@@ -65,10 +65,15 @@ def build_dynamic_features(daily: DataFrame, start: str, end: str, climate: tupl
 
 
 def asof_features(daily: DataFrame, mondays: DataFrame, specs: dict[str, tuple[str, str, int]], key: str = "Grid_ID", day: str = "Date") -> DataFrame:
-    """Aggregates of the days before each Monday (column monday): name -> (column, sum|mean|min|max, days). Any value counts, none gives null."""
+    """Aggregates of the days before each Monday (column monday): name -> (column, sum|mean|min|max, days). Any value counts, none gives null.
+
+    A day meets the few Mondays in reach of it, one in seven of the days that follow.
+    """
     most = max(n for _, _, n in specs.values())
     m = mondays.select("monday").distinct()
-    d = daily.withColumn("monday", F.explode(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda k: F.date_add(F.col(day), k.cast("int")))))
+    first = F.next_day(day, "Mon")
+    ahead = F.transform(F.sequence(F.lit(0), F.lit((most - 1) // 7)), lambda k: F.date_add(first, (7 * k).cast("int")))
+    d = daily.withColumn("monday", F.explode(F.filter(ahead, lambda x: F.datediff(x, F.col(day)) <= most)))
     d = d.join(m, "monday")
     ago = F.datediff("monday", F.col(day))
     how = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max}

@@ -37,15 +37,16 @@ def yearly(spark, sf):
     path = io.work_dir(spark, "orders-yearly")
     o = table(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
     io.write_yearly(o, path, ("o_orderkey",))
-    return spark.read.parquet(path).groupBy("year").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
+    return io.read_yearly(spark, path).groupBy("year").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
 
 
 @R.add("io5_io7_reports", "SELECT event_id, year(ts)::INT AS report_year, coalesce('{\"n\":' || (json_extract(props, '$.n'))::VARCHAR || '}', '{}') AS detail FROM events WHERE year(ts) = 2024")
 def reports(spark, sf):
     e = table(spark, sf, "events").select("event_id", F.col("ts").cast("string").alias("report_date"), F.from_json("props", "n bigint").alias("detail"))
     path = io.work_dir(spark, "reports-json")
-    e.write.json(path)
-    back = spark.read.schema(e.schema).json(path)
+    # Each line an array of one report, as the service's files hold arrays of reports.
+    e.select(F.concat(F.lit("["), F.to_json(F.struct("*")), F.lit("]")).alias("value")).write.text(path)
+    back = io.read_reports(spark, path, e.schema, lines=True)
     return io.filter_report_years(io.stringify_nested(back), [2024]).select("event_id", "report_year", "detail")
 
 

@@ -79,14 +79,14 @@ def tiers(spark, sf):
     return op.tier_usage(op.climatology_forecast(p.filter("iso_year < 1998"), p.filter("iso_year >= 1998")))
 
 
-_GRID = "SELECT Grid_ID, cell_lat AS lat, cell_lon AS lon, w::INT AS iso_week FROM cells, (SELECT unnest([1, 10, 27, 53]) AS w)"
-_SAMPLED = "SELECT DISTINCT cell_lat, cell_lon, iso_week FROM panel WHERE other_count > 60"
+_GRID = "SELECT Grid_ID, cell_lat AS lat, cell_lon AS lon, w::INT AS iso_week FROM cells, (SELECT unnest(range(1, 54)) AS w)"
+_SAMPLED = "SELECT DISTINCT cell_lat, cell_lon, iso_week FROM panel"
 
 
 @R.add("j10_support_distance", sql("panel", "SELECT g.Grid_ID, g.iso_week, min(111 * sqrt((lat - cell_lat) ** 2 + ((lon - cell_lon) * (SELECT cos(radians(avg(lat))) FROM grid)) ** 2)) AS support_km FROM grid g LEFT JOIN sampled s ON least((g.iso_week - s.iso_week + 53) % 53, (s.iso_week - g.iso_week + 53) % 53) <= 2 GROUP BY 1, 2", grid=_GRID, sampled=_SAMPLED), "support_km")
 def supported(spark, sf):
-    g = cells(spark, sf).select("Grid_ID", F.col("cell_lat").alias("lat"), F.col("cell_lon").alias("lon"), F.explode(F.array(*map(F.lit, (1, 10, 27, 53)))).alias("iso_week"))
-    s = panel(spark, sf).filter("other_count > 60").select("cell_lat", "cell_lon", "iso_week").distinct()
+    g = cells(spark, sf).select("Grid_ID", F.col("cell_lat").alias("lat"), F.col("cell_lon").alias("lon"), F.explode(F.sequence(F.lit(1), F.lit(53))).alias("iso_week"))
+    s = panel(spark, sf).select("cell_lat", "cell_lon", "iso_week").distinct()
     return op.support_distance(g, s, 2).select("Grid_ID", "iso_week", "support_km")
 
 

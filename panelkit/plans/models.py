@@ -15,12 +15,7 @@ FEATURES = ["cell_lat", "cell_lon", "sin_doy", "cos_doy"]
 KEYS = ["Grid_ID", "iso_year", "iso_week"]
 
 
-def small_boost():
-    return op.boosted_classifier(maxIter=5, maxDepth=3)
-
-
-def small_forest():
-    return op.forest_classifier(numTrees=10, maxDepth=4)
+boost, forest_model = op.boosted_classifier, op.forest_classifier
 
 
 def model_table(spark, sf) -> DataFrame:
@@ -35,9 +30,10 @@ def model_table(spark, sf) -> DataFrame:
 
 
 def grid(spark, sf) -> DataFrame:
+    """All cells in all weeks of a year of 53 weeks."""
     from ..functions import iso_monday, season
 
-    g = cells(spark, sf).withColumn("iso_week", F.explode(F.array(F.lit(10), F.lit(30))))
+    g = cells(spark, sf).withColumn("iso_week", F.explode(F.sequence(F.lit(1), F.lit(53))))
     sin, cos = season(iso_monday(F.lit(1998), F.col("iso_week")))
     return g.select("Grid_ID", "iso_week", F.col("cell_lat").alias("lat"), F.col("cell_lon").alias("lon"), "cell_lat", "cell_lon", sin.alias("sin_doy"), cos.alias("cos_doy"))
 
@@ -45,46 +41,55 @@ def grid(spark, sf) -> DataFrame:
 @R.add("m1_abundance_regressor")
 def regressor(spark, sf):
     d = model_table(spark, sf).filter("presence = 1")
-    f = op.fit(d, FEATURES, lambda: op.boosted_regressor(maxIter=5, maxDepth=3), balanced=False)
-    return v.regression_logo(f.predict(d), "mean_log_count", "p", "spatial_block")
+    oof = op.regression_oof(d, FEATURES, op.boosted_regressor, "spatial_block", KEYS)
+    return v.regression_logo(oof, "mean_log_count", "p", "fold")
+
+
+@R.add("m1_abundance_by_year")
+def regressor_by_year(spark, sf):
+    d = model_table(spark, sf).filter("presence = 1")
+    return v.regression_logo(op.regression_oof(d, FEATURES, op.boosted_regressor, "iso_year", KEYS), "mean_log_count", "p", "fold")
 
 
 @R.add("m2_v3_v7_boosted_oof_calibrated")
 def boosted(spark, sf):
-    return op.pooled_oof(model_table(spark, sf), FEATURES, small_boost, "spatial_block", KEYS, calibrate=True)
+    return op.pooled_oof(model_table(spark, sf), FEATURES, boost, "spatial_block", KEYS, calibrate=True)
 
 
 @R.add("m3_v3_forest_oof")
 def forest(spark, sf):
-    return v.score(op.pooled_oof(model_table(spark, sf), FEATURES, small_forest, "spatial_block", KEYS), "presence", "p", ["fold"])
+    return v.score(op.pooled_oof(model_table(spark, sf), FEATURES, forest_model, "spatial_block", KEYS), "presence", "p", ["fold"])
 
 
 @R.add("v5_forward_scores")
 def forward(spark, sf):
-    return op.forward_scores(op.forward_oof(model_table(spark, sf).filter("iso_year <= 1998"), FEATURES, small_forest, KEYS))
+    return op.forward_scores(op.forward_oof(model_table(spark, sf), FEATURES, forest_model, KEYS))
 
 
 @R.add("v16_a17_seed_sensitivity")
 def seeds(spark, sf):
     from ..operators.panels import seed_spread
 
-    s = op.seed_scores(model_table(spark, sf), FEATURES, small_forest, [42, 43], KEYS)
+    s = op.seed_scores(model_table(spark, sf), FEATURES, forest_model, [42, 43], KEYS)
     return seed_spread(s.withColumn("model", F.lit("forest")), ["roc_auc", "brier"], ["model"])
 
 
 @R.add("v20_calibration_grid")
 def diagnosis(spark, sf):
-    return op.calibration_table(model_table(spark, sf), FEATURES, {"forest": small_forest}, {"spatial": "spatial_block"})
+    return op.calibration_table(model_table(spark, sf), FEATURES, {"boosted": boost, "forest": forest_model}, {"spatial": "spatial_block", "spatiotemporal": "st_block"})
 
 
 @R.add("m4_maxent")
 def maxent(spark, sf):
-    from ..operators.sets import sample_background
+    from ..operators.sets import sample_background, stack
 
     d = model_table(spark, sf)
     g = grid(spark, sf)
-    b = sample_background(cells(spark, sf), [1998], [10, 30], d.limit(0), 1000).join(g, ["Grid_ID", "iso_week"])
-    return op.MaxEnt(FEATURES).fit(d.filter("presence = 1"), b).predict(g).select("Grid_ID", "iso_week", "p")
+    b = sample_background(cells(spark, sf), [1998], list(range(1, 54)), d.limit(0), 1000).join(g, ["Grid_ID", "iso_week"])
+    # Two variants: a random background, and the cell-weeks where others were sampled (the target group).
+    found = {"random": b, "target_group": d.filter("presence = 0")}
+    fits = {k: op.MaxEnt(FEATURES).fit(d.filter("presence = 1"), x).predict(g).select("Grid_ID", "iso_week", "p") for k, x in found.items()}
+    return stack(fits, "variant")
 
 
 @R.add("m5_training_set", sql("panel", "SELECT presence, count(*) AS n FROM (SELECT presence FROM panel WHERE presence = 1 UNION ALL SELECT 0::INT FROM cells) GROUP BY 1"))
@@ -95,7 +100,7 @@ def assembled(spark, sf):
 @R.add("m6_m8_surface")
 def surface(spark, sf):
     d = model_table(spark, sf)
-    models = {"boosted": op.fit_calibrated(d, FEATURES, small_boost, KEYS), "forest": op.fit_calibrated(d, FEATURES, small_forest, KEYS)}
+    models = {"boosted": op.fit_calibrated(d, FEATURES, boost, KEYS), "forest": op.fit_calibrated(d, FEATURES, forest_model, KEYS)}
     sampled = d.select("cell_lat", "cell_lon", "iso_week").distinct()
     return op.predict_surface(grid(spark, sf), models, sampled)
 
@@ -103,18 +108,30 @@ def surface(spark, sf):
 @R.add("m7_m9_hold_out_year")
 def held(spark, sf):
     d = model_table(spark, sf)
-    return op.predict_surface(grid(spark, sf), {"forest": op.fit_before(d, FEATURES, small_forest, 1998)})
+    return op.predict_surface(grid(spark, sf), {"forest": op.fit_before(d, FEATURES, forest_model, 1998)})
+
+
+BLOCKS = {"cell_lat": "place", "cell_lon": "place", "sin_doy": "season", "cos_doy": "season"}
+
+
+def gains(spark, sf) -> DataFrame:
+    f = op.fit(model_table(spark, sf), FEATURES, forest_model)
+    return spark.createDataFrame(op.gain_importance(f, BLOCKS), "feature string, block string, gain double")
 
 
 @R.add("m10_gain_importance")
 def gain(spark, sf):
-    f = op.fit(model_table(spark, sf), FEATURES, small_forest)
-    blocks = {"cell_lat": "place", "cell_lon": "place", "sin_doy": "season", "cos_doy": "season"}
-    return spark.createDataFrame(op.gain_importance(f, blocks), "feature string, block string, gain double")
+    return gains(spark, sf)
+
+
+@R.add("m10_gain_by_block")
+def gain_blocks(spark, sf):
+    return op.gain_by_block(gains(spark, sf))
 
 
 @R.add("m11_shapley")
 def attributions(spark, sf):
+    """Every row of the panel, against a sample of 50 of its rows."""
     d = model_table(spark, sf)
-    f = op.fit(d, FEATURES, small_forest)
-    return op.shapley(f, d.filter("iso_year = 1998 and iso_week <= 5").select(*KEYS, *FEATURES), d, KEYS, 2)
+    f = op.fit(d, FEATURES, forest_model)
+    return op.shapley(f, d.select(*KEYS, *FEATURES), op.background_sample(d, 50, KEYS), KEYS, 2)

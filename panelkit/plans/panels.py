@@ -152,6 +152,39 @@ def decorrelated(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_linenumber").agg(*(F.avg(c).alias(c) for c in kept if c in ("l_quantity", "l_discount")))
 
 
+_KEPT = [c for c in _COLS if c != "l_tax"]
+
+
+def _greedy(columns: list[str], strong: str) -> list[str]:
+    """For each column, whether none before it that was taken itself is strongly correlated with it."""
+    done: list[str] = []
+    for i, c in enumerate(columns):
+        done.append("(" + (" AND ".join(f"NOT ({done[j]} AND {strong.format(a=columns[j], b=c)})" for j in range(i)) or "true") + ")")
+    return done
+
+
+_CORR = f"WITH num AS ({_NUM}), c AS (SELECT {', '.join(f'abs(corr({a}, {b})) AS r_{a}_{b}' for a, b in _PAIRS if a != b)} FROM num)"
+_STRONG, _GROUPED = "coalesce(r_{a}_{b} > 0.9, false)", "coalesce(r_{a}_{b} >= 0.9, false)"
+_HEADS = _greedy(_COLS, _GROUPED)
+
+
+def _head(i: int) -> str:
+    taken = " ".join(f"WHEN {_HEADS[j]} AND {_GROUPED.format(a=_COLS[j], b=_COLS[i])} THEN '{_COLS[j]}'" for j in range(i))
+    return f"CASE {taken} ELSE '{_COLS[i]}' END" if taken else f"'{_COLS[i]}'"
+
+
+@R.add("a24_kept_columns", f"{_CORR} " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, {k} AS kept FROM c" for c, k in zip(_KEPT, _greedy(_KEPT, _STRONG))))
+def kept_columns(spark, sf):
+    kept = op.decorrelated(op.corr_matrix(numbers(spark, sf), _COLS), _KEPT, 0.9)
+    return spark.createDataFrame([(c, c in kept) for c in _KEPT], "column_name string, kept boolean")
+
+
+@R.add("a24_groups", f"{_CORR} " + " UNION ALL ".join(f"SELECT {_head(i)} AS head, '{c}' AS column_name FROM c" for i, c in enumerate(_COLS)))
+def groups(spark, sf):
+    found = op.correlated_groups(op.corr_matrix(numbers(spark, sf), _COLS), _COLS, 0.9)
+    return spark.createDataFrame([(g[0], c) for g in found for c in g], "head string, column_name string")
+
+
 @R.add("a25_importance", "WITH v AS (SELECT avg(abs(l_quantity - l_extendedprice / 1000)) AS s, avg(abs(l_discount - l_tax)) AS r FROM lineitem) SELECT 'size' AS block, 2::INT AS n_features, s AS mean_abs, 100 * s / (s + r) AS pct FROM v UNION ALL SELECT 'rate', 2, r, 100 * r / (s + r) FROM v", "mean_abs pct")
 def importance(spark, sf):
     d = table(spark, sf, "lineitem").select("l_quantity", (-F.col("l_extendedprice") / 1000).alias("price"), "l_discount", (-F.col("l_tax")).alias("tax"))

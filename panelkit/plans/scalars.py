@@ -11,9 +11,10 @@ R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
 
 
-@R.add("f1_f4_climate_arithmetic", sql("daily", 'SELECT Grid_ID, "Date", (tmax + tmin) / 2 AS mid, 610.78::DOUBLE * exp(17.27::DOUBLE * tmean / (tmean + 237.3::DOUBLE)) - prcp AS vpd, EVI * 0.0001::DOUBLE AS evi, (EVI - NDWI) / nullif(EVI + NDWI, 0) AS nd FROM daily'), "mid vpd evi nd")
+@R.add("f1_f4_climate_arithmetic", sql("daily", 'SELECT Grid_ID, "Date", (tmax + tmin) / 2 AS mid, 610.78::DOUBLE * exp(17.27::DOUBLE * tmean / (tmean + 237.3::DOUBLE)) - prcp AS vpd, EVI * 0.0001::DOUBLE AS evi, (EVI - NDWI) / nullif(EVI + NDWI, 0) AS nd FROM (SELECT Grid_ID, "Date", tmax, tmin, round(tmean, 6) AS tmean, round(prcp, 6) AS prcp, round(EVI, 6) AS EVI, round(NDWI, 6) AS NDWI FROM daily)'), "mid vpd evi nd")
 def climate(spark, sf):
-    c = F.col
+    # Means are rounded first: their last digits depend on the order in which rows are added up.
+    c = lambda x: F.col(x) if x in ("tmax", "tmin") else F.round(x, 6)
     return daily(spark, sf).select("Grid_ID", "Date", fn.mean_temperature(c("tmax"), c("tmin")).alias("mid"), fn.vapour_deficit(c("tmean"), c("prcp")).alias("vpd"), fn.rescale(c("EVI")).alias("evi"), fn.normalised_difference(c("EVI"), c("NDWI")).alias("nd"))
 
 

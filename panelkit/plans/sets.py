@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import sets as op
-from ._tables import Registry, cells, daily, panel, scores, sql, table
+from ..operators import panels, sets as op
+from ._tables import FOCAL, Registry, cells, clean_records, daily, panel, scores, sql, table
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
@@ -28,6 +28,14 @@ def disjoint(spark, sf):
     return op.shared_keys(p.filter("presence = 1"), p.filter("presence = 0"), ["Grid_ID", "iso_year", "iso_week"]).agg(F.count("*").alias("n_shared"))
 
 
+@R.add("s3_union_labelled", sql("panel", "SELECT presence, count(*) AS n FROM panel GROUP BY 1"))
+def united(spark, sf):
+    r = clean_records(spark, sf)
+    presence = panels.presence_panel(r, FOCAL)
+    absence = panels.as_absence_rows(panels.infer_absences(panels.cellweek_activity(r, FOCAL), presence))
+    return op.union_labelled(presence, absence).groupBy("presence").agg(F.count("*").alias("n"))
+
+
 @R.add("s4_stack", "SELECT 'customer' AS side, c_nationkey AS nation, avg(c_acctbal) AS bal, count(*) AS n FROM customer GROUP BY 2 UNION ALL SELECT 'supplier', s_nationkey, avg(s_acctbal), count(*) FROM supplier GROUP BY 2", "bal")
 def stacked(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("bal"))
@@ -48,9 +56,9 @@ def stratified(spark, sf):
     return op.stratified_sample(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), 200, "o_orderstatus", ["o_orderkey"])
 
 
-@R.add("s7_sample_background", sql("panel", f"SELECT c.Grid_ID, y.y::INT AS iso_year, w.w::INT AS iso_week FROM cells c, (SELECT unnest([1996, 1997, 1998]) AS y) y, (SELECT unnest(range(1, 53)) AS w) w WHERE NOT EXISTS (SELECT 1 FROM panel p WHERE p.presence = 1 AND p.Grid_ID = c.Grid_ID AND p.iso_year = y.y AND p.iso_week = w.w) ORDER BY {_H(42, 'c.Grid_ID', 'y.y', 'w.w')}, c.Grid_ID, y.y, w.w LIMIT 300"))
+@R.add("s7_sample_background", sql("panel", f"SELECT c.Grid_ID, y.y::INT AS iso_year, w.w::INT AS iso_week FROM cells c, (SELECT unnest(range(1995, 2002)) AS y) y, (SELECT unnest(range(1, 54)) AS w) w WHERE NOT EXISTS (SELECT 1 FROM panel p WHERE p.presence = 1 AND p.Grid_ID = c.Grid_ID AND p.iso_year = y.y AND p.iso_week = w.w) ORDER BY {_H(42, 'c.Grid_ID', 'y.y', 'w.w')}, c.Grid_ID, y.y, w.w LIMIT 300"))
 def background(spark, sf):
-    return op.sample_background(cells(spark, sf), [1996, 1997, 1998], list(range(1, 53)), panel(spark, sf).filter("presence = 1"), 300)
+    return op.sample_background(cells(spark, sf), list(range(1995, 2002)), list(range(1, 54)), panel(spark, sf).filter("presence = 1"), 300)
 
 
 @R.add("s8_group_shuffle_split", sql("scores", f"SELECT s.grp, CASE WHEN r <= ceil(0.25 * n) THEN 'calibration' ELSE 'train' END AS part, count(*) AS n_rows FROM scores s JOIN (SELECT grp, row_number() OVER (ORDER BY {_H(42, 'grp')}, grp) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT grp FROM scores)) g ON s.grp = g.grp GROUP BY 1, 2"))

@@ -130,6 +130,22 @@ def against(spark, sf):
     return op.brier_against(scores(spark, sf), "p", "p2", "yr", _REPS)
 
 
+_REF = " UNION ALL ".join(f"SELECT {{by}}, '{n}' AS statistic, {v} AS value FROM {{one}}" for n, v in (("brier_diff", "br - bm"), ("bss", "CASE WHEN br > 0 THEN 1 - bm / br END"), ("roc_diff", "rm - rr")))
+_ONE = ", ".join(f"max({c}) FILTER (model = '{m}' AND roc_auc IS NOT NULL) AS {a}" for m, c, a in (("p3", "brier", "bm"), ("p", "brier", "br"), ("p3", "roc_auc", "rm"), ("p", "roc_auc", "rr")))
+
+
+@R.add(
+    "v15_against_reference",
+    sql("scores", "SELECT p.statistic, p.value AS point, quantile_cont(r.value, 0.025) AS lo, quantile_cont(r.value, 0.975) AS hi, count(r.value) AS n_boot, (SELECT count(DISTINCT yr) FROM scores) AS n_blocks, coalesce(quantile_cont(r.value, 0.025) > 0 OR quantile_cont(r.value, 0.975) < 0, false) AS significant FROM point p LEFT JOIN reps r ON p.statistic = r.statistic GROUP BY 1, 2",
+        draws=_draws(100), two="SELECT y, yr, 'p3' AS model, p3 AS s FROM scores UNION ALL SELECT y, yr, 'p', p FROM scores", boot="SELECT s.*, d.replicate, d.times FROM two s JOIN draws d ON s.yr = d.unit",
+        sa=_score("SELECT * FROM two", p="s", by="model"), onea=f"SELECT 0 AS zero, {_ONE} FROM sa", point=_REF.format(by="zero", one="onea"),
+        sr=_score("SELECT * FROM boot", p="s", by="replicate, model", weight="times"), oner=f"SELECT replicate, {_ONE} FROM sr GROUP BY 1", reps=_REF.format(by="replicate", one="oner")),
+    "point lo hi",
+)
+def against_both(spark, sf):
+    return op.against_reference(scores(spark, sf), "p3", "p", "yr", 100)
+
+
 @R.add("v17_regression_logo", "SELECT l_linenumber, count(*) AS n, 1 - sum((y - p) ** 2) / (sum(y ** 2) - sum(y) ** 2 / count(*)) AS r2, sqrt(sum((y - p) ** 2) / count(*)) AS rmse FROM (SELECT l_linenumber, l_extendedprice / 1000 AS y, l_quantity * 1.5::DOUBLE AS p FROM lineitem) GROUP BY ROLLUP (l_linenumber)", "r2 rmse")
 def regression(spark, sf):
     d = table(spark, sf, "lineitem").select("l_linenumber", (F.col("l_extendedprice") / 1000).alias("y"), (F.col("l_quantity") * 1.5).alias("p"))

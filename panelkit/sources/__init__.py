@@ -15,9 +15,11 @@ OCCURRENCES = "gbifID string, species string, individualCount double, decimalLat
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all machines share (spark.checkpoint.dir), a local one where that is unset."""
+    """A new path in the folder that all machines share (spark.checkpoint.dir). Where that is unset: a local one for a session on one machine, else ValueError."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="panelkit-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -44,18 +46,20 @@ def read_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFram
 
 
 def read_yearly(spark: SparkSession, path: str, pattern: str = "*.parquet", exclude: str | None = None) -> DataFrame:
-    """All files of a pattern as one table, with the year that stands in each file's name; names that match `exclude` are left out."""
+    """All files of a pattern as one table, with the year of each file's folder (year=...) or in its name; names that match `exclude` are left out."""
     df = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").parquet(path)
-    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    df = df.withColumn("_name", name)
+    parts = F.split(F.input_file_name(), "/")
+    name = F.element_at(parts, -1)
+    df = df.withColumn("_name", name).withColumn("_folder", F.element_at(parts, -2))
     if exclude:
         df = df.filter(~F.col("_name").rlike(exclude))
-    return df.withColumn("year", F.regexp_extract("_name", r"(\d{4})", 1).try_cast("int")).drop("_name")
+    year = F.coalesce(F.regexp_extract("_folder", r"^year=(\d{4})$", 1).try_cast("int"), F.regexp_extract("_name", r"(?<!\d)(\d{4})(?!\d)", 1).try_cast("int"))
+    return df.withColumn("year", year).drop("_name", "_folder")
 
 
-def read_reports(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """JSON arrays of report objects; nested fields stay structs and arrays."""
-    reader = spark.read.option("multiLine", True)
+def read_reports(spark: SparkSession, path: str, schema: T.StructType | None = None, lines: bool = False) -> DataFrame:
+    """JSON arrays of report objects, one to a file, or one to a line; nested fields stay structs and arrays. A file of lines is read by many tasks."""
+    reader = spark.read.option("multiLine", not lines)
     return (reader.schema(schema) if schema is not None else reader).json(path)
 
 
@@ -86,7 +90,8 @@ def filter_report_years(df: DataFrame, years: list[int], column: str | None = No
 
 def write_yearly(df: DataFrame, path: str, sort: tuple[str, ...] = ()) -> None:
     """Parquet in one folder for each year, rows of a file in order."""
-    df = df.repartition("year")
+    # A year isn't one task's: Spark cuts large ones into files of the advised size.
+    df = df.hint("rebalance", "year")
     (df.sortWithinPartitions("year", *sort) if sort else df).write.mode("overwrite").partitionBy("year").parquet(path)
 
 
@@ -94,10 +99,10 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
-def upsert_latest(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of both; of rows with equal keys, those of `new` replace those of `old`."""
+def upsert_latest(old: DataFrame, new: DataFrame, keys: list[str], latest: str | None = None) -> DataFrame:
+    """One row for each key: of rows with equal keys, those of `new` replace those of `old`; of several of one side, the one with the greatest `latest`."""
     both = old.withColumn("_turn", F.lit(0)).unionByName(new.withColumn("_turn", F.lit(1)), allowMissingColumns=True)
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_turn")))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_turn"), *([F.col(latest).desc_nulls_last()] if latest else [])))
     return both.withColumn("_rank", rank).filter("_rank = 1").drop("_rank", "_turn")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelkit import functions as fn
 from panelkit import sources as io
-from panelkit.operators import checks, cleaning, joins, landcover, models, panels, sets, verification, windows
+from panelkit.operators import checks, cleaning, joins, landcover, models, ordering, panels, sets, verification, windows
 
 DAY = dt.date
 
@@ -160,7 +160,115 @@ def test_models_see_no_row_of_their_fold(spark):
     assert len(got) == 240 and len({r.iso_week for r in got}) == 240
     assert verification.score(oof, "presence", "p").first().roc_auc > 0.95
     fitted = models.fit(d, ["x"], make)
-    values = models.shapley(fitted, d.limit(4), d, ["iso_week"], 2).collect()
-    base = fitted.raw(d.limit(1).withColumn("x", F.lit(models.fit_medians(d, ["x"])["x"]))).first().p
+    middle = d.limit(1).withColumn("x", F.lit(panels.fit_medians(d, ["x"])["x"]))
+    values = models.shapley(fitted, d.limit(4), middle, ["iso_week"], 2).collect()
+    base = fitted.raw(middle).first().p
     full = {r.iso_week: r.p for r in fitted.raw(d.limit(4)).collect()}
     assert all(v.value == pytest.approx(full[v.iso_week] - base) for v in values)
+
+
+def test_folds_that_are_null_or_of_one_class(spark):
+    rows = [(i, "ab"[i % 2] if i < 40 else None, i % 2 if 10 <= i else 0, 2, float(i % 2), 2015 + i // 20) for i in range(60)]
+    d = spark.createDataFrame(rows, "id int, fold string, presence int, n_events int, x double, iso_year int")
+    make = lambda: models.forest_classifier(numTrees=3, maxDepth=2)
+    got = models.pooled_oof(d, ["x"], make, "fold", ["id"], calibrate=True).collect()
+    assert sorted(r.id for r in got) == list(range(60)) and all(r.p is not None for r in got) and {r.fold for r in got} == {"a", "b", None}
+    one = models.pooled_oof(d.filter("fold = 'a'"), ["x"], make, "fold", ["id"]).collect()
+    assert len(one) == 20 and all(r.p is None for r in one)
+    flat = models.pooled_oof(d.withColumn("presence", F.lit(1)), ["x"], make, "fold", ["id"]).collect()
+    assert {r.p for r in flat} == {1.0} and len(flat) == 60
+    none = models.pooled_oof(d.limit(0), ["x"], make, "fold", ["id"])
+    assert none.columns == ["id", "presence", "fold", "p"] and none.count() == 0
+    ahead = models.forward_oof(d, ["x"], make, ["id"]).collect()
+    assert sorted(r.id for r in ahead) == list(range(20, 60)) and models.forward_oof(d.limit(0), ["x"], make, ["id"]).count() == 0
+
+
+def test_abundance_is_scored_out_of_fold(spark):
+    rows = [(i, i % 3, 2, float(i % 5), float(i % 5) + 10 * (i % 3)) for i in range(90)]
+    d = spark.createDataFrame(rows, "id int, fold int, n_events int, x double, mean_log_count double").withColumn("presence", F.lit(1))
+    got = models.regression_oof(d, ["x"], lambda: models.boosted_regressor(maxIter=3, maxDepth=3), "fold", ["id"]).collect()
+    assert sorted(r.id for r in got) == list(range(90))
+    # A fold is ten above or below the others: only a model that hasn't seen it misses by so much.
+    assert all(abs(r.p - r.mean_log_count) > 3 for r in got if r.fold in ("0", "2"))
+
+
+def test_lattice_of_one_row_and_target_group(spark):
+    cells = spark.createDataFrame([(f"c{i}", 25.0 + i % 4, -81.0 - i) for i in range(12)], "Grid_ID string, cell_lat double, cell_lon double")
+    assert {r.spatial_block: r["count"] for r in verification.lattice_blocks(cells, 1, 3).groupBy("spatial_block").count().collect()} == {0: 4, 1: 4, 2: 4}
+    assert {r.spatial_block for r in verification.lattice_blocks(cells, 1, 1).collect()} == {0}
+    g = spark.createDataFrame([("x", "a", 3.0), ("y", "a", 1.0), ("z", None, 0.0)], "feature string, block string, gain double")
+    assert {r.block: (r.n_features, r.pct) for r in models.gain_by_block(g).collect()} == {"a": (2, 100.0), None: (1, 0.0)}
+
+
+def test_shapley_values_sum_to_the_difference_from_the_background(spark):
+    rows = [(i, i % 2, 2, float(i % 2) + i / 50, float(i % 3)) for i in range(60)]
+    d = spark.createDataFrame(rows, "id int, presence int, n_events int, x double, z double")
+    fitted = models.fit(d, ["x", "z"], lambda: models.forest_classifier(numTrees=4, maxDepth=3))
+    back = models.background_sample(d, 1, ["id"])
+    got = {}
+    for r in models.shapley(fitted, d, back, ["id"], 3).collect():
+        got[r.id] = got.get(r.id, 0) + r.value
+    base = fitted.raw(back).first().p
+    assert len(got) == 60 and all(got[r.id] == pytest.approx(r.p - base) for r in fitted.raw(d).collect())
+
+
+def test_running_sums_and_places_over_many_ranges(spark):
+    rows = [(i % 3 or None, float((i * 37) % 101), i) for i in range(500)]
+    d = spark.createDataFrame(rows, "g int, v double, n long")
+    got = {r.n: r.before for r in ordering.running(d.repartition(7), [F.desc("v"), F.col("n")], {"before": "n"}, ["g"]).collect()}
+    for g, v, n in rows:
+        assert got[n] == sum(m for h, w, m in rows if h == g and (-w, m) < (-v, n))
+    assert [r.v for r in ordering.numbered(d, [F.col("v"), F.col("n")], "at").orderBy("at").collect()] == sorted(v for _, v, _ in rows)
+    assert sorted(r["at"] for r in ordering.numbered(d, [F.col("v"), F.col("n")], "at").collect()) == list(range(500))
+
+
+def test_percentiles_are_exact(spark):
+    import numpy as np
+
+    v = [float((i * 7919) % 997) for i in range(300)] + [None] * 5
+    d = spark.createDataFrame([(x, None, 4.0) for x in v], "a double, b double, c double")
+    shares = [0.0, 0.1, 0.5, 0.995, 1.0]
+    got = {r["column"]: r["values"] for r in ordering.exact_percentiles(d, ["a", "b", "c"], shares).collect()}
+    assert got["a"] == pytest.approx(list(np.percentile([x for x in v if x is not None], [100 * s for s in shares]))) and got["c"] == [4.0] * 5 and "b" not in got
+    assert panels.fit_medians(d, ["a", "b"])["b"] == 0.0
+
+
+def test_nearest_cell_of_far_records_against_all_cells(spark):
+    import math
+
+    cells = [(f"c{i}", i, 25 + (i * 7 % 30) / 20, -81 - (i * 11 % 40) / 20) for i in range(60)]
+    recs = [(i, 24 + (i * 13 % 97) / 25, -84 + (i * 29 % 113) / 25) for i in range(200)]
+    c, r = spark.createDataFrame(cells, "Grid_ID string, cell_ord int, cell_lat double, cell_lon double"), spark.createDataFrame(recs, "id int, decimalLatitude double, decimalLongitude double")
+    cos = math.cos(math.radians(sum(x[1] for x in recs) / len(recs)))
+    for x in joins.snap_to_cells(r, c).collect():
+        km = lambda k: 111 * math.hypot(x.decimalLatitude - k[2], (x.decimalLongitude - k[3]) * cos)
+        assert x.snap_km == pytest.approx(min(map(km, cells)))
+    assert {x.Grid_ID for x in joins.snap_to_cells(r, c.limit(0)).collect()} == {None} and joins.snap_to_cells(r.limit(0), c).count() == 0
+
+
+def test_union_of_panels_that_share_a_key(spark):
+    row = "Grid_ID string, iso_year int, iso_week int, presence int"
+    a, b = spark.createDataFrame([("x", 2015, 1, 1)], row), spark.createDataFrame([("x", 2015, 1, 0), ("y", 2015, 1, 0)], row)
+    with pytest.raises(ValueError, match="both panels"):
+        sets.union_labelled(a, b)
+    assert sets.union_labelled(a, b.filter("Grid_ID = 'y'")).count() == 2
+
+
+def test_panel_in_one_pass_equals_its_parts(spark):
+    rows = [("fxyz"[i % 4], float(i % 5), DAY(2016, 1, 1) + dt.timedelta(days=i % 40), f"c{i % 6}", 25.0 + i % 6, -81.0) for i in range(240)]
+    d = spark.createDataFrame(rows, "species string, individualCount double, eventDate date, Grid_ID string, cell_lat double, cell_lon double")
+    presence = panels.presence_panel(d, "f")
+    for cap in (None, 2):
+        parts = sets.union_labelled(presence, panels.as_absence_rows(panels.infer_absences(panels.cellweek_activity(d, "f"), presence, 3, cap)))
+        whole = panels.labelled_panel(d, "f", 3, cap)
+        assert sorted(map(repr, whole.select(*parts.columns).collect())) == sorted(map(repr, parts.collect()))
+
+
+def test_yearly_files_and_reports_in_arrays(spark, tmp_path):
+    d = spark.range(100).withColumn("year", (2015 + F.col("id") % 3).cast("int"))
+    io.write_yearly(d, str(tmp_path / "yearly"), ("id",))
+    assert {r.year: r["count"] for r in io.read_yearly(spark, str(tmp_path / "yearly")).groupBy("year").count().collect()} == {2015: 34, 2016: 33, 2017: 33}
+    (tmp_path / "a_2016.json").write_text('[{"id": 1, "x": {"k": 2}}, {"id": 2}]')
+    assert [(r.id, r.x) for r in io.stringify_nested(io.read_reports(spark, str(tmp_path / "a_2016.json"))).orderBy("id").collect()] == [(1, '{"k":2}'), (2, None)]
+    newer = spark.createDataFrame([(1, "old", 1), (1, "new", 2)], "k int, v string, at int")
+    assert io.upsert_latest(newer.limit(0), newer, ["k"], "at").first().v == "new"
