@@ -35,7 +35,7 @@ DIGEST = r"(?i)(commit|sha-?\d*|md5|checksum|digest|uuid|guid|etag|revision|hash
 #: Words that stand by themselves at least LEAST_SEEN times are the dictionary.
 LEAST_SEEN = 2
 #: Planted findings to learn from, the words that decoys are made of, and the forest.
-PLANTED, DECOY_WORDS, TREES, DEPTH, SEED, MARK = 6000, 2000, 40, 8, 3, 0.5
+PLANTED, DECOY_WORDS, TREES, DEPTH, SEED, MARK = 6000, 2000, 30, 7, 3, 0.5
 #: Characters beside a candidate that are looked at.
 BESIDE = 48
 #: Given labelled findings of either kind that are fitted on at most, drawn by a hash of the finding.
@@ -116,10 +116,16 @@ def planted(spark: SparkSession, words: list[str], n: int = PLANTED, seed: int =
 
     Decoys and the text beside are made of `words`; where there are none, of hexadecimal runs.
     """
-    vocabulary = F.array(*map(F.lit, words or ["lorem", "ipsum"]))
-    h = lambda k: F.sha2(F.concat_ws("|", F.lit(seed), "id", F.lit(k)).cast("binary"), 256)
+    words = words or ["lorem", "ipsum"]
+    vocabulary = spark.createDataFrame([(words,)], "words array<string>")
+    digests: dict[str, Column] = {}  # of a finding's number, a column for each use
+
+    def h(k: str) -> Column:
+        digests[f"h_{k}"] = F.sha2(F.concat_ws("|", F.lit(seed), "id", F.lit(k)).cast("binary"), 256)
+        return F.col(f"h_{k}")
+
     number = lambda k, most: F.conv(F.substring(h(k), 1, 7), 16, 10).cast("int") % most
-    word = lambda k: F.element_at(vocabulary, number(k, max(1, len(words) or 2)) + 1)
+    word = lambda k: F.element_at("words", number(k, len(words)) + 1)
     pick = lambda k, *xs: F.element_at(F.array(*map(F.lit, xs)), number(k, len(xs)) + 1)
     take = lambda x, least, most, k: F.substring(x, F.lit(1), least + number(k, most - least + 1))
     coded = F.translate(F.base64(F.unhex(F.concat(h("a"), h("b")))), "\n\r", "")
@@ -148,12 +154,14 @@ def planted(spark: SparkSession, words: list[str], n: int = PLANTED, seed: int =
         "long word": (0, take(F.concat(word("d1"), word("d2"), word("d3"), word("d4")), 16, 40, "n"), prose),
     }
     kinds = list(made)
-    rows = spark.range(n).withColumn("kind", F.element_at(F.array(*map(F.lit, kinds)), (F.col("id") % len(kinds) + 1).cast("int")))
     # Decoys of words stand in capitals, too.
     loud = F.col("kind").isin("joined words", "word as a value", "words with digits", "long word") & (number("loud", 3) == 0)
     which = lambda i: F.coalesce(*(F.when(F.col("kind") == k, made[k][i] if i else F.lit(made[k][0])) for k in kinds))
     path = F.when(number("t", 10) < F.when(which(0) == 1, 2).otherwise(4), pick("tp", "tests/fixtures", "examples/demo", "sample")).otherwise(pick("pp", "src", "config", "web", "books"))
-    return rows.select(F.when(loud, F.upper(which(1))).otherwise(which(1)).alias("candidate"), which(2).alias("before"), F.concat(F.lit(" "), word("w5")).alias("after"), path.alias("path"), which(0).cast("double").alias("label"), "kind")
+    out = [F.when(loud, F.upper(which(1))).otherwise(which(1)).alias("candidate"), which(2).alias("before"), F.concat(F.lit(" "), word("w5")).alias("after"), path.alias("path"), which(0).cast("double").alias("label")]
+    # One row of at most DECOY_WORDS words goes to all tasks.
+    rows = spark.range(n).join(F.broadcast(vocabulary)).withColumns(digests).withColumn("kind", F.element_at(F.array(*map(F.lit, kinds)), (F.col("id") % len(kinds) + 1).cast("int")))
+    return materialise(rows.select(*out, "kind"), "secret-planted")
 
 
 def fitted(labelled: DataFrame, most: int = FIT_FINDINGS):
