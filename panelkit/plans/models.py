@@ -24,7 +24,7 @@ def model_table(spark, sf) -> DataFrame:
 
     sin, cos = season(F.col("week_start"))
     d = panel(spark, sf).withColumn("sin_doy", sin).withColumn("cos_doy", cos)
-    labels = v.lattice_blocks(cells(spark, sf), 1, 3)
+    labels = v.lattice_blocks(cells(spark, sf), 3, 1)
     d = d.join(labels, "Grid_ID").withColumn("st_block", F.concat_ws("_", F.col("spatial_block").cast("string"), F.col("iso_year").cast("string")))
     return materialise(d, "model-table")
 
