@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 K, WIDTH, BITS = 256, 5, 40
-#: The id range is cut into at most so many pieces, each at least so wide.
-PIECES, LEAST_WIDTH = 65_536, 1024
+#: Ids are cut at SPLIT * SPLIT quantiles into pieces of about as many rows; each of these into WITHIN of equal
+#: widths, at least LEAST_WIDTH ids wide. Rows without an id are cut by a hash of their text into NULL_PIECES.
+SPLIT, WITHIN, LEAST_WIDTH, NULL_PIECES = 16, 256, 1024, 1024
 
 
 def sketched(df: DataFrame, text: str, out: str, k: int = K, width: int = WIDTH) -> DataFrame:
@@ -78,30 +79,47 @@ def merged(df: DataFrame, keys: list[str], sketch: str = "sketch", k: int = K, s
     return out.select(*(names[c] for c in keys), F.coalesce(found[sketch], F.array().cast("array<bigint>")).alias(sketch))
 
 
+def _pieces(docs: DataFrame) -> DataFrame:
+    """Adds piece, a number that rises with doc_id (null first), and _h, a hash of the text that tells rows of one id apart."""
+    n = SPLIT * SPLIT
+    # Edges are approximate quantiles: they only decide how many rows a piece has. One row of n numbers goes to all tasks.
+    edges = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n).alias("_e"), F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high"))
+    d = docs.withColumn("_h", F.xxhash64("text")).join(F.broadcast(edges))
+    passed = lambda xs: F.size(F.filter(xs, lambda e: F.col("doc_id") > e))
+    # First the group of edges, then the edge in it.
+    outer = passed(F.array(*(F.get("_e", F.lit(SPLIT * i - 1)) for i in range(1, SPLIT))))
+    d = d.withColumn("_o", outer)
+    d = d.withColumn("_at", F.col("_o") * SPLIT + passed(F.slice("_e", F.col("_o") * SPLIT + 1, F.lit(SPLIT - 1))))
+    low = F.when(F.col("_at") > 0, F.get("_e", F.col("_at") - 1)).otherwise(F.col("_low"))
+    high = F.coalesce(F.get("_e", F.col("_at")), F.col("_high"))
+    # In halves, since the distance of two ids may be more than a long holds.
+    wide = F.greatest(F.lit(LEAST_WIDTH // 2).cast("double"), (high / 2 - low / 2) / WITHIN)
+    inside = F.least(F.lit(WITHIN - 1), F.greatest(F.lit(0), F.floor((F.col("doc_id") / 2 - low / 2) / wide)))
+    piece = F.when(F.col("doc_id").isNull(), F.shiftright("_h", 64 - NULL_PIECES.bit_length() + 1) - NULL_PIECES).otherwise(F.col("_at").cast("long") * WITHIN + inside)
+    return d.select("doc_id", "text", "_h", piece.cast("long").alias("piece"))
+
+
 def beside_next(docs: DataFrame) -> DataFrame:
     """doc_id, text of every row, and the same of the row that follows by doc_id as next_text; the first follows the last.
 
-    Ids are cut into ranges, one window for each; a copy of a range's first row ends the range
-    before it. Null ids come first; rows with the same id follow each other by text. The ranges'
-    first ids are sent to all tasks: at most PIECES + 2 rows.
+    Ids are cut into pieces, one window for each; a copy of a piece's first row ends the piece before
+    it. Null ids come first; rows with the same id, and those without one, follow each other by a
+    hash of their text. The pieces' first rows are sent to all tasks: at most SPLIT * SPLIT * WITHIN + NULL_PIECES short rows.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    wide = max(LEAST_WIDTH, (high - low) // PIECES + 1)
-    docs = docs.withColumn("piece", F.coalesce(F.floor((F.col("doc_id") - low) / wide), F.lit(-1)).cast("long"))
-    firsts = docs.groupBy("piece").agg(F.min("doc_id").alias("first_id"))
+    docs = _pieces(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    rank = F.struct(F.col("doc_id").isNotNull().alias("a"), F.col("doc_id").alias("b"), F.col("_h").alias("c"))
+    firsts = docs.groupBy("piece").agg(F.min(rank).alias("first"))
     order, all_rows = Window.orderBy("piece"), Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    firsts = firsts.select("piece", "first_id", F.coalesce(F.lag("piece").over(order), F.last("piece").over(all_rows)).alias("ends"))
+    firsts = firsts.select("piece", "first", F.coalesce(F.lag("piece").over(order), F.last("piece").over(all_rows)).alias("ends"))
     d = docs.join(F.broadcast(firsts), "piece")
     own, copy = F.struct(F.col("piece"), F.lit(False).alias("copy")), F.struct(F.col("ends").alias("piece"), F.lit(True).alias("copy"))
-    d = d.select("doc_id", "text", F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("first_id")), F.array(own, copy)).otherwise(F.array(own))).alias("at"))
-    d = d.select("doc_id", "text", "at.piece", "at.copy")
+    d = d.select("doc_id", "text", "_h", F.explode(F.when(rank == F.col("first"), F.array(own, copy)).otherwise(F.array(own))).alias("at"))
+    d = d.select("doc_id", "text", "_h", "at.piece", "at.copy")
     return d.withColumn("next_text", F.lead("text").over(_row_order()))
 
 
 def _row_order() -> Window:
-    return Window.partitionBy("piece").orderBy("copy", "doc_id", "text")
+    return Window.partitionBy("piece").orderBy("copy", "doc_id", "_h", "text")
 
 
 def fingerprints(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
@@ -109,7 +127,8 @@ def fingerprints(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
 
     The edited text has its last floor(n / 2) code points replaced by the first as many, or all,
     of the next document's. Null texts are empty, equal texts have equal fingerprints, an empty
-    table gives no rows.
+    table gives no rows. A very long text is hashed as a whole, in one row; repeated rows follow each
+    other. Other columns aren't read.
     """
     d = sketched(beside_next(docs), "text", "sketch", k, width)
     d = d.withColumn("next_sketch", F.lead("sketch").over(_row_order())).filter(~F.col("copy"))

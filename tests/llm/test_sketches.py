@@ -69,3 +69,17 @@ def test_hash_of_one_word(spark):
     df = sketches.sketched(spark.createDataFrame([("Word!",)], "text string"), "text", "s")
     h = xxhash.xxh64_intdigest(b"word", seed=42)
     assert len(df.first().s) == 1 and 0 <= df.first().s[0] < 1 << sketches.BITS and h > 0
+
+
+def test_pieces_of_outlying_and_missing_ids(spark):
+    rows = [(i * 3, f"text {i}") for i in range(4000)] + [(4 * 10**18, "far"), (-4 * 10**18, "near")] + [(None, f"none {i}") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pieces = sketches._pieces(df).collect()
+    n = {}
+    for r in pieces:
+        n[r.piece] = n.get(r.piece, 0) + 1
+    assert max(n.values()) < 200
+    got = {r.text: r.next_text for r in sketches.beside_next(df).filter("not copy").collect()}
+    ids = sorted((i, t) for i, t in rows if i is not None)
+    assert all(got[t] == u for (_, t), (_, u) in zip(ids, ids[1:]))
+    assert got["far"].startswith("none") and sum(not u.startswith("none") for t, u in got.items() if t.startswith("none")) == 1
