@@ -139,32 +139,35 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, like: float = LIKE) -> DataFrame:
-    """Those pairs (a, b) of nodes whose texts' shingle sets have a Jaccard similarity of `like` or more."""
+    """a, b, jaccard of those pairs (a, b) of nodes whose texts' shingle sets have a Jaccard similarity of `like` or more."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(width)
         for f in frames:
-            near, seen = np.zeros(len(f), bool), {}
+            near, share, seen = np.zeros(len(f), bool), np.zeros(len(f)), {}
             for i, texts in enumerate(zip(f["ta"], f["tb"])):
                 seen = {t: seen[t] if t in seen else shingler.distinct(WORD.findall(t.lower()))[0] for t in texts}
                 a, b = (seen[t] for t in texts)
                 common = len(np.intersect1d(a, b, True))
                 near[i] = common >= like * (len(a) + len(b) - common)
-            yield f.loc[near, ["a", "b"]]
+                share[i] = common / max(len(a) + len(b) - common, 1)
+            yield f[["a", "b"]].assign(jaccard=share)[near]
 
     text_batches(pairs.sparkSession)
     a, b = texts.toDF("a", "ta"), texts.toDF("b", "tb")
-    return pairs.select("a", "b").join(a, "a").join(b, "b").mapInPandas(run, "a binary, b binary")
+    return pairs.select("a", "b").join(a, "a").join(b, "b").mapInPandas(run, "a binary, b binary, jaccard double")
 
 
-def linked(nodes: DataFrame, texts: DataFrame, width: int = WIDTH, like: float = LIKE) -> DataFrame:
-    """node, label of all nodes that are alike another one, directly or through others.
+def linked(nodes: DataFrame, texts: DataFrame, width: int = WIDTH, like: float = LIKE) -> tuple[DataFrame, DataFrame]:
+    """node, label of all nodes that are alike another one, directly or through others; and the links a, b, jaccard that were found.
 
     nodes: node, bands, size, bits. In each bucket of equal bands, hubs meet all other members that
     aren't connected with them yet; hubs then leave, and buckets whose members are all connected
-    are done. First the most central member of each bucket is the hub, then up to HUBS others, then
-    more, so that no pair of a bucket is left out. A pair whose bitmaps differ in more bits than
-    the sets may in elements is no link, and isn't emitted.
+    are done. First the most central member of each bucket is the hub, then up to HUBS others, one
+    for each value of a hash, then more, so that no pair of a bucket is left out. Members of the
+    bucket's largest part needn't be hubs: all others meet them. Hubs are told by sums alone and
+    stored, so that Spark can split the members of a large bucket over several tasks. A pair whose
+    bitmaps differ in more bits than the sets may in elements is no link, and isn't emitted.
     """
     held = nodes.select("node", "size", "bits", F.explode("bands").alias("bucket"))
     many = held.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
@@ -179,11 +182,13 @@ def linked(nodes: DataFrame, texts: DataFrame, width: int = WIDTH, like: float =
         hub = F.struct("node", "label", "size", "bits")
         if hubs == 1:
             lead = members.groupBy("bucket").agg(F.max_by(hub, F.struct("met", "node")).alias("hub"))
-        else:  # members of the parts that are smallest in their bucket come first
-            parts = members.groupBy("bucket", "label").agg(F.count("*").alias("parts"))
-            turn = F.row_number().over(Window.partitionBy("bucket").orderBy("parts", "label", F.desc("met"), "node"))
-            lead = members.join(parts, ["bucket", "label"]).withColumn("turn", turn).filter(F.col("turn") <= hubs).select("bucket", hub.alias("hub"))
-        lead = lead.select("bucket", *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("node", "label", "size", "bits")))
+        else:
+            parts = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+            large = materialise(parts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("large")), "near-parts")
+            others = members.join(large, "bucket").filter("label <> large")
+            salt = F.pmod(F.xxhash64("node"), F.lit(hubs))
+            lead = others.groupBy("bucket", salt.alias("salt")).agg(F.max_by(hub, F.struct("met", "node")).alias("hub"))
+        lead = materialise(lead.select("bucket", *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("node", "label", "size", "bits"))), "near-hubs")
         apart = sum(F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("hub_bits")[i])) for i in range(BITS // 64))
         alike = apart <= (F.col("size") + F.col("hub_size")) * ((1 - like) / (1 + like)) + 1e-6
         pairs = members.join(lead, "bucket").filter((F.col("label") != F.col("hub_label")) & alike)
@@ -198,20 +203,43 @@ def linked(nodes: DataFrame, texts: DataFrame, width: int = WIDTH, like: float =
         split = left.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
         members = materialise(left.join(split, "bucket").select("bucket", "node", "label", "met", "size", "bits"), "near-members")
         if not members.limit(1).count():
-            return labels
+            return labels, links
         hubs = max(HUBS, hubs * 16)
 
 
+def _nodes(feats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """node, first_id, n, bands, size, bits of every distinct text in feats; and their texts."""
+    nodes = feats.groupBy(F.col("_node").alias("node")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.first("_bands").alias("bands"), F.first("_size").alias("size"), F.first("_bits").alias("bits"))
+    return nodes, feats.select(F.col("_node").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def _classed(feats: DataFrame, width: int, like: float) -> DataFrame:
     """_node, class_id, n_in_class, _kept_node of every distinct text in feats."""
-    nodes = feats.groupBy(F.col("_node").alias("node")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.first("_bands").alias("bands"), F.first("_size").alias("size"), F.first("_bits").alias("bits"))
-    labels = linked(nodes.select("node", "bands", "size", "bits"), feats.select(F.col("_node").alias("node"), F.coalesce("text", F.lit("")).alias("text")), width, like)
+    nodes, texts = _nodes(feats)
+    labels, _ = linked(nodes.select("node", "bands", "size", "bits"), texts, width, like)
     known = nodes.select("node", "first_id", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     known = materialise(known, "near-classes")
     classes = known.groupBy("label").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("kept"), F.sum("n").alias("n_in_class"))
     return known.join(classes, "label").select(F.col("node").alias("_node"), F.col("kept.first_id").alias("class_id"), "n_in_class", F.col("kept.node").alias("_kept_node"))
 
 
+def near_pairs(docs: DataFrame, width: int = WIDTH, like: float = LIKE) -> DataFrame:
+    """a_id, b_id, jaccard, estimate: the links by which near_duplicates() joins different texts, told by the least id of each.
+
+    jaccard is exact; estimate is the probability Jaccard similarity of the weighted shingles that
+    the share of equal bands stands for. Every class of several texts is connected by its links;
+    texts that others have connected aren't compared again, so that a class of many texts has about
+    as many links as texts. Copies aren't pairs.
+    """
+    feats = materialise(featured(docs.select("doc_id", "text"), width), "near-features")
+    nodes, texts = _nodes(feats)
+    _, links = linked(nodes.select("node", "bands", "size", "bits"), texts, width, like)
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("first_id").alias(f"{x}_id"), F.col("bands").alias(f"{x}_bands"))
+    both = links.join(side("a"), "a").join(side("b"), "b")
+    equal = F.size(F.array_intersect("a_bands", "b_bands")) / F.size("a_bands")
+    return both.select("a_id", "b_id", "jaccard", F.pow(equal, F.lit(1 / ROWS)).alias("estimate"))
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, like: float = LIKE) -> DataFrame:
     """doc_id, class_id (the least id of the document's class), n_in_class, kept, one row per row of docs.
 

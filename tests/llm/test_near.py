@@ -91,3 +91,34 @@ def test_pairs_that_differ_in_a_long_token(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in near.near_duplicates(df).collect()}
     assert got == classes(docs) == {d: d - d % 2 for d, _ in docs}
+
+
+def test_links_connect_every_class(spark, sf):
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = sorted((r.doc_id, r.text or "") for r in df.collect())
+    texts, pairs = dict(docs), near.near_pairs(df).collect()
+    root = {d: d for d, _ in docs}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    first = {}
+    for d, t in docs:
+        first.setdefault(" ".join(WORD.findall(t.lower())) or t, d)
+    for p in pairs:
+        a, b = sets(texts[p.a_id]), sets(texts[p.b_id])
+        assert abs(p.jaccard - len(a & b) / len(a | b)) < 1e-12 and p.jaccard >= 0.8 and abs(p.estimate - p.jaccard) < 0.35
+        x, y = sorted((find(p.a_id), find(p.b_id)))
+        root[y] = x
+    got = {d: find(first[" ".join(WORD.findall(t.lower())) or t]) for d, t in docs}
+    assert got == classes(docs)
+
+
+def test_large_bucket_of_texts_that_are_not_alike(spark, monkeypatch):
+    monkeypatch.setattr(near, "HUBS", 4)
+    common = [f"w{i}" for i in range(100)]
+    docs = [(i, " ".join([*common, *(f"x{i}{j}" for j in range(12 + i % 30))])) for i in range(60)]
+    got = {r.doc_id: r.class_id for r in near.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == classes(docs)
