@@ -178,7 +178,9 @@ def identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """Adds lang_pred, score and rejected, made from the whole text alone; columns of these names are replaced.
 
     A null text or one without letters is `und` with score 0; `rejected` says that the score lies
-    below the mark at which ACCEPTED_RIGHT of the answers were right.
+    below the mark at which ACCEPTED_RIGHT of the answers were right. Of languages with equal scores
+    the first by name is taken. Repeated rows and equal texts are answered alike, a very long text is
+    read as a whole, in a lot of its own; an empty table gives no rows.
     """
     text_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)

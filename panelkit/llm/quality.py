@@ -28,9 +28,9 @@ UPPER, LETTER, DIGIT, SPACE, MARK, LINE, PIPE = (1 << i for i in range(7))
 
 @lru_cache(maxsize=1)
 def _classes() -> np.ndarray:
-    """Which classes each code point belongs to, as bits. Beyond the two lower planes all are marks."""
+    """Which classes each code point belongs to, as bits."""
     out = np.full(0x110000, MARK, np.uint8)
-    for c in range(0x20000):
+    for c in range(0x110000):
         kind = unicodedata.category(chr(c))
         out[c] = (LETTER | (UPPER if kind == "Lu" else 0)) if kind[0] == "L" else DIGIT if kind[0] == "N" else SPACE if kind[0] in "ZC" else MARK
     out[ord("\n")] |= LINE
@@ -190,7 +190,13 @@ def scored(docs: DataFrame, machine: FactorisationMachine, out: str = "score") -
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document. Repeated rows are scored alike, an empty table gives no rows."""
+    """doc_id, held_out, score, predicted of every document.
+
+    Repeated rows and equal texts are scored alike, a null text as the empty one, a very long text as
+    a whole, in a lot of its own; a score of just the mark passes. Of several labels of one id the
+    lower counts, labels without a document or value don't. An empty table gives no rows; columns
+    other than doc_id and text aren't read.
+    """
     machine = learn(docs, labels)
     s = scored(docs.select("doc_id", "text"), machine)
     return s.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= PASS_MARK).cast("int").alias("predicted"))

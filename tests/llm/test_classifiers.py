@@ -63,3 +63,39 @@ def test_language_edge_rows(spark):
     none = language.identified(docs, language.learn(docs.filter("lang is null"))).collect()
     assert {r.lang_pred for r in none} == {"und"}
     assert language.identified(docs.limit(0), language.learn(docs)).count() == 0
+
+
+def plain_prediction(model, text):
+    """The prediction from its definition: every n-gram of every word looked up by itself."""
+    sums, n = np.zeros(len(model.langs)), 0
+    for word in language.LETTERS.findall(text.lower()):
+        if not any(map(str.isalpha, word)):
+            continue
+        w = f"<{word}>"
+        for g in language.GRAMS:
+            for i in range(len(w) - g + 1):
+                h = ord(w[i]) + 1
+                for c in w[i + 1 : i + g]:
+                    h = (h * 0x100000001B3 + ord(c)) % (1 << 64)
+                bucket = int(language.mixed(np.array([h + (g << 40)], np.uint64))[0] % np.uint64(language.BUCKETS))
+                sums += model.table[bucket]
+                n += 1
+    if not n:
+        return "und", 0.0
+    z = (sums / n + model.bias) / model.temperature
+    p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    return model.langs[int(p.argmax())], float(p.max())
+
+
+def test_language_against_plain_sums(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language.learn(docs)
+    rows = language.identified(docs.select("doc_id", "text"), model).collect()
+    for r in rows[:60]:
+        lang, score = plain_prediction(model, r.text or "")
+        assert r.lang_pred == lang and np.isclose(r.score, score, atol=1e-4)
+
+
+def test_code_points_of_all_planes():
+    kinds = quality._classes()
+    assert kinds[0x2A6D6] == quality.LETTER and kinds[0x30000] == quality.LETTER and kinds[0x1F600] == quality.MARK and kinds[ord("|")] & quality.PIPE
