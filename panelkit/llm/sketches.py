@@ -80,11 +80,11 @@ def merged(df: DataFrame, keys: list[str], sketch: str = "sketch", k: int = K, s
 
 
 def _pieces(docs: DataFrame) -> DataFrame:
-    """Adds piece, a number that rises with doc_id (null first), and _h, a hash of the text that tells rows of one id apart."""
+    """Adds piece, a number that rises with doc_id (null first), and _hash, a hash of the text that tells rows of one id apart."""
     n = SPLIT * SPLIT
     # Edges are approximate quantiles: they only decide how many rows a piece has. One row of n numbers goes to all tasks.
     edges = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n).alias("_e"), F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high"))
-    d = docs.withColumn("_h", F.xxhash64("text")).join(F.broadcast(edges))
+    d = docs.withColumn("_hash", F.xxhash64("text")).join(F.broadcast(edges))
     passed = lambda xs: F.size(F.filter(xs, lambda e: F.col("doc_id") > e))
     # First the group of edges, then the edge in it.
     outer = passed(F.array(*(F.get("_e", F.lit(SPLIT * i - 1)) for i in range(1, SPLIT))))
@@ -95,8 +95,8 @@ def _pieces(docs: DataFrame) -> DataFrame:
     # In halves, since the distance of two ids may be more than a long holds.
     wide = F.greatest(F.lit(LEAST_WIDTH // 2).cast("double"), (high / 2 - low / 2) / WITHIN)
     inside = F.least(F.lit(WITHIN - 1), F.greatest(F.lit(0), F.floor((F.col("doc_id") / 2 - low / 2) / wide)))
-    piece = F.when(F.col("doc_id").isNull(), F.shiftright("_h", 64 - NULL_PIECES.bit_length() + 1) - NULL_PIECES).otherwise(F.col("_at").cast("long") * WITHIN + inside)
-    return d.select("doc_id", "text", "_h", piece.cast("long").alias("piece"))
+    piece = F.when(F.col("doc_id").isNull(), F.shiftright("_hash", 64 - NULL_PIECES.bit_length() + 1) - NULL_PIECES).otherwise(F.col("_at").cast("long") * WITHIN + inside)
+    return d.select("doc_id", "text", "_hash", piece.cast("long").alias("piece"))
 
 
 def beside_next(docs: DataFrame) -> DataFrame:
@@ -107,19 +107,19 @@ def beside_next(docs: DataFrame) -> DataFrame:
     hash of their text. The pieces' first rows are sent to all tasks: at most SPLIT * SPLIT * WITHIN + NULL_PIECES short rows.
     """
     docs = _pieces(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    rank = F.struct(F.col("doc_id").isNotNull().alias("a"), F.col("doc_id").alias("b"), F.col("_h").alias("c"))
+    rank = F.struct(F.col("doc_id").isNotNull().alias("a"), F.col("doc_id").alias("b"), F.col("_hash").alias("c"))
     firsts = docs.groupBy("piece").agg(F.min(rank).alias("first"))
     order, all_rows = Window.orderBy("piece"), Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     firsts = firsts.select("piece", "first", F.coalesce(F.lag("piece").over(order), F.last("piece").over(all_rows)).alias("ends"))
     d = docs.join(F.broadcast(firsts), "piece")
     own, copy = F.struct(F.col("piece"), F.lit(False).alias("copy")), F.struct(F.col("ends").alias("piece"), F.lit(True).alias("copy"))
-    d = d.select("doc_id", "text", "_h", F.explode(F.when(rank == F.col("first"), F.array(own, copy)).otherwise(F.array(own))).alias("at"))
-    d = d.select("doc_id", "text", "_h", "at.piece", "at.copy")
+    d = d.select("doc_id", "text", "_hash", F.explode(F.when(rank == F.col("first"), F.array(own, copy)).otherwise(F.array(own))).alias("at"))
+    d = d.select("doc_id", "text", "_hash", "at.piece", "at.copy")
     return d.withColumn("next_text", F.lead("text").over(_row_order()))
 
 
 def _row_order() -> Window:
-    return Window.partitionBy("piece").orderBy("copy", "doc_id", "_h", "text")
+    return Window.partitionBy("piece").orderBy("copy", "doc_id", "_hash", "text")
 
 
 def fingerprints(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
