@@ -194,11 +194,12 @@ def nearest_pixel_series(assigned: DataFrame, time: str, bands: list[str], key:
     return assigned.groupBy(key, time).agg(best).select(key, time, *(F.col(f"_b.{b}").alias(b) for b in bands))
 
 
-def average_ranks(df: DataFrame, column: str) -> DataFrame:
-    """value, avg_rank of every distinct value: ties share the mean of their ranks."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("_n"))
-    placed = running(counts, [F.col("value")], {"_before": "_n"})
-    return placed.select("value", (F.col("_before") + (F.col("_n") + 1) / 2).alias("avg_rank"))
+def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, value, avg_rank of every distinct value of each column: ties share the mean of their ranks. All columns are ordered in one job."""
+    long = df.unpivot([], columns, "column", "value").filter("value is not null")
+    counts = long.groupBy("column", "value").agg(F.count("*").alias("_n"))
+    placed = running(counts, [F.col("value")], {"_before": "_n"}, ["column"])
+    return placed.select("column", "value", (F.col("_before") + (F.col("_n") + 1) / 2).alias("avg_rank"))
 
 
 def corr_matrix(df: DataFrame, columns: list[str], method: str = "pearson") -> DataFrame:
@@ -209,9 +210,9 @@ def corr_matrix(df: DataFrame, columns: list[str], method: str = "pearson") -> D
     d = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
     if method == "spearman":
         d = d.dropna()
+        every = average_ranks(d, columns)
         for c in columns:
-            ranks = average_ranks(d, c).select(F.col("value").alias(c), F.col("avg_rank").alias(f"_r_{c}"))
-            d = d.join(ranks, c)
+            d = d.join(every.filter(F.col("column") == c).select(F.col("value").alias(c), F.col("avg_rank").alias(f"_r_{c}")), c)
         d = d.select(*(F.col(f"_r_{c}").alias(c) for c in columns))
     pairs = list(combinations_with_replacement(columns, 2))
     wide = d.agg(*(F.corr(F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))).alias(f"r{i}") for i, (a, b) in enumerate(pairs)))
