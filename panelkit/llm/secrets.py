@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from .shared import materialise
 
 #: Kinds of candidates, in the order in which they are tried. A value may end a match, or stand before one more sign.
+#: A name starts where a run of its signs does, so that a long run is looked through once.
 NAMES = r"(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_\-. ]?key|access[_\-. ]?key|credential|auth|private[_\-. ]?key|client[_\-. ]?key)"
 BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"
-ASSIGNED = rf"(?<![\p{{L}}\p{{N}}_])[\w.\-]*?{NAMES}[\w.\-]*[\"'`]?\s{{0,3}}(?:=>|:=|[=:])\s{{0,3}}[\"'`]?([^\s\"'`,;<>]{{6,}})"
+ASSIGNED = rf"(?<![\p{{L}}\p{{N}}_.\-])[\w.\-]*?{NAMES}[\w.\-]*[\"'`]?\s{{0,3}}(?:=>|:=|[=:])\s{{0,3}}[\"'`]?([^\s\"'`,;<>]{{6,}})"
 ADDRESS = r"://[^\s:/@]+:([^\s:/@]{3,})@"
 DOTTED = r"eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]*)?"
 RUN = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}+={0,2}"

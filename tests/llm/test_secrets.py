@@ -94,3 +94,10 @@ def test_dictionary_has_words_of_any_length_and_script(spark):
     long = "donau" * 30
     docs = spark.createDataFrame([(1, f"{long} straße, Straße! ключ (ключ) k9x k9x ab ab"), (2, f"\"{long}\"")], "doc_id long, text string")
     assert {r.word: r.n for r in secrets.dictionary(docs).collect()} == {long: 2, "straße": 2, "ключ": 2}
+
+
+def test_long_runs_are_looked_through_once(spark):
+    runs = ["." * 300_000, "a-" * 150_000, "x." * 150_000 + "password=Kx9!pQ2z", "-----BEGIN RSA PRIVATE KEY-----\n" * 200, "://a:" * 60_000]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(runs)], "doc_id long, text string")
+    got = {(r.doc_id, r.candidate) for r in secrets.candidates(docs).collect()}
+    assert (2, "Kx9!pQ2z") in got and not {i for i, _ in got} & {0, 4}
