@@ -163,8 +163,8 @@ def linked(nodes: DataFrame, texts: DataFrame, width: int = WIDTH, like: float =
 
     nodes: node, bands, size, bits. In each bucket of equal bands, hubs meet all other members that
     aren't connected with them yet; hubs then leave, and buckets whose members are all connected
-    are done. First the most central member of each bucket is the hub, then up to HUBS others, one
-    for each value of a hash, then more, so that no pair of a bucket is left out. Members of the
+    are done. First the most central member of each bucket is the hub, then all others or, of more than
+    HUBS, one for each value of a hash, then more, so that no pair of a bucket is left out. Members of the
     bucket's largest part needn't be hubs: all others meet them. Hubs are told by sums alone and
     stored, so that Spark can split the members of a large bucket over several tasks. A pair whose
     bitmaps differ in more bits than the sets may in elements is no link, and isn't emitted.
@@ -184,9 +184,9 @@ def linked(nodes: DataFrame, texts: DataFrame, width: int = WIDTH, like: float =
             lead = members.groupBy("bucket").agg(F.max_by(hub, F.struct("met", "node")).alias("hub"))
         else:
             parts = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-            large = materialise(parts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("large")), "near-parts")
-            others = members.join(large, "bucket").filter("label <> large")
-            salt = F.pmod(F.xxhash64("node"), F.lit(hubs))
+            large = parts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("large"), (F.sum("n") - F.max("n")).alias("rest"))
+            others = members.join(materialise(large, "near-parts"), "bucket").filter("label <> large")
+            salt = F.when(F.col("rest") <= hubs, F.xxhash64("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(hubs)))
             lead = others.groupBy("bucket", salt.alias("salt")).agg(F.max_by(hub, F.struct("met", "node")).alias("hub"))
         lead = materialise(lead.select("bucket", *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("node", "label", "size", "bits"))), "near-hubs")
         apart = sum(F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("hub_bits")[i])) for i in range(BITS // 64))
