@@ -43,7 +43,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def text_batches(spark: SparkSession, rows: int = 250) -> None:
-    """Holds the batches that go to Python to so many rows, since texts are long."""
+    """Holds the batches that go to Python to so many rows, since texts are long. The session keeps the setting: it counts when a result is computed, which may be later."""
     if int(spark.conf.get(ROWS_PER_BATCH)) not in range(1, rows + 1):
         spark.conf.set(ROWS_PER_BATCH, str(rows))
 
