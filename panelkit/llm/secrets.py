@@ -10,6 +10,8 @@ to be one or the other.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -119,14 +121,17 @@ def planted(spark: SparkSession, words: list[str], n: int = PLANTED, seed: int =
     """
     words = words or ["lorem", "ipsum"]
     vocabulary = spark.createDataFrame([(words,)], "words array<string>")
-    digests: dict[str, Column] = {}  # of a finding's number, a column for each use
+    digests, drawn = {}, {}  # a column for each use: digests of a finding's number, and words that they draw
 
     def h(k: str) -> Column:
         digests[f"h_{k}"] = F.sha2(F.concat_ws("|", F.lit(seed), "id", F.lit(k)).cast("binary"), 256)
         return F.col(f"h_{k}")
 
+    def word(k: str) -> Column:
+        drawn[f"w_{k}"] = F.element_at("words", number(k, len(words)) + 1)
+        return F.col(f"w_{k}")
+
     number = lambda k, most: F.conv(F.substring(h(k), 1, 7), 16, 10).cast("int") % most
-    word = lambda k: F.element_at("words", number(k, len(words)) + 1)
     pick = lambda k, *xs: F.element_at(F.array(*map(F.lit, xs)), number(k, len(xs)) + 1)
     take = lambda x, least, most, k: F.substring(x, F.lit(1), least + number(k, most - least + 1))
     coded = F.translate(F.base64(F.unhex(F.concat(h("a"), h("b")))), "\n\r", "")
@@ -154,15 +159,17 @@ def planted(spark: SparkSession, words: list[str], n: int = PLANTED, seed: int =
         "words with digits": (0, F.concat(word("d1"), pick("j", "_", "-"), word("d2"), pick("j", "_", "-"), take(F.translate(h("f"), "abcdef", "147036"), 1, 4, "n")), prose),
         "long word": (0, take(F.concat(word("d1"), word("d2"), word("d3"), word("d4")), 16, 40, "n"), prose),
     }
-    kinds = list(made)
-    # Decoys of words stand in capitals, too.
-    loud = F.col("kind").isin("joined words", "word as a value", "words with digits", "long word") & (number("loud", 3) == 0)
-    which = lambda i: F.coalesce(*(F.when(F.col("kind") == k, made[k][i] if i else F.lit(made[k][0])) for k in kinds))
-    path = F.when(number("t", 10) < F.when(which(0) == 1, 2).otherwise(4), pick("tp", "tests/fixtures", "examples/demo", "sample")).otherwise(pick("pp", "src", "config", "web", "books"))
-    out = [F.when(loud, F.upper(which(1))).otherwise(which(1)).alias("candidate"), which(2).alias("before"), F.concat(F.lit(" "), word("w5")).alias("after"), path.alias("path"), which(0).cast("double").alias("label")]
-    # One row of at most DECOY_WORDS words goes to all tasks.
-    rows = spark.range(n).join(F.broadcast(vocabulary)).withColumns(digests).withColumn("kind", F.element_at(F.array(*map(F.lit, kinds)), (F.col("id") % len(kinds) + 1).cast("int")))
-    return materialise(rows.select(*out, "kind"), "secret-planted")
+    path = lambda label: F.when(number("t", 10) < (2 if label else 4), pick("tp", "tests/fixtures", "examples/demo", "sample")).otherwise(pick("pp", "src", "config", "web", "books"))
+    after, loud = F.concat(F.lit(" "), word("w5")), number("loud", 3) == 0
+    parts = []
+    for kind, (label, candidate, before) in made.items():
+        if kind in ("joined words", "word as a value", "words with digits", "long word"):  # these stand in capitals, too
+            candidate = F.when(loud, F.upper(candidate)).otherwise(candidate)
+        parts.append([candidate.alias("candidate"), before.alias("before"), after.alias("after"), path(label).alias("path"), F.lit(float(label)).alias("label"), F.lit(kind).alias("kind")])
+    # One row of at most DECOY_WORDS words goes to all tasks. The kinds are made one by one from what is stored: together they would be one very long expression.
+    base = materialise(spark.range(n).join(F.broadcast(vocabulary)).withColumns(digests).withColumns(drawn).drop("words"), "secret-draws")
+    every = [base.filter(F.col("id") % len(parts) == i).select(*columns) for i, columns in enumerate(parts)]
+    return materialise(reduce(DataFrame.unionByName, every), "secret-planted")
 
 
 def fitted(labelled: DataFrame, most: int = FIT_FINDINGS):
