@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import iso_monday, iso_week, iso_year, region_label
+from ..sources import materialise
 from .joins import without_keys
 from .ordering import exact_percentiles, running
 from .windows import top_per_group
@@ -210,7 +211,7 @@ def corr_matrix(df: DataFrame, columns: list[str], method: str = "pearson") -> D
     d = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
     if method == "spearman":
         d = d.dropna()
-        every = average_ranks(d, columns)
+        every = materialise(average_ranks(d, columns), "ranks")
         for c in columns:
             d = d.join(every.filter(F.col("column") == c).select(F.col("value").alias(c), F.col("avg_rank").alias(f"_r_{c}")), c)
         d = d.select(*(F.col(f"_r_{c}").alias(c) for c in columns))
