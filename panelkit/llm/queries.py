@@ -7,6 +7,7 @@ from .language import op9_language
 from .mixing import op7_mixing
 from .near import op3_minhash
 from .passages import op4_passages
+from .periods import op13_periods
 from .pieces import op2_sentencepiece
 from .quality import op8_quality
 from .rollups import op1_token_counts
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_language": op9_language,
     "op10_search": op10_search,
+    "op13_periods": op13_periods,
 }
 
 ORACLES: dict[str, str] = {
