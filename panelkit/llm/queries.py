@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import mixing, search
+from . import contamination, mixing, search
+from .contamination import op11_decontamination
 from .language import op9_language
 from .mixing import op7_mixing
 from .near import op3_minhash
@@ -26,10 +27,12 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_language": op9_language,
     "op10_search": op10_search,
+    "op11_decontamination": op11_decontamination,
     "op13_periods": op13_periods,
 }
 
 ORACLES: dict[str, str] = {
     "op7_mixing": mixing.SQL,
     "op10_search": search.SQL,
+    "op11_decontamination": contamination.SQL,
 }

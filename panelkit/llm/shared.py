@@ -10,6 +10,7 @@ from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -149,3 +150,73 @@ def spans(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
+
+
+#: Bytes of UTF-8 with A-Z in lower case, and those that belong to words: digits, a-z and all that isn't ASCII.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
+IN_WORD = np.zeros(256, bool)
+IN_WORD[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = True
+BYTE_VALUES = np.where(IN_WORD, mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.uint64(0))
+#: Bytes that are looked through at once, so that they stay in the processor's cache.
+LOT_BYTES = 400_000
+
+
+class ByteWords:
+    """The words of some texts, one after another: hash (64 bits), first byte and end in `data`, the lower-cased bytes of all; first: the number of each text's first word, and of all words."""
+
+    def __init__(self, data: np.ndarray, ends: np.ndarray):
+        self.data = LOWER[data]
+        inside = IN_WORD[self.data]
+        cut = np.zeros(len(data) + 1, bool)  # a text begins or ends here
+        cut[0] = True
+        cut[ends] = True
+        edge = inside[1:] != inside[:-1]
+        begins, stops = inside.copy(), inside.copy()
+        begins[1:] &= edge | cut[1:-1]
+        stops[:-1] &= edge | cut[1:-1]
+        self.start, self.end = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+        self.first = np.r_[0, np.searchsorted(self.start, ends)]
+        if len(self.start):
+            up, down = _powers(1 << max(12, int(len(data)).bit_length()))
+            self.hash = mixed(np.add.reduceat(BYTE_VALUES[self.data] * up[: len(data)], self.start) * down[self.start])
+        else:
+            self.hash = np.zeros(0, np.uint64)
+
+    def text(self, a: int, b: int) -> list[str]:
+        """Words a to b."""
+        return [bytes(self.data[i:j]).decode() for i, j in zip(self.start[a:b].tolist(), self.end[a:b].tolist())]
+
+
+def byte_words(texts: pa.Array, most: int = LOT_BYTES) -> Iterator[tuple[int, int, ByteWords]]:
+    """Ranges of an Arrow array of texts, of about `most` bytes each, with their words; nulls have none. A long text may make a range of its own.
+
+    A word is a run of digits, a-z and code points beyond ASCII, A-Z taken as a-z.
+    """
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)
+        yield a, b, ByteWords(data[offsets[a] : offsets[b]], offsets[a + 1 : b + 1] - offsets[a])
+        a = b
+
+
+#: A bitmap of hashes has 2 ** MAP_BITS bits, whatever the number of hashes.
+MAP_BITS = 25
+
+
+def bitmap(df: DataFrame, column: str) -> np.ndarray:
+    """4 MB in which a bit is set for the leading bits of each hash in the column: what isn't in it isn't in the column. Its size doesn't grow with df."""
+    place = F.shiftrightunsigned(F.col(column), 64 - MAP_BITS)
+    bits = df.select(F.shiftright(place, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("bit"))
+    words = bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    out[words.column("at").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint8)
+
+
+def marked(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash's bit is set in a bitmap()."""
+    place = (hashes.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+    return (table[place >> 3] >> (place & 7).astype(np.uint8)) & np.uint8(1) == 1
