@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import contamination, mixing, search
+from . import contamination, mixing, ranked, search
 from .contamination import op11_decontamination
 from .language import op9_language
 from .mixing import op7_mixing
@@ -11,6 +11,7 @@ from .passages import op4_passages
 from .periods import op13_periods
 from .pieces import op2_sentencepiece
 from .quality import op8_quality
+from .ranked import op12_ranked
 from .rollups import op1_token_counts
 from .search import op10_search
 from .secrets import op5_secrets
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_search": op10_search,
     "op11_decontamination": op11_decontamination,
+    "op12_ranked": op12_ranked,
     "op13_periods": op13_periods,
 }
 
@@ -35,4 +37,5 @@ ORACLES: dict[str, str] = {
     "op7_mixing": mixing.SQL,
     "op10_search": search.SQL,
     "op11_decontamination": contamination.SQL,
+    "op12_ranked": ranked.SQL,
 }
