@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fold_label, key_hash
+from ..sources import materialise
 from .joins import previous_label
 from .ordering import exact_percentiles, numbered, running
 
@@ -75,12 +79,17 @@ def score(df: DataFrame, y: str = "y", p: str = "p", by: list[str] | None = None
         F.sum(F.when(F.col("pos") > 0, F.col("pos") * (F.col("tp") + F.col("pos")) / (F.col("tp") + F.col("pos") + F.col("fp") + F.col("neg")))).alias("_ap"),
         F.sum(F.col("pos") * (1 - F.col("p")) ** 2 + F.col("neg") * F.col("p") ** 2).alias("_se"),
     )
-    agg = agg.filter(F.col("n") > 0)
+    return _metrics(agg, by)
+
+
+def _metrics(sums: DataFrame, by: list[str]) -> DataFrame:
+    """The scores from a group's n, _pos, _area (pairs of either class in the right order), _ap and _se (squared errors)."""
+    sums = sums.filter(F.col("n") > 0)
     neg = F.col("n") - F.col("_pos")
     two = (F.col("_pos") > 0) & (neg > 0)
     prev = F.col("_pos") / F.col("n")
     brier = F.col("_se") / F.col("n")
-    return agg.select(*by, F.col("n").cast("double").alias("n"), prev.alias("prevalence"), F.when(two, F.col("_ap") / F.col("_pos")).alias("pr_auc"), F.when(two, F.col("_ap") / F.col("_pos") - prev).alias("pr_lift"), F.when(two, F.col("_area") / (F.col("_pos") * neg)).alias("roc_auc"), brier.alias("brier"), F.when(two, 1 - brier / (prev * (1 - prev))).alias("bss"))
+    return sums.select(*by, F.col("n").cast("double").alias("n"), prev.alias("prevalence"), F.when(two, F.col("_ap") / F.col("_pos")).alias("pr_auc"), F.when(two, F.col("_ap") / F.col("_pos") - prev).alias("pr_lift"), F.when(two, F.col("_area") / (F.col("_pos") * neg)).alias("roc_auc"), brier.alias("brier"), F.when(two, 1 - brier / (prev * (1 - prev))).alias("bss"))
 
 
 def reliability(df: DataFrame, y: str = "y", p: str = "p", bins: int = 10, by: list[str] | None = None) -> DataFrame:
@@ -153,51 +162,153 @@ def matched_scores(wide: DataFrame, methods: list[str], y: str = "y", by: list[s
     return s
 
 
-def draws(units: DataFrame, unit: str, n_boot: int, seed: int = 42) -> DataFrame:
-    """replicate, unit, times: how often each unit is drawn with replacement, as many draws as there are units.
+def _units(df: DataFrame, unit: str) -> DataFrame:
+    """unit, _i: the distinct units that aren't null, numbered by name from 0."""
+    return numbered(df.select(unit).filter(F.col(unit).isNotNull()).distinct(), [F.col(unit)], "_i")
 
-    The k-th draw of a replicate is a hash of both, modulo the number of units; units are numbered by name.
-    """
-    u = numbered(units.select(unit).distinct(), [F.col(unit)], "_i")
-    u = u.join(F.broadcast(u.agg(F.count("*").alias("_g"))))
-    each = u.select("_i", "_g", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("replicate"))
-    got = each.select("replicate", (key_hash(seed, F.col("replicate"), F.col("_i")) % F.col("_g")).alias("_i")).groupBy("replicate", "_i").agg(F.count("*").alias("times"))
-    return got.join(u.select("_i", unit), "_i").select("replicate", unit, "times")
+
+def _drawn(units: DataFrame, first: int, last: int, seed: int) -> DataFrame:
+    """replicate, _i, times: how often each unit is drawn in the replicates first .. last - 1. The k-th draw of a replicate is a hash of both, modulo the number of units."""
+    u = units.join(F.broadcast(units.agg(F.count("*").alias("_g"))))
+    each = u.select("_i", "_g", F.explode(F.sequence(F.lit(first), F.lit(last - 1))).alias("replicate"))
+    return each.select("replicate", (key_hash(seed, F.col("replicate"), F.col("_i")) % F.col("_g")).alias("_i")).groupBy("replicate", "_i").agg(F.count("*").alias("times"))
+
+
+def draws(units: DataFrame, unit: str, n_boot: int, seed: int = 42) -> DataFrame:
+    """replicate, unit, times: how often each unit is drawn with replacement, as many draws as there are units."""
+    u = _units(units, unit)
+    return _drawn(u, 0, n_boot, seed).join(u, "_i").select("replicate", unit, "times")
 
 
 METRICS = ["roc_auc", "pr_auc", "pr_lift", "brier", "bss"]
+#: Weights (units times replicates) that go to all tasks at once; with more units fewer replicates are taken at a time.
+WEIGHTS_AT_ONCE = 4_000_000
+#: Units are numbered by a broadcast table up to this number of them.
+UNITS_BROADCAST = 200_000
+#: Scores times replicates that are held in one array.
+BLOCK = 1_000_000
+
+
+def _weights(units: DataFrame, count: int, first: int, last: int, seed: int) -> np.ndarray:
+    """times by unit and replicate, for the replicates first .. last - 1."""
+    rows = _drawn(units, first, last, seed).groupBy("_i").agg(F.collect_list("replicate").alias("r"), F.collect_list("times").alias("t")).toArrow()
+    out = np.zeros((count, last - first), np.int32)
+    if rows.num_rows:
+        r, t = (rows[c].combine_chunks() for c in ("r", "t"))
+        out[np.repeat(rows["_i"].to_numpy(), r.value_lengths().to_numpy()), r.flatten().to_numpy() - first] = t.flatten().to_numpy()
+    return out
+
+
+def _weighted_sums(ordered: DataFrame, weights: np.ndarray, by: list[str], first: int) -> DataFrame:
+    """by, replicate and, of each range of scores, the parts of what _metrics() needs. ordered: by, _part (ranges, from the highest scores on), _p, _i, pos, neg.
+
+    Each row stands for all replicates at once: the weights of its unit are an array, and so are the
+    running sums. A range begins with the weighted sums of the ranges before it.
+    """
+    held = ordered.sparkSession.sparkContext.broadcast(weights)
+    n_reps = weights.shape[1]
+    keys = ", ".join(f"`{c}` {ordered.schema[c].dataType.simpleString()}" for c in by)
+    keys += ", " if by else ""
+
+    def labelled(of: pa.Table, columns: dict[str, np.ndarray], names: list[str]) -> pa.Table:
+        one = pa.array(np.zeros(n_reps, np.int64))
+        kept = {c: of[c].take(one) for c in names}
+        return pa.table(kept | {"replicate": np.arange(first, first + n_reps)} | columns)
+
+    def total(part: pa.Table) -> pa.Table:
+        w = held.value[part["_i"].to_numpy()]
+        return labelled(part, {c: part[c].to_numpy() @ w for c in ("pos", "neg")}, [*by, "_part"])
+
+    def inside(part: pa.Table, before: pa.Table) -> pa.Table:
+        p, i, pos, neg = (part[c].to_numpy() for c in ("_p", "_i", "pos", "neg"))
+        order = np.argsort(-p, kind="stable")
+        p, i, pos, neg = p[order], i[order], pos[order], neg[order]
+        r = before["replicate"].to_numpy() - first
+        tp, fp = np.zeros(n_reps), np.zeros(n_reps)
+        tp[r], fp[r] = before["tp"].to_numpy(), before["fp"].to_numpy()
+        sums = {c: np.zeros(n_reps) for c in ("n", "_pos", "_area", "_ap", "_se")}
+        scores = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])  # ties are one score
+        ends = np.r_[scores[1:], len(p)]
+        a = 0
+        while a < len(scores):
+            b = max(a + 1, int(np.searchsorted(ends, scores[a] + max(1, BLOCK // n_reps), "right")))
+            rows = slice(scores[a], ends[b - 1])
+            w = held.value[i[rows]].astype(float)
+            up, down = w * pos[rows, None], w * neg[rows, None]
+            if b - a < len(up):
+                up, down = (np.add.reduceat(x, scores[a:b] - scores[a]) for x in (up, down))
+            above, below = tp + np.cumsum(up, 0), fp + np.cumsum(down, 0)
+            sums["_area"] += (down * (above - up / 2)).sum(0)
+            sums["_ap"] += (up * above / np.maximum(above + below, 1)).sum(0)
+            sums["_se"] += (pos[rows] * (1 - p[rows]) ** 2 + neg[rows] * p[rows] ** 2) @ w
+            sums["_pos"] += up.sum(0)
+            sums["n"] += up.sum(0) + down.sum(0)
+            tp, fp, a = above[-1], below[-1], b
+        return labelled(part, sums, by)
+
+    parts = ordered.groupBy(*by, "_part", "_i").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    totals = parts.groupBy(*by, "_part").applyInArrow(total, f"{keys}_part int, replicate long, pos double, neg double")
+    w = Window.partitionBy(*by, "replicate").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    above = totals.select(*by, "_part", "replicate", *(F.coalesce(F.sum(c).over(w), F.lit(0.0)).alias(n) for c, n in (("pos", "tp"), ("neg", "fp"))))
+    both = ordered.groupBy(*by, "_part").cogroup(above.groupBy(*by, "_part"))
+    return both.applyInArrow(inside, f"{keys}replicate long, n double, _pos double, _area double, _ap double, _se double")
 
 
 def bootstrap_scores(df: DataFrame, unit: str, n_boot: int, seed: int = 42, y: str = "y", p: str = "p", by: list[str] | None = None) -> DataFrame:
-    """by, replicate and the scores of each replicate: rows are summed by unit and score, then weighted, never copied."""
+    """by, replicate and the scores of each replicate of whole units drawn with replacement.
+
+    Rows are summed by unit and score and ordered once, whatever the number of replicates; see
+    _weighted_sums(). Rows without a unit are in no replicate; replicates without a row are left out.
+    """
     by = by or []
-    flat = df.filter(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(*by, unit, F.col(p).alias(p), F.col(y).alias(y)).agg(F.count("*").alias("_w"))
-    weighted = flat.join(draws(df, unit, n_boot, seed), unit).withColumn("_w", F.col("_w") * F.col("times"))
-    return score(weighted, y, p, [*by, "replicate"], "_w")
+    units = materialise(_units(df, unit), "units")
+    count = (units.agg(F.max("_i")).first()[0] or 0) + 1
+    flat = df.filter(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(*by, unit, F.col(p).cast("double").alias("_p"))
+    flat = flat.agg(F.count_if(F.col(y) == 1).cast("double").alias("pos"), F.count_if(F.col(y) != 1).cast("double").alias("neg"))
+    flat = flat.join(F.broadcast(units) if count <= UNITS_BROADCAST else units, unit).select(*by, "_p", "_i", "pos", "neg")
+    ordered = materialise(flat.repartitionByRange(*map(F.col, by), F.desc("_p")).withColumn("_part", F.spark_partition_id()), "ordered-scores")
+    step = max(1, WEIGHTS_AT_ONCE // count)
+    parts = [_weighted_sums(ordered, _weights(units, count, a, min(a + step, n_boot), seed), by, a) for a in range(0, n_boot, step)]
+    sums = reduce(DataFrame.unionByName, parts).groupBy(*by, "replicate").agg(*(F.sum(c).alias(c) for c in ("n", "_pos", "_area", "_ap", "_se")))
+    return _metrics(sums, [*by, "replicate"])
 
 
 def intervals(replicates: DataFrame, metrics: list[str], by: list[str] | None = None) -> DataFrame:
-    """by, metric, lo, hi: the 2.5th and 97.5th percentiles over the replicates."""
+    """by, metric, lo, hi: the 2.5th and 97.5th percentiles over the replicates, and n_boot: those where the metric can be told."""
     by = by or []
     long = replicates.unpivot(by, metrics, "metric", "value")
-    return long.groupBy(*by, "metric").agg(F.percentile("value", 0.025).alias("lo"), F.percentile("value", 0.975).alias("hi"))
+    return long.groupBy(*by, "metric").agg(F.percentile("value", 0.025).alias("lo"), F.percentile("value", 0.975).alias("hi"), F.count("value").alias("n_boot"))
 
 
 def block_bootstrap(df: DataFrame, unit: str, n_boot: int = 1000, seed: int = 42, y: str = "y", p: str = "p", by: list[str] | None = None) -> DataFrame:
-    return intervals(bootstrap_scores(df, unit, n_boot, seed, y, p, by), METRICS, by)
+    """by, metric, point (of all rows as they are), lo, hi, n_boot."""
+    by = by or []
+    point = score(df, y, p, by).unpivot(by, METRICS, "metric", "point")
+    ci = intervals(materialise(bootstrap_scores(df, unit, n_boot, seed, y, p, by), "replicates"), METRICS, by)
+    ci = ci.withColumnsRenamed({c: f"_{c}" for c in (*by, "metric")})
+    same = reduce(lambda a, b: a & b, (point[c].eqNullSafe(ci[f"_{c}"]) for c in (*by, "metric")))
+    return point.join(ci, same, "left").select(*by, "metric", "point", "lo", "hi", "n_boot")
+
+
+PAIRED = ("roc_auc", "pr_lift", "bss")
+
+
+def paired_differences(wide: DataFrame, models: list[str], unit: str, n_boot: int = 1000, seed: int = 42, y: str = "y", metrics: tuple[str, ...] = PAIRED) -> DataFrame:
+    """a, b, metric, point, lo, hi of a - b on the same draws, and the share of replicates that favour a; rows where all models are known."""
+    d = wide.dropna(subset=[*models, y]).unpivot([y, unit], models, "model", "p")
 
+    def differences(scores: DataFrame, by: list[str]) -> DataFrame:
+        one = scores.groupBy(*by).agg(*(F.max(F.when(F.col("model") == m, F.col(k))).alias(f"{k}_{i}") for i, m in enumerate(models) for k in metrics))
+        pairs = F.array(*(F.struct(F.lit(models[i]).alias("a"), F.lit(models[j]).alias("b"), F.lit(k).alias("metric"), (F.col(f"{k}_{i}") - F.col(f"{k}_{j}")).alias("d")) for i, j in combinations(range(len(models)), 2) for k in metrics))
+        return one.select(F.explode(pairs).alias("_x")).select("_x.*")
 
-def paired_differences(wide: DataFrame, models: list[str], unit: str, n_boot: int, seed: int = 42, y: str = "y", metric: str = "roc_auc") -> DataFrame:
-    """a, b, mean, lo, hi of a - b on the same draws, and the share of replicates that favour a; rows where all models are known."""
-    d = wide.dropna(subset=models).unpivot([y, unit], models, "model", "p")
-    r = bootstrap_scores(d, unit, n_boot, seed, y, "p", ["model"])
-    one = r.groupBy("replicate").agg(*(F.max(F.when(F.col("model") == m, F.col(metric))).alias(m) for m in models))
-    pairs = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.col(a) - F.col(b)).alias("d")) for a, b in combinations(models, 2))))
-    x = one.select(pairs.alias("_x")).select("_x.*")
-    return x.groupBy("a", "b").agg(F.avg("d").alias("mean"), F.percentile("d", 0.025).alias("lo"), F.percentile("d", 0.975).alias("hi"), F.avg((F.col("d") > 0).cast("double")).alias("favours_a"))
+    point = differences(score(d, y, "p", ["model"]), []).withColumnRenamed("d", "point")
+    r = differences(materialise(bootstrap_scores(d, unit, n_boot, seed, y, "p", ["model"]), "replicates"), ["replicate"])
+    ci = r.groupBy("a", "b", "metric").agg(F.percentile("d", 0.025).alias("lo"), F.percentile("d", 0.975).alias("hi"), F.avg((F.col("d") > 0).cast("double")).alias("favours_a"))
+    return point.join(ci, ["a", "b", "metric"])
 
 
-def against_reference(wide: DataFrame, p: str, reference: str, unit: str, n_boot: int, seed: int = 42, y: str = "y") -> DataFrame:
+def against_reference(wide: DataFrame, p: str, reference: str, unit: str, n_boot: int = 1000, seed: int = 42, y: str = "y") -> DataFrame:
     """statistic (brier_diff: reference - p, bss, roc_diff: p - reference), point, lo, hi, n_blocks, n_boot (draws where it can be told), significant.
 
     On rows where both are known, with units drawn as blocks; squared errors are summed by unit first.
@@ -213,13 +324,13 @@ def against_reference(wide: DataFrame, p: str, reference: str, unit: str, n_boot
         return one.select(*by, *(v.alias(k) for k, v in values.items())).unpivot(by, list(values), "statistic", "value")
 
     point = told(score(long, y, "p", ["model"]).withColumn("_all", F.lit(0)), ["_all"]).select("statistic", F.col("value").alias("point"))
-    reps = told(bootstrap_scores(long, unit, n_boot, seed, y, "p", ["model"]), ["replicate"])
+    reps = told(materialise(bootstrap_scores(long, unit, n_boot, seed, y, "p", ["model"]), "replicates"), ["replicate"])
     ci = reps.groupBy("statistic").agg(F.percentile("value", 0.025).alias("lo"), F.percentile("value", 0.975).alias("hi"), F.count("value").alias("n_boot"))
     blocks = d.select(unit).distinct().agg(F.count("*").alias("n_blocks"))
     return point.join(ci, "statistic").join(F.broadcast(blocks)).withColumn("significant", F.coalesce((F.col("lo") > 0) | (F.col("hi") < 0), F.lit(False)))
 
 
-def brier_against(wide: DataFrame, p: str, reference: str, unit: str, n_boot: int, seed: int = 42, y: str = "y") -> DataFrame:
+def brier_against(wide: DataFrame, p: str, reference: str, unit: str, n_boot: int = 1000, seed: int = 42, y: str = "y") -> DataFrame:
     """Mean brier difference (reference - p) and skill with their intervals; squared errors are summed by unit first."""
     sums = wide.dropna(subset=[p, reference, y]).groupBy(unit).agg(F.count("*").alias("_n"), F.sum((F.col(p) - F.col(y)) ** 2).alias("_p"), F.sum((F.col(reference) - F.col(y)) ** 2).alias("_r"))
     d = sums.join(draws(wide, unit, n_boot, seed), unit)

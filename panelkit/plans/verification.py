@@ -108,21 +108,25 @@ def _draws(n: int) -> str:
 
 
 _BOOT = "SELECT s.*, d.replicate, d.times FROM scores s JOIN draws d ON s.yr = d.unit"
-_REPS = 200
+_REPS = 1000
+# Scores are summed by year before they meet the draws.
+_SUMS = "SELECT model, s, yr, count(*) FILTER (y = 1) AS n1, count(*) FILTER (y = 0) AS n0 FROM ({}) GROUP BY 1, 2, 3"
+_EACH = "SELECT 1 AS y, model, s, replicate, n1 * times AS w FROM sums JOIN draws ON yr = unit UNION ALL SELECT 0, model, s, replicate, n0 * times FROM sums JOIN draws ON yr = unit"
+_MODELS = " UNION ALL ".join(f"SELECT y, yr, '{m}' AS model, {m} AS s FROM scores" for m in ("p", "p2", "p3"))
 
 
-@R.add("v13_block_bootstrap", sql("scores", " UNION ALL ".join(f"SELECT '{m}' AS metric, quantile_cont({m}, 0.025) AS lo, quantile_cont({m}, 0.975) AS hi FROM reps" for m in op.METRICS), draws=_draws(_REPS), reps=_score(_BOOT, by="replicate", weight="times")), "lo hi")
+@R.add("v13_block_bootstrap", sql("scores", " UNION ALL ".join(f"SELECT '{m}' AS metric, any_value(p.{m}) AS point, quantile_cont(r.{m}, 0.025) AS lo, quantile_cont(r.{m}, 0.975) AS hi, count(r.{m}) AS n_boot FROM reps r, point p" for m in op.METRICS), draws=_draws(_REPS), sums=_SUMS.format("SELECT y, yr, 0 AS model, p3 AS s FROM scores"), each=_EACH, reps=_score("SELECT * FROM each", p="s", by="replicate", weight="w"), point=_score("SELECT * FROM scores", p="p3")), "point lo hi")
 def bootstrap(spark, sf):
-    return op.block_bootstrap(scores(spark, sf), "yr", _REPS)
+    return op.block_bootstrap(scores(spark, sf), "yr", _REPS, p="p3")
 
 
-_TWO = " UNION ALL ".join(f"SELECT y, yr, replicate, times, '{m}' AS model, {m} AS s FROM boot" for m in ("p", "p2", "p3"))
-_DIFF = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {a} - {b} AS d FROM one" for a, b in (("p", "p2"), ("p", "p3"), ("p2", "p3")))
+_PAIRS = [(a, b, m) for a, b in (("p", "p2"), ("p", "p3"), ("p2", "p3")) for m in op.PAIRED]
+_DIFF = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, '{m}' AS metric, max({m}) FILTER (model = '{a}') - max({m}) FILTER (model = '{b}') AS d FROM {{}}" for a, b, m in _PAIRS)
 
 
-@R.add("v14_paired_differences", sql("scores", f"SELECT a, b, avg(d) AS mean, quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi, avg((d > 0)::INT) AS favours_a FROM ({_DIFF}) GROUP BY 1, 2", draws=_draws(100), boot=_BOOT, long=_TWO, sc=_score("SELECT * FROM long", p="s", by="replicate, model", weight="times"), one="SELECT replicate, max(roc_auc) FILTER (model = 'p') AS p, max(roc_auc) FILTER (model = 'p2') AS p2, max(roc_auc) FILTER (model = 'p3') AS p3 FROM sc GROUP BY 1"), "mean lo hi favours_a")
+@R.add("v14_paired_differences", sql("scores", "SELECT a, b, metric, any_value(q.d) AS point, quantile_cont(r.d, 0.025) AS lo, quantile_cont(r.d, 0.975) AS hi, avg((r.d > 0)::INT) AS favours_a FROM each_d r JOIN point_d q USING (a, b, metric) GROUP BY 1, 2, 3", draws=_draws(_REPS), long=_MODELS, sums=_SUMS.format("SELECT * FROM long"), each=_EACH, sc=_score("SELECT * FROM each", p="s", by="replicate, model", weight="w"), pt=_score("SELECT * FROM long", p="s", by="model"), each_d=_DIFF.replace("{}", "sc GROUP BY replicate"), point_d=_DIFF.replace("{}", "pt")), "point lo hi favours_a")
 def paired(spark, sf):
-    return op.paired_differences(scores(spark, sf), ["p", "p2", "p3"], "yr", 100)
+    return op.paired_differences(scores(spark, sf), ["p", "p2", "p3"], "yr", _REPS)
 
 
 @R.add("v15_brier_against", sql("scores", "SELECT *, diff_lo > 0 OR diff_hi < 0 AS significant FROM (SELECT quantile_cont(d, 0.025) AS diff_lo, quantile_cont(d, 0.975) AS diff_hi, quantile_cont(skill, 0.025) AS skill_lo, quantile_cont(skill, 0.975) AS skill_hi FROM (SELECT (sum(times * (p2 - y) ** 2) - sum(times * (p - y) ** 2)) / sum(times) AS d, 1 - sum(times * (p - y) ** 2) / sum(times * (p2 - y) ** 2) AS skill FROM boot GROUP BY replicate))", draws=_draws(_REPS), boot=_BOOT), "diff_lo diff_hi skill_lo skill_hi")
@@ -137,13 +141,13 @@ _ONE = ", ".join(f"max({c}) FILTER (model = '{m}' AND roc_auc IS NOT NULL) AS {a
 @R.add(
     "v15_against_reference",
     sql("scores", "SELECT p.statistic, p.value AS point, quantile_cont(r.value, 0.025) AS lo, quantile_cont(r.value, 0.975) AS hi, count(r.value) AS n_boot, (SELECT count(DISTINCT yr) FROM scores) AS n_blocks, coalesce(quantile_cont(r.value, 0.025) > 0 OR quantile_cont(r.value, 0.975) < 0, false) AS significant FROM point p LEFT JOIN reps r ON p.statistic = r.statistic GROUP BY 1, 2",
-        draws=_draws(100), two="SELECT y, yr, 'p3' AS model, p3 AS s FROM scores UNION ALL SELECT y, yr, 'p', p FROM scores", boot="SELECT s.*, d.replicate, d.times FROM two s JOIN draws d ON s.yr = d.unit",
+        draws=_draws(_REPS), two="SELECT y, yr, 'p3' AS model, p3 AS s FROM scores UNION ALL SELECT y, yr, 'p', p FROM scores", sums=_SUMS.format("SELECT * FROM two"), each=_EACH,
         sa=_score("SELECT * FROM two", p="s", by="model"), onea=f"SELECT 0 AS zero, {_ONE} FROM sa", point=_REF.format(by="zero", one="onea"),
-        sr=_score("SELECT * FROM boot", p="s", by="replicate, model", weight="times"), oner=f"SELECT replicate, {_ONE} FROM sr GROUP BY 1", reps=_REF.format(by="replicate", one="oner")),
+        sr=_score("SELECT * FROM each", p="s", by="replicate, model", weight="w"), oner=f"SELECT replicate, {_ONE} FROM sr GROUP BY 1", reps=_REF.format(by="replicate", one="oner")),
     "point lo hi",
 )
 def against_both(spark, sf):
-    return op.against_reference(scores(spark, sf), "p3", "p", "yr", 100)
+    return op.against_reference(scores(spark, sf), "p3", "p", "yr", _REPS)
 
 
 @R.add("v17_regression_logo", "SELECT l_linenumber, count(*) AS n, 1 - sum((y - p) ** 2) / (sum(y ** 2) - sum(y) ** 2 / count(*)) AS r2, sqrt(sum((y - p) ** 2) / count(*)) AS rmse FROM (SELECT l_linenumber, l_extendedprice / 1000 AS y, l_quantity * 1.5::DOUBLE AS p FROM lineitem) GROUP BY ROLLUP (l_linenumber)", "r2 rmse")
