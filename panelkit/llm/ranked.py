@@ -181,7 +181,8 @@ def best(lists: Lists, terms: np.ndarray, weights: np.ndarray, top: int, mark: n
         hit = (p < b) & (lists.docs[at] == split[:, None])
         score = (lists.impact[at] * weights[q] * hit).sum(1)
         scored += len(q)
-        every = [np.r_[x, y] for x, y in zip(kept, (q, split, score))]
+        beats = (score > mark[q]) | (score == mark[q]) & (lists.ids[split] < mark_id[q])
+        every = [np.r_[x, y[beats]] for x, y in zip(kept, (q, split, score))]
         order = np.lexsort((lists.ids[every[1]], -every[2], every[0]))
         kept = [x[order] for x in every]
         rank = np.arange(len(order)) - np.searchsorted(kept[0], kept[0])
