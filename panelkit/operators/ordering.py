@@ -33,6 +33,20 @@ def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     return d.drop("_one")
 
 
+def average_ranks(df: DataFrame, by: list[str], value: str, tie: str, out: str) -> DataFrame:
+    """Adds out, the rank of `value` in its group from 1 on; equal values share the mean of their ranks.
+
+    tie tells rows of one group and value apart: rows are dealt out by ranges of both, so that a
+    value that very many rows share lies in several ranges. A range's values get their ranks from
+    the sums of distinct values and are joined inside the range.
+    """
+    d = materialise(df.repartitionByRange(*map(F.col, by), value, tie).withColumn("_part", F.spark_partition_id()), "ranked")
+    own = materialise(d.groupBy(*by, value, "_part").agg(F.count("*").alias("_n")), "ranked-values")
+    placed = running(own.groupBy(*by, value).agg(F.sum("_n").alias("_n")), [F.col(value)], {"_before": "_n"}, by)
+    ranks = own.drop("_n").join(placed.withColumn(out, F.col("_before") + (F.col("_n") + 1) / 2).drop("_before", "_n"), [*by, value])
+    return d.join(ranks, [*by, value, "_part"]).select(*df.columns, out)
+
+
 def exact_percentiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
     """column, values: each column's exact percentiles in the order of shares, interpolated between neighbours; null without any value.
 

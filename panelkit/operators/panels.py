@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import iso_monday, iso_week, iso_year, region_label
 from ..sources import materialise
 from .joins import without_keys
-from .ordering import exact_percentiles, running
+from .ordering import average_ranks, exact_percentiles, running
 from .windows import top_per_group
 
 WEEK = ["Grid_ID", "iso_year", "iso_week"]
@@ -195,31 +195,37 @@ def nearest_pixel_series(assigned: DataFrame, time: str, bands: list[str], key:
     return assigned.groupBy(key, time).agg(best).select(key, time, *(F.col(f"_b.{b}").alias(b) for b in bands))
 
 
-def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, value, avg_rank of every distinct value of each column: ties share the mean of their ranks. All columns are ordered in one job."""
-    long = df.unpivot([], columns, "column", "value").filter("value is not null")
-    counts = long.groupBy("column", "value").agg(F.count("*").alias("_n"))
-    placed = running(counts, [F.col("value")], {"_before": "_n"}, ["column"])
-    return placed.select("column", "value", (F.col("_before") + (F.col("_n") + 1) / 2).alias("avg_rank"))
-
-
 def corr_matrix(df: DataFrame, columns: list[str], method: str = "pearson") -> DataFrame:
-    """a, b, r of every pair of columns over the rows where both are known: all pairs in one aggregation.
+    """a, b, r of every pair of columns over the rows where both are known (not null, not NaN): all pairs in one aggregation.
 
-    spearman: correlation of average ranks, which are taken over the rows where all columns are known.
+    spearman: correlation of average ranks, which are taken over the rows of each pair.
     """
-    d = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
-    if method == "spearman":
-        d = d.dropna()
-        every = materialise(average_ranks(d, columns), "ranks")
-        for c in columns:
-            d = d.join(every.filter(F.col("column") == c).select(F.col("value").alias(c), F.col("avg_rank").alias(f"_r_{c}")), c)
-        d = d.select(*(F.col(f"_r_{c}").alias(c) for c in columns))
+    d = df.select(*(F.nullif(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in columns))
     pairs = list(combinations_with_replacement(columns, 2))
-    wide = d.agg(*(F.corr(F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))).alias(f"r{i}") for i, (a, b) in enumerate(pairs)))
+    if method == "spearman":
+        d, side = _pair_ranks(d, columns)
+    else:
+        side = {(a, b): F.when(F.col(b).isNotNull(), F.col(a)) for a in columns for b in columns}
+    wide = d.agg(*(F.corr(side[a, b], side[b, a]).alias(f"r{i}") for i, (a, b) in enumerate(pairs)))
     return wide.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)))).alias("_x")).select("_x.*")
 
 
+def _pair_ranks(d: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[tuple[str, str], Column]]:
+    """For each row the ranks of its values, and for each pair (a, b) the column that has the ranks of a over the rows where a and b are known.
+
+    Where b is known wherever a is, that's the rank of a over all its rows. All ranks are taken in one ordered job.
+    """
+    rows = materialise(d.withColumn("_row", F.monotonically_increasing_id()), "ranked-rows")
+    both = [(a, b) for a in columns for b in columns if a != b]
+    found = rows.agg(*(F.count_if(F.col(a).isNotNull() & F.col(b).isNull()).alias(f"n{i}") for i, (a, b) in enumerate(both))).first() if both else []
+    own = {(a, b): (a, b if n else a) for (a, b), n in zip(both, found)} | {(c, c): (c, c) for c in columns}
+    sets = {x: i for i, x in enumerate(dict.fromkeys(own.values()))}
+    values = F.array(*(F.struct(F.lit(i).alias("set"), F.when(F.col(b).isNotNull(), F.col(a)).alias("value")) for (a, b), i in sets.items()))
+    long = rows.select("_row", F.explode(values).alias("_x")).select("_row", "_x.set", "_x.value").filter("value is not null")
+    ranks = average_ranks(long, ["set"], "value", "_row", "rank").groupBy("_row").agg(*(F.max(F.when(F.col("set") == i, F.col("rank"))).alias(f"_r{i}") for i in sets.values()))
+    return ranks, {x: F.col(f"_r{sets[s]}") for x, s in own.items()}
+
+
 def strongest_pairs(corr: DataFrame, blocks: dict[str, str]) -> DataFrame:
     """scope, block, a, b, max_abs_r: the most correlated pair inside each block, and of different blocks."""
     block = F.create_map(*(F.lit(x) for kv in blocks.items() for x in kv))

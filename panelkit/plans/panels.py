@@ -129,11 +129,15 @@ def pearson(spark, sf):
     return op.corr_matrix(numbers(spark, sf), _COLS)
 
 
-_RANKS = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE AS {c}" for c in _COLS)
-_SPEARMAN = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM ranks" for a, b in _PAIRS)
+def _ranked(c: str) -> str:
+    return f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE"
 
 
-@R.add("a22_spearman", f"WITH num AS ({_NUM}), ranks AS (SELECT {_RANKS} FROM num WHERE l_tax IS NOT NULL) {_SPEARMAN}", "r")
+# Ranks are taken anew for each pair, over the rows where both are known.
+_SPEARMAN = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr(ra, rb) AS r FROM (SELECT {_ranked(a)} AS ra, {_ranked(b)} AS rb FROM num WHERE {a} IS NOT NULL AND {b} IS NOT NULL)" for a, b in _PAIRS)
+
+
+@R.add("a22_spearman", f"WITH num AS ({_NUM}) {_SPEARMAN}", "r")
 def spearman(spark, sf):
     return op.corr_matrix(numbers(spark, sf), _COLS, "spearman")
 

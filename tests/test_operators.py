@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -272,3 +274,22 @@ def test_yearly_files_and_reports_in_arrays(spark, tmp_path):
     assert [(r.id, r.x) for r in io.stringify_nested(io.read_reports(spark, str(tmp_path / "a_2016.json"))).orderBy("id").collect()] == [(1, '{"k":2}'), (2, None)]
     newer = spark.createDataFrame([(1, "old", 1), (1, "new", 2)], "k int, v string, at int")
     assert io.upsert_latest(newer.limit(0), newer, ["k"], "at").first().v == "new"
+
+
+@pytest.mark.parametrize("ties", [3, 1000])
+def test_spearman_ranks_each_pair_by_itself(spark, ties):
+    r = np.random.default_rng(ties)
+    frame = pd.DataFrame({c: np.floor(r.random(300) * ties) for c in "abcd"})
+    frame["b"] = frame.b + frame.a
+    frame.loc[r.random(300) < 0.3, "c"] = None
+    frame.loc[r.random(300) < 0.2, "d"] = None
+    frame["e"] = None
+    frame.loc[0, "e"] = 1.0
+    df = spark.createDataFrame([[None if pd.isna(x) else float(x) for x in row] for row in frame.to_numpy()], "a double, b double, c double, d double, e double")
+    want = frame.astype(float).corr(method="spearman")
+    got = {(x.a, x.b): x.r for x in panels.corr_matrix(df.repartition(5), list("abcde"), "spearman").collect()}
+    assert len(got) == 15
+    for (a, b), v in got.items():
+        w = want.loc[a, b]
+        assert (v is None or np.isnan(v)) if np.isnan(w) or "e" in (a, b) else v == pytest.approx(w)
+    assert panels.corr_matrix(df.limit(0), ["a"], "spearman").first().r is None
