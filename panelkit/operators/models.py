@@ -274,15 +274,17 @@ def background_sample(df: DataFrame, n: int, keys: list[str], seed: int = 42) ->
 def shapley(fitted: Fitted, rows: DataFrame, background: DataFrame, keys: list[str], permutations: int = 4, seed: int = 42, most_background: int = 50) -> DataFrame:
     """keys, feature, value: sampled-permutation Shapley values against rows of the background.
 
-    background: at most `most_background` rows are taken (it is a sample of a bounded size by its
-    meaning) and held as one array. Each permutation of a row goes with one of them, drawn by a hash,
+    background: a sample of at most `most_background` rows (see background_sample(); more are
+    refused with ValueError), held as one array. Each permutation of a row goes with one of them, drawn by a hash,
     whose values absent features have. All steps are scored in one batch, and the differences
     between steps are averaged: a row's values sum to its score less the mean score of its
     background rows.
     """
     names, medians = fitted.features, fitted.medians
     known = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c]))
-    held = background.select(*names).limit(most_background).agg(F.array_sort(F.collect_list(F.struct(*(known(c).alias(c) for c in names)))).alias("_held"))
+    if background.select(F.lit(1)).limit(most_background + 1).count() > most_background:
+        raise ValueError(f"the background has more than {most_background} rows")
+    held = background.select(*names).agg(F.array_sort(F.collect_list(F.struct(*(known(c).alias(c) for c in names)))).alias("_held"))
     steps = F.explode(F.sequence(F.lit(0), F.lit(len(names)))).alias("_step")
     d = rows.select(*keys, *names).withColumn("_perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))).join(F.broadcast(held))
     turn = F.pmod(key_hash(f"{seed}b", F.col("_perm"), *map(F.col, keys)), F.size("_held")).cast("int")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import models as op, verification as v
+from ..operators import attribution, models as op, verification as v
+from ..operators.panels import importance
 from ..sources import materialise
 from ._tables import Registry, cells, panel, sql
 
@@ -135,3 +136,18 @@ def attributions(spark, sf):
     d = model_table(spark, sf)
     f = op.fit(d, FEATURES, forest_model)
     return op.shapley(f, d.select(*KEYS, *FEATURES), op.background_sample(d, 50, KEYS), KEYS, 2)
+
+
+@R.add("m11_tree_shapley")
+def tree_attributions(spark, sf):
+    """Every row of the panel, exactly, by the nodes of the boosted trees."""
+    d = model_table(spark, sf)
+    return attribution.tree_shapley(op.fit(d, FEATURES, boost), d.select(*KEYS, *FEATURES), KEYS)
+
+
+@R.add("m11_tree_importance")
+def tree_importance(spark, sf):
+    """Mean sizes of the forest's attributions, summed by block within each row first."""
+    d = model_table(spark, sf)
+    values = attribution.tree_shapley(op.fit(d, FEATURES, forest_model), d.select(*KEYS, *FEATURES), KEYS)
+    return importance(values, {b: [c for c in FEATURES if BLOCKS[c] == b] for b in ("place", "season")})
