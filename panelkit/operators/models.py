@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression
@@ -176,48 +175,6 @@ def seed_scores(df: DataFrame, features: list[str], make: Callable[[], Estimator
     return reduce(DataFrame.unionByName, parts)
 
 
-class MaxEnt:
-    """Presence-background model: logistic regression with a heavy background, on linear, quadratic and hinge features.
-
-    Scores are 1 - exp(-exp(eta + H)), H the entropy of the fitted distribution over the background.
-    """
-
-    def __init__(self, features: list[str], knots: int = 4, penalty: float = 1e-4, background_weight: float = 100.0):
-        self.features, self.knots, self.penalty, self.background_weight = features, knots, penalty, background_weight
-
-    def _expanded(self, df: DataFrame) -> DataFrame:
-        cols = {}
-        for c in self.features:
-            lo, hi = self.low[c], self.high[c]
-            x = F.when(F.lit(hi > lo), (F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c])) - lo) / ((hi - lo) or 1.0)).otherwise(F.lit(0.0))
-            cols |= {f"_m_{c}_l": x, f"_m_{c}_q": x * x}
-            for k in range(1, self.knots):
-                cols[f"_m_{c}_h{k}"] = F.greatest(x - k / self.knots, F.lit(0.0))
-        return VectorAssembler(inputCols=list(cols), outputCol=VECTOR).transform(df.withColumns(cols))
-
-    def fit(self, presence: DataFrame, background: DataFrame) -> "MaxEnt":
-        both = presence.select(*self.features).withColumn(LABEL, F.lit(1.0)).unionByName(background.select(*self.features).withColumn(LABEL, F.lit(0.0)))
-        self.medians = sketched_medians(background, self.features)
-        row = both.agg(*(f(c).alias(f"{n}{c}") for c in self.features for n, f in (("a_", F.min), ("b_", F.max)))).first()
-        self.low, self.high = ({c: float(row[f"{n}{c}"] or 0.0) for c in self.features} for n in ("a_", "b_"))
-        d = self._expanded(both).withColumn(WEIGHT, F.when(F.col(LABEL) == 1, 1.0).otherwise(self.background_weight))
-        self.model = LogisticRegression(featuresCol=VECTOR, labelCol=LABEL, weightCol=WEIGHT, elasticNetParam=1.0, regParam=self.penalty, maxIter=60).fit(d)
-        eta = self._eta(background)
-        peak = eta.agg(F.max("_eta")).first()[0] or 0.0
-        z, e = eta.agg(F.sum(F.exp(F.col("_eta") - peak)), F.sum(F.exp(F.col("_eta") - peak) * F.col("_eta"))).first()
-        self.log_sum = peak + math.log(z or 1.0)
-        self.entropy = self.log_sum - (e or 0.0) / (z or 1.0)
-        return self
-
-    def _eta(self, df: DataFrame) -> DataFrame:
-        d = self.model.transform(self._expanded(df))
-        return d.withColumn("_eta", F.get(vector_to_array("rawPrediction"), F.lit(1))).select(*df.columns, "_eta")
-
-    def predict(self, df: DataFrame, out: str = "p") -> DataFrame:
-        rate = F.exp(F.least(F.col("_eta") - self.log_sum + self.entropy, F.lit(50.0)))
-        return self._eta(df).withColumn(out, 1 - F.exp(-rate)).drop("_eta")
-
-
 def training_set(panel: DataFrame, variant: str, background: DataFrame | None = None) -> DataFrame:
     """presence_absence: the panel; presence_background: presences and background keys with label 0."""
     if variant == "presence_absence":
@@ -239,8 +196,8 @@ def fit_before(df: DataFrame, features: list[str], make: Callable[[], Estimator]
     return fit(df.filter(F.col("iso_year") < year), features, make, df.filter(F.col("iso_year") == year))
 
 
-def predict_surface(grid: DataFrame, models: dict[str, Fitted | MaxEnt], sampled: DataFrame | None = None, window: int = 2) -> DataFrame:
-    """Grid_ID, iso_week, lat, lon, prob_<model>, agree_abs_diff and, given where was sampled, confidence_raw and opacity."""
+def predict_surface(grid: DataFrame, models: dict, sampled: DataFrame | None = None, window: int = 2) -> DataFrame:
+    """Grid_ID, iso_week, lat, lon, prob_<model>, agree_abs_diff and, given where was sampled, confidence_raw and opacity. models: Fitted, MaxEnt or whatever has predict()."""
     d = grid
     for name, m in models.items():
         d = m.predict(d, f"prob_{name}")

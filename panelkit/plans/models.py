@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import attribution, models as op, verification as v
+from ..operators import attribution, maxent, models as op, verification as v
 from ..operators.panels import importance
 from ..sources import materialise
 from ._tables import Registry, cells, panel, sql
@@ -80,19 +80,42 @@ def diagnosis(spark, sf):
     return op.calibration_table(model_table(spark, sf), FEATURES, {"boosted": boost, "forest": forest_model}, {"spatial": "spatial_block", "spatiotemporal": "st_block"})
 
 
+def backgrounds(spark, sf, d: DataFrame, n: int = 10_000) -> dict[str, DataFrame]:
+    """Two variants of presences (1) and background (0): random keys of six years, and the cell-weeks where others were sampled."""
+    from ..functions import iso_monday, season
+    from ..operators.sets import sample_background
+
+    present = d.filter("presence = 1")
+    keys = sample_background(cells(spark, sf), list(range(1993, 1999)), list(range(1, 54)), present, n)
+    sin, cos = season(iso_monday(F.col("iso_year"), F.col("iso_week")))
+    drawn = keys.join(cells(spark, sf), "Grid_ID").withColumn("sin_doy", sin).withColumn("cos_doy", cos)
+    drawn = drawn.join(v.lattice_blocks(cells(spark, sf), 3, 1), "Grid_ID").withColumn("st_block", F.concat_ws("_", F.col("spatial_block").cast("string"), F.col("iso_year").cast("string"))).withColumn("presence", F.lit(0))
+    columns = [*KEYS, *FEATURES, "spatial_block", "st_block", "presence"]
+    return {"random": present.select(*columns).unionByName(drawn.select(*columns)), "target_group": d.select(*columns)}
+
+
 @R.add("m4_maxent")
-def maxent(spark, sf):
-    from ..operators.sets import sample_background, stack
+def maxent_surface(spark, sf):
+    from ..operators.sets import stack
 
-    d = model_table(spark, sf)
-    g = grid(spark, sf)
-    b = sample_background(cells(spark, sf), [1998], list(range(1, 54)), d.limit(0), 1000).join(g, ["Grid_ID", "iso_week"])
-    # Two variants: a random background, and the cell-weeks where others were sampled (the target group).
-    found = {"random": b, "target_group": d.filter("presence = 0")}
-    fits = {k: op.MaxEnt(FEATURES).fit(d.filter("presence = 1"), x).predict(g).select("Grid_ID", "iso_week", "p") for k, x in found.items()}
+    d, g = model_table(spark, sf), grid(spark, sf)
+    fits = {k: maxent.MaxEnt(FEATURES).fit(x.filter("presence = 1"), x.filter("presence = 0")).predict(g).select("Grid_ID", "iso_week", "p") for k, x in backgrounds(spark, sf, d).items()}
     return stack(fits, "variant")
 
 
+@R.add("m4_maxent_scores")
+def maxent_scores(spark, sf):
+    """Both variants out of fold, calibrated, under two schemes."""
+    from ..operators.sets import stack
+
+    d, parts = model_table(spark, sf), {}
+    for variant, x in backgrounds(spark, sf, d).items():
+        for scheme in ("spatial", "spatiotemporal"):
+            oof = maxent.maxent_oof(x, FEATURES, v.SCHEMES[scheme], KEYS)
+            parts[f"{variant}, {scheme}"] = v.score(oof, "presence", "p")
+    return stack(parts, "variant")
+
+
 @R.add("m5_training_set", sql("panel", "SELECT presence, count(*) AS n FROM (SELECT presence FROM panel WHERE presence = 1 UNION ALL SELECT 0::INT FROM cells) GROUP BY 1"))
 def assembled(spark, sf):
     return op.training_set(panel(spark, sf), "presence_background", cells(spark, sf).select("Grid_ID", "cell_lat", "cell_lon")).groupBy("presence").agg(F.count("*").alias("n"))
