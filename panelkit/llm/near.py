@@ -81,10 +81,11 @@ class Shingler:
         return found, 1 + MOST_MORE * np.minimum(letters[at] / FULL, 1)
 
 
-def featured(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Adds _node (a 128-bit digest of the words, or of the text if it has none), _bands (its bands' hashes), _size and _bits (its shingle set's size and parity bitmap)."""
+def featured(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, registers: bool = False) -> DataFrame:
+    """Adds _node (a 128-bit digest of the words, or of the text if it has none), _bands (its bands' hashes), _size and _bits (its shingle set's size and parity bitmap); with registers _held, 16 bits of what each register holds."""
     text_batches(docs.sparkSession)
-    schema = T.StructType([*docs.schema, T.StructField("_node", T.BinaryType()), T.StructField("_bands", T.ArrayType(T.LongType())), T.StructField("_size", T.IntegerType()), T.StructField("_bits", T.ArrayType(T.LongType()))])
+    fields = [T.StructField("_node", T.BinaryType()), T.StructField("_bands", T.ArrayType(T.LongType())), T.StructField("_size", T.IntegerType()), T.StructField("_bits", T.ArrayType(T.LongType()))]
+    schema = T.StructType([*docs.schema, *fields, *([T.StructField("_held", T.ArrayType(T.ShortType()))] if registers else [])])
     names, text = [f.name for f in schema], docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +114,11 @@ def featured(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int
                 ends = np.r_[0, np.cumsum(some * bands)].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(key[some].ravel().view(np.int64)))
                 bitmaps = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (BITS // 64)), pa.array(bits.ravel()))
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, n).columns, pa.array(nodes, pa.binary()), lists, pa.array(per, pa.int32()), bitmaps], names)
+                more = []
+                if registers:
+                    short = pa.array((mixed(held) >> np.uint64(48)).astype(np.uint16).view(np.int16).ravel())
+                    more = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (bands * rows)), short)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, n).columns, pa.array(nodes, pa.binary()), lists, pa.array(per, pa.int32()), bitmaps, *more], names)
 
     return docs.mapInArrow(run, schema)
 
@@ -213,52 +218,57 @@ def _nodes(feats: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, feats.select(F.col("_node").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _classed(feats: DataFrame, width: int, like: float) -> DataFrame:
-    """_node, class_id, n_in_class, _kept_node of every distinct text in feats."""
+def _classed(feats: DataFrame, width: int, like: float) -> tuple[DataFrame, DataFrame]:
+    """_node, class_id, n_in_class, _kept_node of every distinct text in feats; and the links a, b, jaccard that were found."""
     nodes, texts = _nodes(feats)
-    labels, _ = linked(nodes.select("node", "bands", "size", "bits"), texts, width, like)
+    labels, links = linked(nodes.select("node", "bands", "size", "bits"), texts, width, like)
     known = nodes.select("node", "first_id", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     known = materialise(known, "near-classes")
     classes = known.groupBy("label").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("kept"), F.sum("n").alias("n_in_class"))
-    return known.join(classes, "label").select(F.col("node").alias("_node"), F.col("kept.first_id").alias("class_id"), "n_in_class", F.col("kept.node").alias("_kept_node"))
+    return known.join(classes, "label").select(F.col("node").alias("_node"), F.col("kept.first_id").alias("class_id"), "n_in_class", F.col("kept.node").alias("_kept_node")), links
 
 
 def near_pairs(docs: DataFrame, width: int = WIDTH, like: float = LIKE) -> DataFrame:
     """a_id, b_id, jaccard, estimate: the links by which near_duplicates() joins different texts, told by the least id of each.
 
-    jaccard is exact; estimate is the probability Jaccard similarity of the weighted shingles that
-    the share of equal bands stands for. Every class of several texts is connected by its links;
+    jaccard is exact; estimate, the share of equal registers, is that of the probability Jaccard
+    similarity of the weighted shingles. Every class of several texts is connected by its links;
     texts that others have connected aren't compared again, so that a class of many texts has about
     as many links as texts. Copies aren't pairs.
     """
-    feats = materialise(featured(docs.select("doc_id", "text"), width), "near-features")
+    feats = materialise(featured(docs.select("doc_id", "text"), width, registers=True), "near-features")
     nodes, texts = _nodes(feats)
     _, links = linked(nodes.select("node", "bands", "size", "bits"), texts, width, like)
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("first_id").alias(f"{x}_id"), F.col("bands").alias(f"{x}_bands"))
+    held = feats.groupBy(F.col("_node").alias("node")).agg(F.min("doc_id").alias("id"), F.first("_held").alias("held"))
+    side = lambda x: held.select(F.col("node").alias(x), F.col("id").alias(f"{x}_id"), F.col("held").alias(f"{x}_held"))
     both = links.join(side("a"), "a").join(side("b"), "b")
-    equal = F.size(F.array_intersect("a_bands", "b_bands")) / F.size("a_bands")
-    return both.select("a_id", "b_id", "jaccard", F.pow(equal, F.lit(1 / ROWS)).alias("estimate"))
+    equal = F.aggregate(F.zip_with("a_held", "b_held", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    return both.select("a_id", "b_id", "jaccard", (equal / F.size("a_held")).alias("estimate"))
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, like: float = LIKE) -> DataFrame:
-    """doc_id, class_id (the least id of the document's class), n_in_class, kept, one row per row of docs.
+    """doc_id, class_id (the least id of the document's class), n_in_class, n_links, most_alike, kept, one row per row of docs.
 
     Texts with the same words in the same order are copies; null is the empty text. Texts of fewer
     than five words have one shingle, texts without words are alike only to the same text. Repeated
-    rows fall into one class; a class of null ids alone has a null class_id. kept marks one row of
-    each class.
+    rows fall into one class; a class of null ids alone has a null class_id. A very long text is one
+    row like others, an empty table gives none. n_links counts the other texts that this text was
+    found alike with, most_alike is the greatest similarity to one (null: none); they connect each
+    class, see near_pairs(). kept marks one row of each class.
     """
     feats = materialise(featured(docs.select("doc_id", "text"), width), "near-features")
-    rows = feats.select("doc_id", "_node").join(_classed(feats, width, like), "_node")
+    classes, links = _classed(feats, width, like)
+    ends = links.select(F.explode(F.array("a", "b")).alias("_node"), "jaccard").groupBy("_node").agg(F.count("*").alias("n_links"), F.max("jaccard").alias("most_alike"))
+    rows = feats.select("doc_id", "_node").join(classes.join(ends, "_node", "left"), "_node")
     turn = F.row_number().over(Window.partitionBy("_node", "doc_id").orderBy(F.lit(0)))
     kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("_node") == F.col("_kept_node")) & (turn == 1)
-    return rows.select("doc_id", "class_id", "n_in_class", kept.alias("kept"))
+    return rows.select("doc_id", "class_id", "n_in_class", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "most_alike", kept.alias("kept"))
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH, like: float = LIKE) -> DataFrame:
-    """docs with one row of each class of near_duplicates(), that with the least id; all columns stay."""
+    """docs with one row of each class of near_duplicates(), that with the least id; all columns stay. Nulls, repeated rows, very long texts and empty tables as there."""
     feats = materialise(featured(docs, width), "near-features")
-    kept = _classed(feats, width, like).filter(F.col("_node") == F.col("_kept_node")).select("_node", F.col("class_id").alias("_kept_id"))
+    kept = _classed(feats, width, like)[0].filter(F.col("_node") == F.col("_kept_node")).select("_node", F.col("class_id").alias("_kept_id"))
     one = feats.join(kept, "_node").filter(F.col("doc_id").eqNullSafe(F.col("_kept_id")))
     turn = F.row_number().over(Window.partitionBy("_node").orderBy(F.lit(0)))
     return one.withColumn("_turn", turn).filter("_turn = 1").select(*docs.columns)
