@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import KM_PER_DEGREE, distance_km, week_neighbours
@@ -40,52 +40,85 @@ def _beside(targets: DataFrame, side: float, wide: float) -> DataFrame:
     return targets.withColumn("_n", F.explode(near)).withColumn("_bx", bx).withColumn("_by", by).drop("_n")
 
 
-def nearest(rows: DataFrame, lat: str, lon: str, targets: DataFrame, order: list[str], step: float, cos: float, on: tuple[str, ...] = (), key: list[str] | None = None) -> DataFrame:
+#: Tables of so many rows at most are sent to all tasks; larger ones are shuffled.
+SENT_ROWS = 100_000
+
+
+def _pyramid(targets: DataFrame, on: list[str], step: float, wide: float, levels: int) -> DataFrame:
+    """on, level, bx, by (a bucket that holds targets), px, py (the bucket that it lies in, one level up), and the bounds y0, y1, x0, x1 of its targets. Sides double from level to level; level 0 has sides step and wide."""
+    bounds = [F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.min("x0").alias("x0"), F.max("x1").alias("x1")]
+    one = targets.select(*on, F.floor(F.col("cell_lat") / step).alias("bx"), F.floor(F.col("cell_lon") / wide).alias("by"), *(F.col(c).alias(n) for n, c in (("y0", "cell_lat"), ("y1", "cell_lat"), ("x0", "cell_lon"), ("x1", "cell_lon"))))
+    base = materialise(one.groupBy(*on, "bx", "by").agg(*bounds), "nearest-buckets")
+    up = F.explode(F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda k: F.struct(k.alias("level"), F.floor(F.col("bx") / F.pow(F.lit(2.0), k)).alias("bx"), F.floor(F.col("by") / F.pow(F.lit(2.0), k)).alias("by"))))
+    every = base.select(*on, up.alias("_k"), "y0", "y1", "x0", "x1").select(*on, "_k.*", "y0", "y1", "x0", "x1").groupBy(*on, "level", "bx", "by").agg(*bounds)
+    return materialise(every.withColumn("px", F.floor(F.col("bx") / 2)).withColumn("py", F.floor(F.col("by") / 2)), "nearest-pyramid")
+
+
+def _descended(far: DataFrame, lat: str, lon: str, targets: DataFrame, pyramid: DataFrame, on: list[str], step: float, wide: float, cos: float, levels: int) -> DataFrame:
+    """_id, and the targets that may be a row's nearest: from the highest buckets down, only those are kept that may hold a target as near as the farthest place of some other one."""
+    counts = {r["level"]: r["count"] for r in pyramid.groupBy("level").count().collect()}
+    sent = lambda d, n: F.broadcast(d) if n <= SENT_ROWS else d
+    y, x = F.col("_y"), F.col("_x")
+    outside = lambda v, low, high: F.greatest(F.col(low) - v, v - F.col(high), F.lit(0.0))
+    across = lambda v, low, high: F.greatest(v - F.col(low), F.col(high) - v)
+    length = lambda dy, dx: F.sqrt(dy * dy + dx * dx * (cos * cos))
+    at_least, at_most = length(outside(y, "y0", "y1"), outside(x, "x0", "x1")), length(across(y, "y0", "y1"), across(x, "x0", "x1"))
+    state = far.select("_id", *on, F.col(lat).alias("_y"), F.col(lon).alias("_x"))
+    own = ["_id", "_y", "_x", *on]
+    for k in range(levels, -1, -1):
+        nodes = sent(pyramid.filter(F.col("level") == k).drop("level"), counts.get(k, 0))
+        if k < levels:
+            state = state.withColumnsRenamed({"bx": "px", "by": "py"}).join(nodes, [*on, "px", "py"])
+        else:  # the highest level has one bucket, or a few around an edge
+            state = state.join(nodes, on) if on else state.join(nodes)
+        most = F.min(at_most).over(Window.partitionBy("_id"))
+        state = state.withColumns({"_least": at_least, "_most": most}).filter(F.col("_least") <= F.col("_most") * (1 + 1e-9) + 1e-12).select(*own, "bx", "by")
+    leaf = targets.withColumn("bx", F.floor(F.col("cell_lat") / step)).withColumn("by", F.floor(F.col("cell_lon") / wide))
+    return state.join(leaf, [*on, "bx", "by"])
+
+
+def nearest(rows: DataFrame, lat: str, lon: str, targets: DataFrame, order: list[str], step: float, cos: float, on: tuple[str, ...] = ()) -> DataFrame:
     """rows with _best: km to the nearest target (cell_lat, cell_lon) of equal `on`, and its columns `order`, which also decide ties; null without a place or target.
 
     Rows meet the targets of their own bucket and those around it, which stand there as one array, by
-    an equi-join. A find nearer than a bucket's side is the nearest of all. The other rows try again
-    with buckets of twice the side, until none is left or one bucket spans everything. key: columns
-    that tell rows apart; without it the rows that try again are numbered.
+    an equi-join. A find nearer than a bucket's side is the nearest of all. The other rows go down a
+    pyramid of the buckets that hold targets, into the few that can hold their nearest.
     """
-    keys, payload = [*on, "_bx", "_by"], [*order, "cell_lat", "cell_lon"]
-    targets = targets.select(*on, *dict.fromkeys(payload))
-    buckets = lambda side: (F.floor(F.col(lat) / side).alias("_bx"), F.floor(F.col(lon) / (side / max(cos, 0.1))).alias("_by"))
-    best = lambda t: F.struct(distance_km(F.col(lat), F.col(lon), t("cell_lat"), t("cell_lon"), cos).alias("km"), *(t(c).alias(c) for c in dict.fromkeys(payload)))
-    sure = lambda side: F.coalesce(F.col("_best.km") < side * KM_PER_DEGREE * 0.999, F.lit(False))
+    keys, payload, on = [*on, "_bx", "_by"], list(dict.fromkeys([*order, "cell_lat", "cell_lon"])), list(on)
+    targets = targets.select(*on, *payload).filter(F.col("cell_lat").isNotNull() & F.col("cell_lon").isNotNull())
+    wide = step / max(cos, 0.1)
+    best = lambda y, x, t: F.struct(distance_km(y, x, t("cell_lat"), t("cell_lon"), cos).alias("km"), *(t(c).alias(c) for c in payload))
     known = F.col(lat).isNotNull() & F.col(lon).isNotNull()
+    sure = F.coalesce(F.col("_best.km") < step * KM_PER_DEGREE * 0.999, F.lit(False)) | ~known
 
-    grouped = _beside(targets, step, step / max(cos, 0.1)).groupBy(*keys).agg(F.collect_list(F.struct(*dict.fromkeys(payload))).alias("_there"))
-    first = rows.select("*", *buckets(step)).join(grouped, keys, "left")
-    first = first.withColumn("_best", F.array_min(F.transform("_there", lambda t: best(lambda c: t[c])))).select(*rows.columns, "_best")
-    out = first.filter(sure(step) | ~known)
+    grouped = _beside(targets, step, wide).groupBy(*keys).agg(F.collect_list(F.struct(*payload)).alias("_there"))
+    first = rows.withColumns({"_bx": F.floor(F.col(lat) / step), "_by": F.floor(F.col(lon) / wide)}).join(grouped, keys, "left")
+    first = first.withColumn("_best", F.array_min(F.transform("_there", lambda t: best(F.col(lat), F.col(lon), lambda c: t[c]))))
     # Row numbers are written down, since they would differ if a lost task ran again.
-    far = materialise(first.filter(~sure(step) & known).drop("_best").withColumn("_id", F.struct(*key) if key else F.monotonically_increasing_id()), "far-rows")
-    place = [F.min("a"), F.max("a"), F.min("b"), F.max("b")]
-    span = far.select(F.col(lat).alias("a"), F.col(lon).alias("b")).unionByName(targets.select(F.col("cell_lat").alias("a"), F.col("cell_lon").alias("b"))).agg(*place).first()
-    most = max(span[1] - span[0], span[3] - span[2]) if None not in span else 0.0
-    side = step
-    while far.limit(1).count():
-        side *= 2
-        met = far.select("*", *buckets(side)).join(_beside(targets, side, side / max(cos, 0.1)), keys)
-        found = met.groupBy("_id").agg(F.min(best(F.col)).alias("_best"))
-        tried = materialise(far.join(found, "_id", "left"), "far-rows")
-        done = sure(side) | F.lit(side > most)
-        out = out.unionByName(tried.filter(done).select(*rows.columns, "_best"))
-        far = tried.filter(~done).drop("_best")
-    return out
+    first = materialise(first.select(*rows.columns, "_best").withColumn("_id", F.when(~sure, F.monotonically_increasing_id())), "nearest-first")
+    far = first.filter("_id is not null").drop("_best")
+    if not far.limit(1).count():
+        return first.drop("_id")
+    targets = materialise(targets, "nearest-targets")
+    span = targets.agg(F.max("cell_lat") - F.min("cell_lat"), F.max("cell_lon") - F.min("cell_lon")).first()
+    if span[0] is None:
+        return first.drop("_id")
+    levels = max(0, math.ceil(math.log2(max(span[0] / step, span[1] / wide, 1.0))))
+    met = _descended(far, lat, lon, targets, _pyramid(targets, on, step, wide, levels), on, step, wide, cos, levels)
+    found = met.groupBy("_id").agg(F.min(best(F.col("_y"), F.col("_x"), F.col)).alias("_best"))
+    return first.filter("_id is null").drop("_id").unionByName(far.join(found, "_id", "left").drop("_id"))
 
 
 def snap_to_cells(records: DataFrame, cells: DataFrame, step: float = 0.05, lat: str = "decimalLatitude", lon: str = "decimalLongitude", key: list[str] | None = None) -> DataFrame:
     """Adds Grid_ID, cell_lat, cell_lon and snap_km of the nearest cell; ties go to the lesser cell_ord.
 
     Distances take the cosine of the records' mean latitude. Records stay, far ones with their
-    distance; those without a place keep nulls. key: see nearest().
+    distance; those without a place keep nulls. key: not needed, since far records are numbered.
     """
     mean = records.agg(F.avg(lat)).first()[0]
     cos = math.cos(math.radians(mean)) if mean is not None else 1.0
     names = ("Grid_ID", "cell_lat", "cell_lon")
-    out = nearest(records.drop(*names), lat, lon, cells, ["cell_ord", "Grid_ID"], step, cos, key=key)
+    out = nearest(records.drop(*names), lat, lon, cells, ["cell_ord", "Grid_ID"], step, cos)
     return out.select(*(c for c in records.columns if c not in names), *(F.col(f"_best.{c}").alias(c) for c in names), F.col("_best.km").alias("snap_km"))
 
 

@@ -293,3 +293,22 @@ def test_spearman_ranks_each_pair_by_itself(spark, ties):
         w = want.loc[a, b]
         assert (v is None or np.isnan(v)) if np.isnan(w) or "e" in (a, b) else v == pytest.approx(w)
     assert panels.corr_matrix(df.limit(0), ["a"], "spearman").first().r is None
+
+
+def test_far_records_meet_few_cells(spark):
+    import math
+
+    r = np.random.default_rng(5)
+    cells = [(f"c{i}", i, 25 + 0.05 * (i % 50), -81 + 0.05 * (i // 50), i % 3) for i in range(2500)]
+    recs = [(i, float(y), float(x), i % 4) for i, (y, x) in enumerate(zip(r.uniform(-60, 80, 150), r.uniform(-170, 170, 150)))]
+    c = spark.createDataFrame(cells, "Grid_ID string, cell_ord int, cell_lat double, cell_lon double, g int")
+    d = spark.createDataFrame(recs, "id int, lat double, lon double, g int")
+    for on in ((), ("g",)):
+        got = {x.id: x._best for x in joins.nearest(d, "lat", "lon", c, ["cell_ord"], 0.05, 0.9, on).collect()}
+        for i, y, x, g in recs:
+            own = [(111 * math.hypot(y - k[2], (x - k[3]) * 0.9), k[1]) for k in cells if not on or k[4] == g]
+            assert (got[i] is None and not own) or got[i].km == pytest.approx(min(own)[0])
+    far = d.withColumn("_id", F.col("id"))
+    pyramid = joins._pyramid(c, [], 0.05, 0.05, 6)
+    met = joins._descended(far, "lat", "lon", c, pyramid, [], 0.05, 0.05, 0.9, 6).groupBy("_id").count().collect()
+    assert len(met) == 150 and max(x["count"] for x in met) <= 8
