@@ -182,7 +182,7 @@ def training_set(panel: DataFrame, variant: str, background: DataFrame | None =
     return panel.filter(F.col(LABEL) == 1).unionByName(background.withColumn(LABEL, F.lit(0)), allowMissingColumns=True)
 
 
-def fit_calibrated(df: DataFrame, features: list[str], make: Callable[[], Estimator], keys: list[str], group: str = "Grid_ID", k: int = 3) -> Fitted:
+def fit_calibrated(df: DataFrame, features: list[str], make: Callable[[], Estimator], keys: list[str], group: str = "Grid_ID", k: int = 5) -> Fitted:
     """For use: the model of all rows, with the isotonic map of out-of-fold scores over k folds of groups."""
     folds = materialise(group_kfold(df, group, k), "calibrated-folds")
     oof = pooled_oof(folds, features, make, "fold", keys).select(F.col("p").alias("_x"), F.col(LABEL).cast("double").alias(LABEL))

@@ -80,6 +80,42 @@ def asof_features(daily: DataFrame, mondays: DataFrame, specs: dict[str, tuple[s
     return d.groupBy(key, "monday").agg(*(how[h](F.when(ago <= n, F.col(c))).alias(name) for name, (c, h, n) in specs.items()))
 
 
+def state_features(daily: DataFrame, mondays: DataFrame, specs: dict[str, tuple[str, str, int]], fills: dict[str, int], levels: dict[str, str] | None = None, key: str = "Grid_ID", day: str = "Date") -> DataFrame:
+    """The state of every key as of each Monday (column monday), with gaps filled: specs: name -> (column, sum|mean|min|max, days before); levels: name -> column whose last value still holds.
+
+    A value holds on the days after it, fills[column] at most, until the next one. So each known
+    value is an interval of days, and a trailing sum is a sum of values times the days that their
+    intervals share with the window: no calendar is built, and a value meets only the Mondays in
+    reach. A window without any value gives null; a key without any is missing. One row for each key
+    and day is expected.
+    """
+    how, levels = {"min": F.min, "max": F.max}, levels or {}
+    columns = list(dict.fromkeys([*(c for c, _, _ in specs.values()), *levels.values()]))
+    after = Window.partitionBy(key).orderBy(day).rowsBetween(1, Window.unboundedFollowing)
+    later = lambda c: F.min(F.when(F.col(c).isNotNull(), F.col(day))).over(after)
+    ends = {f"_e_{c}": F.when(F.col(c).isNotNull(), F.least(F.date_add(day, fills.get(c, 0)), F.date_sub(later(c), 1))) for c in columns}
+    reach = max([n + fills.get(c, 0) for c, _, n in specs.values()] + [1 + fills.get(c, 0) for c in levels.values()])
+    d = daily.select(key, day, *columns).withColumns(ends)
+    first = F.next_day(day, "Mon")
+    ahead = F.transform(F.sequence(F.lit(0), F.lit((reach - 1) // 7)), lambda k: F.date_add(first, (7 * k).cast("int")))
+    last = F.greatest(*(f"_e_{c}" for c in columns), F.lit(None).cast("date"))
+    d = d.withColumn("monday", F.explode(F.filter(ahead, lambda m: F.datediff(m, last) <= max([n for _, _, n in specs.values()] + [1]))))
+    d = d.join(mondays.select("monday").distinct(), "monday")
+
+    def days(c: str, n: int) -> Column:
+        """Days of the n before the Monday on which this row's value of c holds."""
+        to = F.when(F.col(f"_e_{c}").isNotNull(), F.least(F.col(f"_e_{c}"), F.date_sub("monday", 1)))
+        return F.greatest(F.datediff(to, F.greatest(F.col(day), F.date_sub("monday", n))) + 1, F.lit(0))
+
+    out = []
+    for name, (c, h, n) in specs.items():
+        held = F.when(days(c, n) > 0, days(c, n))
+        total = F.sum(F.col(c) * held)
+        out.append((total if h == "sum" else total / F.sum(held) if h == "mean" else how[h](F.when(held.isNotNull(), F.col(c)))).alias(name))
+    out += [F.max_by(c, F.when(days(c, 1) > 0, F.col(day))).alias(name) for name, c in levels.items()]
+    return d.groupBy(key, "monday").agg(*out)
+
+
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_rank")

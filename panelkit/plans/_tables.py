@@ -83,6 +83,13 @@ def nation_daily(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy(F.concat(F.lit("n_"), F.col("s_nationkey").cast("string")).alias("Grid_ID"), F.col("l_shipdate").cast("date").alias("Date")).agg(F.avg("l_discount").alias("value"), F.sum("l_quantity").alias("qty"))
 
 
+def cell_daily(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items as daily series of the cells, with gaps: Grid_ID, Date, prcp, tmean, tmax, tmin, EVI."""
+    d = table(spark, sf, "lineitem").join(cells(spark, sf), F.col("l_suppkey") == F.col("cell_ord"))
+    evi = F.avg(F.when(F.col("l_linenumber") == 1, F.col("l_tax")))
+    return d.groupBy("Grid_ID", F.col("l_shipdate").cast("date").alias("Date")).agg(F.sum("l_quantity").alias("prcp"), F.avg("l_discount").alias("tmean"), F.max("l_discount").alias("tmax"), F.min("l_discount").alias("tmin"), evi.alias("EVI"))
+
+
 def histograms(spark: SparkSession, sf: str) -> DataFrame:
     """Grid_ID, histogram: text like {11=26, 21=22}, from the quantities of a supplier's parts."""
     d = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
@@ -129,13 +136,14 @@ CTE = {
       SELECT Grid_ID, iso_year, iso_week, week_start, cell_lat, cell_lon, 0::INT AS presence, n_other_events AS n_events, 0::DOUBLE AS mean_log_count, 0::DOUBLE AS mean_count, 0::DOUBLE AS total_count, 0::DOUBLE AS max_count, n_other_events < 2 AS low_n_flag, other_count, n_species FROM absent""",
     "daily": """SELECT 'cell_' || user_id AS Grid_ID, ts::DATE AS "Date", max(value) AS tmax, min(value) AS tmin, avg(value) AS tmean, sum(value) AS prcp, avg(value) FILTER (event_type = 'purchase') AS EVI, avg(value) FILTER (event_type = 'signup') AS NDWI FROM events GROUP BY 1, 2""",
     "nation_daily": """SELECT 'n_' || s_nationkey AS Grid_ID, l_shipdate::DATE AS "Date", avg(l_discount) AS value, sum(l_quantity) AS qty FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2""",
+    "cell_daily": """SELECT Grid_ID, l_shipdate::DATE AS "Date", sum(l_quantity) AS prcp, avg(l_discount) AS tmean, max(l_discount) AS tmax, min(l_discount) AS tmin, avg(l_tax) FILTER (l_linenumber = 1) AS EVI FROM lineitem JOIN cells ON l_suppkey = cell_ord GROUP BY 1, 2""",
     "histograms": f"""SELECT Grid_ID, '{{' || string_agg(code || '=' || n, ', ' ORDER BY code) || '}}' AS histogram FROM
       (SELECT l_suppkey, [{", ".join(map(str, CODES))}][(p_size % 14) + 1] AS code, sum(l_quantity)::BIGINT AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2) JOIN cells ON l_suppkey = cell_ord GROUP BY 1""",
     "scores": """SELECT (l_returnflag = 'R')::INT AS y, l_discount * 10 AS p, l_tax * 10 AS p2, ('0x' || substr(md5(l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey), 1, 8))::BIGINT / 4294967296::DOUBLE AS p3,
       l_linestatus AS "by", l_suppkey AS grp, year(l_shipdate)::INT AS yr FROM lineitem""",
     "dense": """SELECT g.Grid_ID, d.day AS "Date", tmax, tmin, tmean, prcp, EVI, NDWI FROM (SELECT DISTINCT Grid_ID FROM daily) g CROSS JOIN (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-02-15', INTERVAL 1 DAY))::DATE AS day) d LEFT JOIN daily x ON x.Grid_ID = g.Grid_ID AND x."Date" = d.day""",
 }
-NEEDS = {"records": ["cells"], "clean": ["records"], "weekly": ["clean"], "presence": ["weekly"], "activity": ["weekly"], "absent": ["activity", "presence"], "panel": ["absent"], "histograms": ["cells"], "dense": ["daily"]}
+NEEDS = {"records": ["cells"], "cell_daily": ["cells"], "clean": ["records"], "weekly": ["clean"], "presence": ["weekly"], "activity": ["weekly"], "absent": ["activity", "presence"], "panel": ["absent"], "histograms": ["cells"], "dense": ["daily"]}
 
 
 def sql(uses: str, body: str, **more: str) -> str:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import attribution, maxent, models as op, verification as v
+from ..operators import attribution, maxent, models as op, verification as v, windows
 from ..operators.panels import importance
 from ..sources import materialise
-from ._tables import Registry, cells, panel, sql
+from ._tables import Registry, cell_daily, cells, panel, sql
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
@@ -135,6 +135,53 @@ def held(spark, sf):
     return op.predict_surface(grid(spark, sf), {"forest": op.fit_before(d, FEATURES, forest_model, 1998)})
 
 
+#: Weeks of the predicted year, one for each season, and what is known of a cell as of their Mondays.
+YEAR, WEEKS = 1998, (6, 20, 32, 43)
+STATE = {f"{c}_{h}_{n}d": (c, h, n) for c, h, n in (("prcp", "sum", 7), ("prcp", "sum", 14), ("prcp", "sum", 28), ("tmean", "mean", 7), ("tmean", "mean", 14), ("tmean", "mean", 28), ("tmax", "max", 14), ("tmin", "mean", 14), ("tmin", "min", 14))}
+FILLS = {"prcp": 3, "tmean": 3, "tmax": 3, "tmin": 3, "EVI": 16}
+DYNAMIC = [*FEATURES, *STATE, "evi_level"]
+
+
+def state(spark, sf, mondays: DataFrame) -> DataFrame:
+    return windows.state_features(cell_daily(spark, sf), mondays, STATE, FILLS, {"evi_level": "EVI"})
+
+
+def predicted_mondays(spark, year: int, weeks: tuple[int, ...]) -> DataFrame:
+    from ..functions import iso_monday
+
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, weeks))).alias("iso_week")).withColumn("monday", iso_monday(F.lit(year), F.col("iso_week")))
+
+
+_FILLED = ", ".join(f'last_value({c} IGNORE NULLS) OVER (PARTITION BY Grid_ID ORDER BY "Date" ROWS BETWEEN {n} PRECEDING AND CURRENT ROW) AS {c}' for c, n in FILLS.items())
+_SHORT = {"sum": "sum", "mean": "avg", "min": "min", "max": "max"}
+_STATE = ", ".join(f'{_SHORT[h]}({c}) FILTER ("Date" >= monday - {n}) AS {name}' for name, (c, h, n) in STATE.items())
+
+
+@R.add("m9_features", sql("cell_daily", f"""SELECT * FROM (SELECT Grid_ID, monday, {_STATE}, max(EVI) FILTER ("Date" = monday - 1) AS evi_level FROM filled JOIN mondays ON "Date" BETWEEN monday - 28 AND monday - 1 GROUP BY 1, 2) WHERE coalesce({', '.join(STATE)}, evi_level) IS NOT NULL""",
+    mondays=f"SELECT (date_trunc('week', DATE '{YEAR}-01-04') + INTERVAL 7 DAY * (w - 1))::DATE AS monday FROM (SELECT unnest({list(WEEKS)}) AS w)",
+    filled=f"""SELECT Grid_ID, "Date", {_FILLED} FROM (SELECT g.Grid_ID, d.day AS "Date", prcp, tmean, tmax, tmin, EVI FROM cells g CROSS JOIN (SELECT unnest(generate_series(DATE '1997-12-01', DATE '1998-12-31', INTERVAL 1 DAY))::DATE AS day) d LEFT JOIN cell_daily x ON x.Grid_ID = g.Grid_ID AND x."Date" = d.day)"""), " ".join(STATE) + " evi_level")
+def predicted_features(spark, sf):
+    """The features of the predicted year: the state of every cell as of four of its Mondays."""
+    return state(spark, sf, predicted_mondays(spark, YEAR, WEEKS))
+
+
+@R.add("m9_out_of_period_surface")
+def out_of_period(spark, sf):
+    """Models of the years before, with each row's state as of its Monday, on the cells' states in the predicted year."""
+    from ..functions import season
+
+    d = model_table(spark, sf).filter(F.col("iso_year") < YEAR).withColumn("monday", F.col("week_start"))
+    train = materialise(d.join(state(spark, sf, d), ["Grid_ID", "monday"], "left"), "state-table")
+    weeks = predicted_mondays(spark, YEAR, WEEKS)
+    sin, cos = season(F.col("monday"))
+    g = cells(spark, sf).join(F.broadcast(weeks)).join(state(spark, sf, weeks), ["Grid_ID", "monday"], "left").withColumn("sin_doy", sin).withColumn("cos_doy", cos)
+    g = materialise(g.select("Grid_ID", "iso_week", F.col("cell_lat").alias("lat"), F.col("cell_lon").alias("lon"), *DYNAMIC), "state-grid")
+    models = {"boosted": op.fit_calibrated(train, DYNAMIC, boost, KEYS), "forest": op.fit_calibrated(train, DYNAMIC, forest_model, KEYS)}
+    both = train.select(*DYNAMIC, "presence")
+    models["maxent"] = maxent.MaxEnt(DYNAMIC, knots=4).fit(both.filter("presence = 1"), both.filter("presence = 0"))
+    return op.predict_surface(g, models, train.select("cell_lat", "cell_lon", "iso_week").distinct())
+
+
 BLOCKS = {"cell_lat": "place", "cell_lon": "place", "sin_doy": "season", "cos_doy": "season"}
 
 

@@ -312,3 +312,27 @@ def test_far_records_meet_few_cells(spark):
     pyramid = joins._pyramid(c, [], 0.05, 0.05, 6)
     met = joins._descended(far, "lat", "lon", c, pyramid, [], 0.05, 0.05, 0.9, 6).groupBy("_id").count().collect()
     assert len(met) == 150 and max(x["count"] for x in met) <= 8
+
+
+def test_states_as_of_mondays_against_a_filled_calendar(spark):
+    r = np.random.default_rng(8)
+    days = pd.date_range("2015-01-01", "2015-04-30")
+    rows = [(f"c{k}", d.date(), float(r.random()) if r.random() < 0.6 else None, float(r.random()) if r.random() < 0.1 else None) for k in range(4) for d in days if r.random() < (0.9 if k else 0.15)]
+    df = spark.createDataFrame(rows, "Grid_ID string, Date date, a double, v double").repartition(3)
+    mondays = [d.date() for d in days if d.weekday() == 0][::2]
+    specs = {"s7": ("a", "sum", 7), "m28": ("a", "mean", 28), "x14": ("a", "max", 14), "n14": ("a", "min", 14)}
+    got = {(x.Grid_ID, x.monday): x for x in windows.state_features(df, spark.createDataFrame([(m,) for m in mondays], "monday date"), specs, {"a": 3, "v": 16}, {"level": "v"}).collect()}
+    frame = pd.DataFrame(rows, columns=["g", "d", "a", "v"]).astype({"a": float, "v": float})
+    some = 0
+    for g in ("c0", "c1", "c2", "c3"):
+        own = frame[frame.g == g].set_index(pd.to_datetime(frame[frame.g == g].d))[["a", "v"]].reindex(days)
+        a, v = own.a.ffill(limit=3), own.v.ffill(limit=16)
+        for m in mondays:
+            before = a[a.index < pd.Timestamp(m)]
+            level = v[v.index < pd.Timestamp(m)].iloc[-1:] if len(before) else before
+            want = [before.iloc[-7:].sum(min_count=1), before.iloc[-28:].mean(), before.iloc[-14:].max(), before.iloc[-14:].min(), level.iloc[0] if len(level) else np.nan]
+            x = got.get((g, m))
+            values = [None] * 5 if x is None else [x.s7, x.m28, x.x14, x.n14, x.level]
+            some += x is not None
+            assert [np.nan if z is None else z for z in values] == pytest.approx(want, nan_ok=True)
+    assert some > 20
