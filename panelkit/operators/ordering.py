@@ -47,22 +47,75 @@ def average_ranks(df: DataFrame, by: list[str], value: str, tie: str, out: str)
     return d.join(ranks, [*by, value, "_part"]).select(*df.columns, out)
 
 
+#: Bins of a pass, values at most that are ordered at the end, and passes after which the rest is ordered whatever its number.
+BINS, FEW, PASSES = 512, 20_000, 12
+
+
 def exact_percentiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
     """column, values: each column's exact percentiles in the order of shares, interpolated between neighbours; null without any value.
 
-    Values are counted first, so that what is ordered are the distinct ones.
+    The wanted places are closed in on by histograms: each pass counts the values in equal bins of
+    the ranges that hold a wanted place, with each bin's least and greatest value, and goes on in the
+    bins that hold one. What is shuffled and sent to the driver are counts of bins, whatever the
+    number of distinct values; only the last few values around each place are ordered.
     """
-    long = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot([], columns, "column", "value").filter("value is not null")
-    counts = long.groupBy("column", "value").agg(F.count("*").alias("_n"))
-    placed = running(counts, [F.col("value")], {"_before": "_n"}, ["column"])
-    totals = placed.groupBy("column").agg(F.sum("_n").alias("_all")).withColumnRenamed("column", "_c")
-    wanted = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(s)).alias("share")) for i, s in enumerate(shares)))).alias("_w")
-    w = totals.select("_c", wanted, "_all").select("_c", "_w.i", ((F.col("_all") - 1) * F.col("_w.share")).alias("_at"))
-    # Only the values around a wanted place are left; their number doesn't grow with the rows.
-    near = placed.join(F.broadcast(w), (F.col("column") == F.col("_c")) & (F.col("_before") <= F.ceil("_at")) & (F.col("_before") + F.col("_n") > F.floor("_at")))
-    low = F.max(F.when((F.col("_before") <= F.floor("_at")), F.col("value")))
-    high = F.min(F.when(F.col("_before") + F.col("_n") > F.ceil("_at"), F.col("value")))
-    each = near.groupBy("column", "i").agg(low.alias("low"), high.alias("high"), F.first("_at").alias("_at"))
-    each = each.withColumn("v", F.col("low") + (F.col("high") - F.col("low")) * (F.col("_at") - F.floor("_at")))
-    got = each.groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("values"))
-    return got
+    spark, kind = df.sparkSession, "column string, values array<double>"
+    d = materialise(df.select(*(F.nullif(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in columns)), "percentile-columns")
+    long = d.unpivot([], columns, "column", "value").filter("value is not null")
+    # For each column the ranges (least, greatest, rows before, rows) that hold wanted places.
+    ranges = {r["column"]: [(r["a"], r["b"], 0, r["n"])] for r in long.groupBy("column").agg(F.min("value").alias("a"), F.max("value").alias("b"), F.count("*").alias("n")).collect()}
+    size = {c: x[0][3] for c, x in ranges.items()}
+    wanted = {c: sorted({min(n - 1, int((n - 1) * s) + k) for s in shares for k in (0, 1)}) for c, n in size.items()}
+    found: dict[tuple[str, int], float] = {}
+
+    def settle() -> None:
+        """Leaves the ranges that hold a wanted place which isn't known yet; one value alone is known."""
+        for c, own in ranges.items():
+            left = []
+            for a, b, before, n in own:
+                places = [k for k in wanted[c] if before <= k < before + n]
+                if a == b:
+                    found.update({(c, k): a for k in places})
+                elif places:
+                    left.append((a, b, before, n))
+            ranges[c] = left
+
+    settle()
+    for _ in range(PASSES):
+        if sum(n for own in ranges.values() for *_, n in own) <= FEW:
+            break
+        case = [(c, i, r) for c, own in ranges.items() for i, r in enumerate(own)]
+        bins = F.lit(None).cast("struct<i:int,k:int>")
+        for c, i, (a, b, _, _) in reversed(case):
+            k = F.least(F.greatest(F.floor((F.col("value") / 2 - a / 2) * (BINS / (b / 2 - a / 2))).cast("int"), F.lit(0)), F.lit(BINS - 1))
+            bins = F.when((F.col("column") == c) & F.col("value").between(a, b), F.struct(F.lit(i).alias("i"), k.alias("k"))).otherwise(bins)
+        counts = long.withColumn("_b", bins).filter("_b is not null").groupBy("column", "_b.i", "_b.k").agg(F.min("value").alias("a"), F.max("value").alias("b"), F.count("*").alias("n")).collect()
+        by: dict[tuple[str, int], list] = {}
+        for r in counts:
+            by.setdefault((r["column"], r["i"]), []).append(r)
+        narrow: dict[str, list] = {c: [] for c in ranges}
+        for (c, i), rows in by.items():
+            before = ranges[c][i][2]
+            for r in sorted(rows, key=lambda r: r["k"]):
+                narrow[c].append((r["a"], r["b"], before, r["n"]))
+                before += r["n"]
+        ranges = narrow
+        settle()
+    rest = [(c, a, b, before) for c, own in ranges.items() for a, b, before, _ in own]
+    if rest:
+        inside = F.lit(None).cast("long")
+        for c, a, b, before in rest:
+            inside = F.when((F.col("column") == c) & F.col("value").between(a, b), F.lit(before)).otherwise(inside)
+        counts = long.withColumn("_from", inside).filter("_from is not null").groupBy("column", "_from", "value").agg(F.count("*").alias("_n"))
+        placed = running(counts, [F.col("value")], {"_before": "_n"}, ["column", "_from"])
+        at = F.col("_from") + F.col("_before")
+        near = reduce(lambda x, y: x | y, ((F.col("column") == c) & (at <= k) & (k < at + F.col("_n")) for c, ks in wanted.items() for k in ks if (c, k) not in found))
+        for r in placed.filter(near).select("column", "value", at.alias("a"), (at + F.col("_n")).alias("b")).collect():
+            found.update({(r["column"], k): r["value"] for k in wanted[r["column"]] if r["a"] <= k < r["b"]})
+    out = []
+    for c in columns:
+        if c in size:
+            places = [(size[c] - 1) * s for s in shares]
+            pairs = [(found[c, int(p)], found[c, min(size[c] - 1, int(p) + 1)], p - int(p)) for p in places]
+            out.append((c, [low + (high - low) * f if f else low for low, high, f in pairs]))
+    return spark.createDataFrame(out, kind)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, Window
@@ -280,9 +281,8 @@ def _spread(cells: DataFrame, k: int = 1) -> DataFrame:
     return cells.select("ix", "iy", F.explode(near).alias("_n")).select((F.col("ix") + F.col("_n.i")).alias("ix"), (F.col("iy") + F.col("_n.j")).alias("iy")).distinct()
 
 
-def fill_gaps(grid: DataFrame, times: int = 2) -> DataFrame:
-    """Adds the cells that `times` dilations and as many erosions close, with the value of the nearest known cell (the least ix, iy of equals)."""
-    known = grid.select("ix", "iy")
+def closed_holes(known: DataFrame, times: int) -> DataFrame:
+    """ix, iy of the cells that aren't known but that `times` dilations and as many erosions close."""
     closed = known
     for _ in range(times):
         closed = _spread(closed)
@@ -290,13 +290,30 @@ def fill_gaps(grid: DataFrame, times: int = 2) -> DataFrame:
         near = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
         met = closed.select("ix", "iy", F.explode(near).alias("_n")).select((F.col("ix") + F.col("_n.i")).alias("ix"), (F.col("iy") + F.col("_n.j")).alias("iy")).groupBy("ix", "iy").count()
         closed = met.filter("count = 9").select("ix", "iy").join(closed, ["ix", "iy"], "left_semi")
-    holes = closed.join(known, ["ix", "iy"], "left_anti")
-    reach = range(-2 * times, 2 * times + 1)
-    near = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in reach for j in reach))
-    cand = holes.select(F.col("ix").alias("hx"), F.col("iy").alias("hy"), F.explode(near).alias("_n")).select("hx", "hy", (F.col("hx") + F.col("_n.i")).alias("ix"), (F.col("hy") + F.col("_n.j")).alias("iy"))
-    d2 = (F.col("ix") - F.col("hx")) ** 2 + (F.col("iy") - F.col("hy")) ** 2
-    best = cand.join(grid, ["ix", "iy"]).groupBy("hx", "hy").agg(F.min(F.struct(d2.alias("d2"), "ix", "iy", "value")).alias("_b"))
-    return grid.select("ix", "iy", "value", F.lit(False).alias("filled")).unionByName(best.select(F.col("hx").alias("ix"), F.col("hy").alias("iy"), "_b.value", F.lit(True).alias("filled")))
+    return closed.join(known, ["ix", "iy"], "left_anti")
+
+
+def fill_gaps(grid: DataFrame, times: int = 2) -> DataFrame:
+    """Adds the holes of closed_holes() with the value, and the alpha where there is one, of the nearest known cell (of equals that with the least ix, then iy); filled tells them.
+
+    Two scans: along each row the nearest known cell on either side is carried to the places that
+    holes ask for, then along each column the nearest of these is taken. A hole lies within `times`
+    steps of a known cell, so that it asks in so many rows above and below as a nearest cell can lie
+    away.
+    """
+    carried = [c for c in ("value", "alpha") if c in grid.columns]
+    known = grid.select("ix", "iy")
+    reach = math.isqrt(2 * times * times)
+    asked = closed_holes(known, times).select("ix", F.col("iy").alias("_hy"), F.explode(F.sequence(F.col("iy") - reach, F.col("iy") + reach)).alias("iy"))
+    cell = F.struct(F.col("ix").alias("ix"), *carried)
+    both = grid.select("ix", "iy", F.lit(None).cast(known.schema["iy"].dataType).alias("_hy"), cell.alias("_own")).unionByName(asked, allowMissingColumns=True)
+    row = Window.partitionBy("iy").orderBy("ix")
+    left = F.last("_own", ignorenulls=True).over(row.rangeBetween(Window.unboundedPreceding, 0))
+    right = F.first("_own", ignorenulls=True).over(row.rangeBetween(0, Window.unboundedFollowing))
+    sides = both.withColumns({"_l": left, "_r": right}).filter("_hy is not null").withColumn("_c", F.explode(F.array("_l", "_r"))).filter("_c is not null")
+    d2 = (F.col("_c.ix") - F.col("ix")) ** 2 + (F.col("iy") - F.col("_hy")) ** 2
+    best = sides.groupBy("ix", F.col("_hy").alias("_iy")).agg(F.min_by("_c", F.struct(d2.alias("d2"), F.col("_c.ix").alias("x"), F.col("iy").alias("y"))).alias("_b"))
+    return grid.select("ix", "iy", *carried, F.lit(False).alias("filled")).unionByName(best.select("ix", F.col("_iy").alias("iy"), *(F.col(f"_b.{c}").alias(c) for c in carried), F.lit(True).alias("filled")))
 
 
 def row_bands(cells: DataFrame, around: int = 2, lat: str = "lat") -> DataFrame:

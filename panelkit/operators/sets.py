@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import key_hash
+from ..sources import materialise
 from .joins import without_keys
 from .ordering import numbered
 
@@ -58,12 +59,45 @@ def stratified_sample(df: DataFrame, n: int, target: str, key: list[str], seed:
     return d.withColumn("_r", rank).filter(F.col("_r") <= n + 1).filter(F.col("_r") <= F.col("_k")).select(*df.columns)
 
 
+#: Rounds of the permutation of the cube's numbers.
+ROUNDS = 4
+
+
+def permuted(number: Column, rows: Column | int, columns: Column | int, seed: int) -> tuple[Column, Column]:
+    """Row and column that a number from 0 to rows * columns - 1 comes to: a permutation of all of them, fixed by the seed.
+
+    By turns the row is moved on by a hash of the column, and the column by one of the row.
+    """
+    rows, columns = (F.lit(x).cast("long") if isinstance(x, int) else x for x in (rows, columns))
+    a, b = F.floor(number / columns), F.pmod(number, columns)
+    for k in range(ROUNDS):
+        if k % 2:
+            a = F.pmod(a + key_hash(seed, F.lit(k), b), rows)
+        else:
+            b = F.pmod(b + key_hash(seed, F.lit(k), a), columns)
+    return a, b
+
+
 def sample_background(cells: DataFrame, years: list[int], weeks: list[int], exclude: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """Exactly n (where there are as many) distinct keys of cell, year and week that aren't in exclude."""
-    grid = cells.select("Grid_ID").distinct()
-    grid = grid.withColumn("iso_year", F.explode(F.array(*map(F.lit, years)))).withColumn("iso_week", F.explode(F.array(*map(F.lit, weeks))))
-    keys = ["Grid_ID", "iso_year", "iso_week"]
-    return without_keys(grid, exclude, keys).orderBy(*_drawn(seed, keys)).limit(n)
+    """Exactly n (where there are as many) distinct keys of cell, year and week that aren't in exclude.
+
+    The cube of all keys isn't built: its numbers pass a keyed permutation, whose first values are
+    decoded until n are left. The cost follows n and the share of the cube that exclude takes.
+    """
+    spark, keys = cells.sparkSession, ["Grid_ID", "iso_year", "iso_week"]
+    order = materialise(numbered(cells.select("Grid_ID").distinct(), [F.col("Grid_ID")], "_cell"), "cell-numbers")
+    count, slots = order.count(), len(years) * len(weeks)
+    most, drawn = count * slots, 0
+    free = exclude.select(*keys).distinct()
+    while True:
+        drawn = min(most, max(2 * drawn, n + n // 4 + 64))
+        cell, slot = permuted(F.col("id"), max(count, 1), max(slots, 1), seed)
+        d = spark.range(drawn).select("id", cell.alias("_cell"), slot.alias("_slot")).join(order, "_cell")
+        at = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), (i + 1).cast("int"))
+        d = d.select("id", "Grid_ID", at(years or [None], F.floor(F.col("_slot") / max(len(weeks), 1))).alias("iso_year"), at(weeks or [None], F.pmod("_slot", F.lit(max(len(weeks), 1)))).alias("iso_week"))
+        left = materialise(without_keys(d, free, keys), "background")
+        if drawn == most or left.count() >= n:
+            return left.orderBy("id").limit(n).select(*keys)
 
 
 def group_shuffle_split(df: DataFrame, group: str, share: float = 0.25, seed: int = 42) -> DataFrame:

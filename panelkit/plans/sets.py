@@ -56,7 +56,12 @@ def stratified(spark, sf):
     return op.stratified_sample(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), 200, "o_orderstatus", ["o_orderkey"])
 
 
-@R.add("s7_sample_background", sql("panel", f"SELECT c.Grid_ID, y.y::INT AS iso_year, w.w::INT AS iso_week FROM cells c, (SELECT unnest(range(1995, 2002)) AS y) y, (SELECT unnest(range(1, 54)) AS w) w WHERE NOT EXISTS (SELECT 1 FROM panel p WHERE p.presence = 1 AND p.Grid_ID = c.Grid_ID AND p.iso_year = y.y AND p.iso_week = w.w) ORDER BY {_H(42, 'c.Grid_ID', 'y.y', 'w.w')}, c.Grid_ID, y.y, w.w LIMIT 300"))
+_SLOTS = 7 * 53
+_PERM = f"""SELECT i, (a0 + {_H(42, '1', 'b1')}) % n AS a1, b1, n FROM (SELECT i, i // {_SLOTS} AS a0, (i % {_SLOTS} + {_H(42, '0', f'i // {_SLOTS}')}) % {_SLOTS} AS b1, n FROM (SELECT unnest(range((SELECT count(*) FROM cells) * {_SLOTS})) AS i, (SELECT count(*) FROM cells) AS n))"""
+_PERM = f"""SELECT i, (a1 + {_H(42, '3', 'b2')}) % n AS cell, b2 AS slot FROM (SELECT *, (b1 + {_H(42, '2', 'a1')}) % {_SLOTS} AS b2 FROM ({_PERM}))"""
+
+
+@R.add("s7_sample_background", sql("panel", "SELECT Grid_ID, iso_year, iso_week FROM (SELECT i, Grid_ID, (1995 + slot // 53)::INT AS iso_year, (1 + slot % 53)::INT AS iso_week FROM perm JOIN (SELECT Grid_ID, row_number() OVER (ORDER BY Grid_ID) - 1 AS cell FROM cells) USING (cell)) k WHERE NOT EXISTS (SELECT 1 FROM panel p WHERE p.presence = 1 AND p.Grid_ID = k.Grid_ID AND p.iso_year = k.iso_year AND p.iso_week = k.iso_week) ORDER BY i LIMIT 300", perm=_PERM))
 def background(spark, sf):
     return op.sample_background(cells(spark, sf), list(range(1995, 2002)), list(range(1, 54)), panel(spark, sf).filter("presence = 1"), 300)
 

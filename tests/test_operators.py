@@ -336,3 +336,42 @@ def test_states_as_of_mondays_against_a_filled_calendar(spark):
             some += x is not None
             assert [np.nan if z is None else z for z in values] == pytest.approx(want, nan_ok=True)
     assert some > 20
+
+
+@pytest.mark.parametrize("few, bins", [(20_000, 512), (50, 7), (0, 3)])
+def test_percentiles_by_refined_histograms(spark, monkeypatch, few, bins):
+    monkeypatch.setattr(ordering, "FEW", few)
+    monkeypatch.setattr(ordering, "BINS", bins)
+    r = np.random.default_rng(4)
+    frame = pd.DataFrame({"a": r.normal(size=3000), "b": np.exp(r.normal(size=3000) * 20), "c": np.where(r.random(3000) < 0.7, 0.0, r.random(3000)), "d": r.integers(-1, 2, 3000).astype(float), "e": np.where(r.random(3000) < 0.5, 1e308, -1e308)})
+    shares = [0.0, 0.025, 1 / 3, 0.5, 0.995, 1.0]
+    got = {x["column"]: x["values"] for x in ordering.exact_percentiles(spark.createDataFrame(frame).repartition(4), list("abcde"), shares).collect()}
+    for c in "abcd":
+        assert got[c] == pytest.approx(np.percentile(frame[c], [100 * s for s in shares]), rel=1e-12)
+    assert {abs(x) for x in got["e"]} == {1e308}
+
+
+@pytest.mark.parametrize("times", [1, 2, 3])
+def test_gap_fill_against_all_known_cells(spark, times):
+    r = np.random.default_rng(times)
+    known = {(x, y): (float(r.random()), float(r.random())) for x in range(14) for y in range(14) if r.random() < 0.45}
+    grid = spark.createDataFrame([(x, y, v, a) for (x, y), (v, a) in known.items()], "ix int, iy int, value double, alpha double")
+    holes = {(h.ix, h.iy) for h in panels.closed_holes(grid.select("ix", "iy"), times).collect()}
+    got = {(g.ix, g.iy): (g.value, g.alpha, g.filled) for g in panels.fill_gaps(grid, times).collect()}
+    assert len(holes) > 10 and got.keys() == known.keys() | holes
+    for h in holes:
+        near = min(known, key=lambda k: ((k[0] - h[0]) ** 2 + (k[1] - h[1]) ** 2, k))
+        assert got[h] == (*known[near], True)
+    assert all(got[k] == (*v, False) for k, v in known.items())
+
+
+def test_background_numbers_are_a_permutation(spark):
+    a, b = sets.permuted(F.col("id"), 13, 21, 5)
+    assert spark.range(13 * 21).select(a.alias("a"), b.alias("b")).distinct().count() == 13 * 21
+    cells = spark.createDataFrame([(f"c{i}",) for i in range(9)], "Grid_ID string")
+    some = spark.createDataFrame([(f"c{i}", 2015, w) for i in range(9) for w in range(1, 9)], "Grid_ID string, iso_year int, iso_week int")
+    take = lambda n, e: sets.sample_background(cells, [2015, 2016], list(range(1, 11)), e, n)
+    got = take(40, some).collect()
+    assert len(set(got)) == 40 and not {(r.Grid_ID, r.iso_year, r.iso_week) for r in got} & {tuple(r) for r in some.collect()}
+    assert sorted(take(40, some).collect()) == sorted(got)
+    assert take(1000, some).count() == 180 - 72 and take(50, some.limit(0)).count() == 50 and sets.sample_background(cells.limit(0), [2015], [1], some, 5).count() == 0
