@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import disagreement, effort_weight, key_hash, opacity, support
 from ..sources import materialise
 from .joins import support_distance
-from .panels import impute
+from .panels import corr_matrix, decorrelated, impute
 from .sets import group_kfold, group_shuffle_split
 from .verification import SCHEMES, build_blocks, score
 
@@ -29,6 +30,21 @@ def boosted_regressor(**how) -> Estimator:
     return GBTRegressor(featuresCol=VECTOR, labelCol="mean_log_count", weightCol=WEIGHT, **({"maxIter": 20, "maxDepth": 4, "seed": 42} | how))
 
 
+def regularised_regressor(**how) -> Estimator:
+    """Shallower trees of larger leaves, each on parts of the rows and features, with smaller steps."""
+    return boosted_regressor(**({"maxDepth": 3, "minInstancesPerNode": 5, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "stepSize": 0.05} | how))
+
+
+#: Prefixes of land cover and vegetation, which a model of climate alone leaves out.
+NOT_CLIMATE = ("pct_", "EVI", "NDWI", "evi_", "ndwi_")
+
+
+def climate_features(df: DataFrame, candidates: list[str], threshold: float = 0.9) -> list[str]:
+    """The candidates without land cover and vegetation, each only if no one kept before it is correlated with it beyond the threshold."""
+    kept = [c for c in candidates if not c.startswith(NOT_CLIMATE)]
+    return decorrelated(materialise(corr_matrix(df, kept), "climate-correlations"), kept, threshold)
+
+
 def boosted_classifier(**how) -> Estimator:
     return GBTClassifier(featuresCol=VECTOR, labelCol=LABEL, weightCol=WEIGHT, **({"maxIter": 20, "maxDepth": 4, "seed": 42} | how))
 
@@ -37,12 +53,12 @@ def forest_classifier(**how) -> Estimator:
     return RandomForestClassifier(featuresCol=VECTOR, labelCol=LABEL, weightCol=WEIGHT, **({"numTrees": 50, "maxDepth": 6, "seed": 42} | how))
 
 
-def training_weights(df: DataFrame, balanced: bool = True) -> DataFrame:
-    """Adds weight: the root of the effort, times what balances the classes of these rows."""
+def training_weights(df: DataFrame, balanced: bool = True, counts: tuple[int, int] | None = None) -> DataFrame:
+    """Adds weight: the root of the effort, times what balances the classes of these rows. counts: rows and positives, where they are known."""
     d = df.withColumn(WEIGHT, effort_weight(F.col("n_events"))) if "n_events" in df.columns else df.withColumn(WEIGHT, F.lit(1.0))
     if not balanced:
         return d
-    n, pos = d.agg(F.count("*"), F.count_if(F.col(LABEL) == 1)).first()
+    n, pos = counts or d.agg(F.count("*"), F.count_if(F.col(LABEL) == 1)).first()
     if not pos or pos == n:
         return d
     return d.withColumn(WEIGHT, F.col(WEIGHT) * F.when(F.col(LABEL) == 1, n / (2.0 * pos)).otherwise(n / (2.0 * (n - pos))))
@@ -75,10 +91,10 @@ class Fitted:
         return self.isotonic.transform(d.withColumn("_x", F.col(out))).withColumn(out, F.col("_iso")).drop("_x", "_iso")
 
 
-def fit(train: DataFrame, features: list[str], make: Callable[[], Estimator], calibration: DataFrame | None = None, balanced: bool = True) -> Fitted:
-    """Medians, weights and model from train alone; the isotonic map from calibration rows."""
-    medians = sketched_medians(train, features)
-    d = impute(training_weights(train, balanced), medians)
+def fit(train: DataFrame, features: list[str], make: Callable[[], Estimator], calibration: DataFrame | None = None, balanced: bool = True, known: tuple[tuple[int, int], dict[str, float]] | None = None) -> Fitted:
+    """Medians, weights and model from train alone; the isotonic map from calibration rows. known: train's rows and positives, and its medians."""
+    counts, medians = known or (None, sketched_medians(train, features))
+    d = impute(training_weights(train, balanced, counts), medians)
     d = VectorAssembler(inputCols=features, outputCol=VECTOR).transform(d.withColumns({c: F.col(c).cast("double") for c in features}))
     fitted = Fitted(make().fit(d), features, medians)
     if calibration is not None:
@@ -94,10 +110,11 @@ def _empty(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def _scored(train: DataFrame, aside: DataFrame | None, test: DataFrame, features: list[str], make: Callable[[], Estimator]) -> DataFrame:
     """test with p: of the model of train, through the isotonic map of aside; where train has one class, the share of its positives (null without rows)."""
-    share, classes = train.agg(F.avg(LABEL), F.countDistinct(LABEL)).first()
-    if classes < 2:
-        return test.withColumn("p", F.lit(share).cast("double"))
-    return fit(train, features, make, aside).predict(test)
+    medians = [F.percentile_approx(F.col(c).cast("double"), 0.5, 10_000) for c in features]
+    n, pos, known, *found = train.agg(F.count("*"), F.count_if(F.col(LABEL) == 1), F.count(LABEL), *medians).first()
+    if pos in (0, known):
+        return test.withColumn("p", F.lit(pos / known if known else None).cast("double"))
+    return fit(train, features, make, aside, known=((n, pos), {c: 0.0 if x is None else float(x) for c, x in zip(features, found)})).predict(test)
 
 
 def pooled_oof(df: DataFrame, features: list[str], make: Callable[[], Estimator], fold: str, keys: list[str], calibrate: bool = False, group: str | None = None, parallel: int = 4) -> DataFrame:
@@ -108,13 +125,21 @@ def pooled_oof(df: DataFrame, features: list[str], make: Callable[[], Estimator]
     isotonic map; where nothing would be left to fit on, scores stay raw. A null fold is a fold. Where
     the training rows have one class, or there are none, p is their share of positives, or null.
     """
-    folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]
+    # The folds in the order in which they are set aside; they are few, as each is a fit.
+    drawn = [r[0] for r in df.select(fold).distinct().orderBy(key_hash(42, F.col(fold)), fold).collect()]
+    folds = sorted(drawn, key=lambda x: (x is not None, x))
+    one_of = lambda values: reduce(lambda a, b: a | b, (F.col(fold).eqNullSafe(F.lit(x)) for x in values))
 
     def one(value) -> DataFrame:
         own = F.col(fold).eqNullSafe(F.lit(value))
         test, train, aside = df.filter(own), df.filter(~own), None
-        if calibrate and train.select(group or fold).distinct().count() > 1:
-            split = group_shuffle_split(train, group or fold)
+        others = [x for x in drawn if x != value]
+        if calibrate and group in (None, fold):
+            if len(others) > 1:
+                held = one_of(others[: math.ceil(len(others) / 4)])
+                train, aside = train.filter(~held), train.filter(held)
+        elif calibrate and train.select(group).distinct().count() > 1:
+            split = group_shuffle_split(train, group)
             train, aside = split.filter("part = 'train'").drop("part"), split.filter("part = 'calibration'").drop("part")
         return _scored(train, aside, test, features, make).select(*keys, LABEL, F.col(fold).cast("string").alias("fold"), "p")
 
@@ -166,12 +191,16 @@ def calibration_table(df: DataFrame, features: list[str], makers: dict[str, Call
     return reduce(DataFrame.unionByName, parts)
 
 
-def seed_scores(df: DataFrame, features: list[str], make: Callable[[], Estimator], seeds: list[int], keys: list[str], k: int = 3) -> DataFrame:
-    """seed and spatial scores, with the blocks built anew for each seed."""
+def seed_scores(df: DataFrame, features: list[str], makers: dict[str, Callable[[], Estimator]], seeds: list[int], keys: list[str], schemes: tuple[str, ...] = ("spatiotemporal", "spatial"), k: int = 6, calibrate: bool = True) -> DataFrame:
+    """seed, model, scheme, cells of the smallest and largest block, and scores, with the blocks built anew for each seed; the models' own seeds stay."""
     parts = []
     for s in seeds:
-        d = materialise(build_blocks(df.drop("spatial_block", "st_block"), "kmeans", k, s), "seed-blocks")
-        parts.append(score(pooled_oof(d, features, make, "spatial_block", keys), LABEL, "p").withColumn("seed", F.lit(s)))
+        d = materialise(build_blocks(df.drop("spatial_block", "coarse_block", "st_block", "st_block3"), "kmeans", k, s), "seed-blocks")
+        sizes = d.groupBy("spatial_block").agg(F.countDistinct("Grid_ID").alias("n")).agg(F.min("n").alias("block_cells_min"), F.max("n").alias("block_cells_max")).first()
+        for name, make in makers.items():
+            for scheme in schemes:
+                scores = score(materialise(pooled_oof(d, features, make, SCHEMES[scheme], keys, calibrate), "seed-oof"), LABEL, "p")
+                parts.append(scores.select(F.lit(s).alias("seed"), F.lit(name).alias("model"), F.lit(scheme).alias("scheme"), *(F.lit(x).alias(c) for c, x in sizes.asDict().items()), "*"))
     return reduce(DataFrame.unionByName, parts)
 
 

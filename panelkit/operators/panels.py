@@ -197,7 +197,7 @@ def nearest_pixel_series(assigned: DataFrame, time: str, bands: list[str], key:
 
 
 def corr_matrix(df: DataFrame, columns: list[str], method: str = "pearson") -> DataFrame:
-    """a, b, r of every pair of columns over the rows where both are known (not null, not NaN): all pairs in one aggregation.
+    """a, b, r of every pair of columns over the rows where both are known (not null, not NaN): all pairs in one aggregation. With a constant column r is null.
 
     spearman: correlation of average ranks, which are taken over the rows of each pair.
     """
@@ -207,7 +207,8 @@ def corr_matrix(df: DataFrame, columns: list[str], method: str = "pearson") -> D
         d, side = _pair_ranks(d, columns)
     else:
         side = {(a, b): F.when(F.col(b).isNotNull(), F.col(a)) for a in columns for b in columns}
-    wide = d.agg(*(F.corr(side[a, b], side[b, a]).alias(f"r{i}") for i, (a, b) in enumerate(pairs)))
+    r = lambda a, b: F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    wide = d.agg(*(r(side[a, b], side[b, a]).alias(f"r{i}") for i, (a, b) in enumerate(pairs)))
     return wide.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)))).alias("_x")).select("_x.*")
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,30 +29,50 @@ def lattice_blocks(cells: DataFrame, rows: int = 2, columns: int = 3) -> DataFra
     return c.join(F.broadcast(cuts)).select("Grid_ID", block.cast("int").alias("spatial_block"))
 
 
-def kmeans_blocks(cells: DataFrame, k: int = 6, seed: int = 42) -> DataFrame:
-    """Grid_ID, spatial_block: clusters of the distinct cells' centroids."""
+def kmeans_blocks(cells: DataFrame, k: int = 6, seed: int = 42, starts: int = 10, parallel: int = 4) -> DataFrame:
+    """Grid_ID, spatial_block: clusters of the distinct cells' centroids, the closest of several starts; blocks are numbered by their centres."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
     c = cells.groupBy("Grid_ID").agg(F.min("cell_lat").alias("cell_lat"), F.min("cell_lon").alias("cell_lon"))
-    v = VectorAssembler(inputCols=["cell_lat", "cell_lon"], outputCol="_v").transform(c)
-    model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="spatial_block").fit(v)
-    return model.transform(v).select("Grid_ID", "spatial_block")
+    v = materialise(VectorAssembler(inputCols=["cell_lat", "cell_lon"], outputCol="_v").transform(c), "kmeans-cells")
 
+    def fit(i: int):
+        model = KMeans(k=k, seed=seed + 1000 * i, featuresCol="_v", predictionCol="_b").fit(v)
+        return model.summary.trainingCost, i, model
 
-def build_blocks(panel: DataFrame, method: str = "kmeans", k: int = 6, seed: int = 42) -> DataFrame:
-    """The panel with spatial_block, and st_block of block and year."""
-    labels = kmeans_blocks(panel, k, seed) if method == "kmeans" else lattice_blocks(panel, 2, max(1, k // 2))
-    return panel.join(labels, "Grid_ID").withColumn("st_block", fold_label(F.col("spatial_block").cast("string"), F.col("iso_year").cast("string")))
+    with ThreadPoolExecutor(max_workers=max(1, min(parallel, starts))) as pool:
+        *_, model = min(pool.map(inheritable_thread_target(cells.sparkSession)(fit), range(starts)), key=lambda x: x[:2])
+    centres = [tuple(x) for x in model.clusterCenters()]
+    place = {i: n for n, i in enumerate(sorted(range(len(centres)), key=centres.__getitem__))}
+    number = F.element_at(F.create_map(*(F.lit(x) for i in place.items() for x in i)), F.col("_b"))
+    return model.transform(v).select("Grid_ID", number.alias("spatial_block"))
+
+
+def build_blocks(panel: DataFrame, method: str = "kmeans", k: int = 6, seed: int = 42, coarse: int = 3) -> DataFrame:
+    """The panel with spatial_block and, of `coarse` blocks, coarse_block; st_block and st_block3 of either and the year."""
+    blocks = lambda n: kmeans_blocks(panel, n, seed) if method == "kmeans" else lattice_blocks(panel, 2, max(1, n // 2))
+    label = lambda c: fold_label(F.col(c).cast("string"), F.col("iso_year").cast("string"))
+    d = panel.join(blocks(k), "Grid_ID").join(blocks(coarse).withColumnRenamed("spatial_block", "coarse_block"), "Grid_ID")
+    return d.withColumn("st_block", label("spatial_block")).withColumn("st_block3", label("coarse_block"))
 
 
 SCHEMES = {"spatial": "spatial_block", "temporal": "iso_year", "spatiotemporal": "st_block"}
+THREE_BLOCKS = {"spatiotemporal_3blocks": "st_block3"}
 
 
-def group_labels(df: DataFrame, schemes: dict[str, str] | None = None) -> DataFrame:
-    """A row for each row and scheme, with scheme and fold."""
-    pairs = F.array(*(F.struct(F.lit(s).alias("scheme"), F.col(c).cast("string").alias("fold")) for s, c in (schemes or SCHEMES).items()))
-    return df.withColumn("_x", F.explode(pairs)).select(*df.columns, "_x.scheme", "_x.fold")
+def group_labels(df: DataFrame, schemes: dict[str, str] | None = None, forward: str | None = None) -> DataFrame:
+    """A row for each row and scheme, with scheme and fold.
+
+    forward: a column of years; the scheme of that name tests each year on those before it, so that
+    rows of the first year are in no fold of it (null: they only train).
+    """
+    named = [F.struct(F.lit(s).alias("scheme"), F.col(c).cast("string").alias("fold")) for s, c in (schemes or SCHEMES).items()]
+    d = df
+    if forward:
+        d = df.join(F.broadcast(df.agg(F.min(forward).alias("_first"))))
+        named.append(F.struct(F.lit("forward").alias("scheme"), F.when(F.col(forward) > F.col("_first"), F.col(forward).cast("string")).alias("fold")))
+    return d.withColumn("_x", F.explode(F.array(*named))).select(*df.columns, "_x.scheme", "_x.fold")
 
 
 def curve(df: DataFrame, y: str, p: str, by: list[str], weight: str | None = None) -> DataFrame:

@@ -52,6 +52,16 @@ def regressor_by_year(spark, sf):
     return v.regression_logo(op.regression_oof(d, FEATURES, op.boosted_regressor, "iso_year", KEYS), "mean_log_count", "p", "fold")
 
 
+@R.add("m1_regularised_climate")
+def regularised(spark, sf):
+    """Climate alone, decorrelated, with stronger regularisation: r2 and rmse by block and by year."""
+    d = model_table(spark, sf).filter("presence = 1").withColumn("monday", F.col("week_start"))
+    d = materialise(d.join(state(spark, sf, d), ["Grid_ID", "monday"], "left"), "abundance-table")
+    kept = op.climate_features(d, [*FEATURES, *STATE, "evi_level"])
+    parts = [v.regression_logo(op.regression_oof(d, kept, op.regularised_regressor, fold, KEYS), "mean_log_count", "p", "fold").withColumn("by", F.lit(fold)).withColumn("features", F.lit(", ".join(kept))) for fold in ("spatial_block", "iso_year")]
+    return parts[0].unionByName(parts[1])
+
+
 @R.add("m2_v3_v7_boosted_oof_calibrated")
 def boosted(spark, sf):
     return op.pooled_oof(model_table(spark, sf), FEATURES, boost, "spatial_block", KEYS, calibrate=True)
@@ -67,12 +77,26 @@ def forward(spark, sf):
     return op.forward_scores(op.forward_oof(model_table(spark, sf), FEATURES, forest_model, KEYS))
 
 
+@R.add("v3_schemes")
+def by_scheme(spark, sf):
+    """The forest's pooled scores under each scheme."""
+    from ..operators.sets import stack
+
+    d = model_table(spark, sf)
+    return stack({s: v.score(op.pooled_oof(d, FEATURES, forest_model, c, KEYS), "presence", "p") for s, c in v.SCHEMES.items()}, "scheme")
+
+
+#: Small trees: five seeds, two models and two schemes are some 200 fits.
+SMALL = {"boosted": lambda: boost(maxIter=4, maxDepth=3), "forest": lambda: forest_model(numTrees=8, maxDepth=4)}
+SEEDS = [42, 7, 123, 2024, 31]
+
+
 @R.add("v16_a17_seed_sensitivity")
 def seeds(spark, sf):
+    """Spread of the scores when the blocks are built anew by five seeds: two models, two schemes, calibrated."""
     from ..operators.panels import seed_spread
 
-    s = op.seed_scores(model_table(spark, sf), FEATURES, forest_model, [42, 43], KEYS)
-    return seed_spread(s.withColumn("model", F.lit("forest")), ["roc_auc", "brier"], ["model"])
+    return seed_spread(op.seed_scores(model_table(spark, sf), FEATURES, SMALL, SEEDS, KEYS, k=3), ["roc_auc", "pr_lift", "bss"], ["model", "scheme"])
 
 
 @R.add("v20_calibration_grid")

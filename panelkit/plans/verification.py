@@ -38,6 +38,17 @@ def labels(spark, sf):
     return op.group_labels(panel(spark, sf), {"cell": "Grid_ID", "temporal": "iso_year"}).groupBy("scheme", "fold").agg(F.count("*").alias("n"))
 
 
+_BLOCKS = "SELECT Grid_ID, ((cell_lat > (SELECT quantile_cont(cell_lat, 0.5) FROM places))::INT * 3 + (cell_lon > (SELECT quantile_cont(cell_lon, 1 / 3.0::DOUBLE) FROM places))::INT + (cell_lon > (SELECT quantile_cont(cell_lon, 2 / 3.0::DOUBLE) FROM places))::INT)::INT AS b6, (cell_lat > (SELECT quantile_cont(cell_lat, 0.5) FROM places))::INT AS b2 FROM places"
+_FOLDS = {"spatial": "b6::VARCHAR", "temporal": "iso_year::VARCHAR", "spatiotemporal": "b6 || '_' || iso_year", "spatiotemporal_3blocks": "b2 || '_' || iso_year", "forward": "CASE WHEN iso_year > (SELECT min(iso_year) FROM panel) THEN iso_year::VARCHAR END"}
+
+
+@R.add("v2_schemes", sql("panel", " UNION ALL ".join(f"SELECT '{s}' AS scheme, {c} AS fold, count(*) AS n FROM panel JOIN blocks USING (Grid_ID) GROUP BY 2" for s, c in _FOLDS.items()), places="SELECT DISTINCT Grid_ID, cell_lat, cell_lon FROM panel", blocks=_BLOCKS))
+def schemes(spark, sf):
+    """Rows of each fold of all five schemes, over blocks of a lattice."""
+    d = op.build_blocks(panel(spark, sf), "lattice")
+    return op.group_labels(d, op.SCHEMES | op.THREE_BLOCKS, forward="iso_year").groupBy("scheme", "fold").agg(F.count("*").alias("n"))
+
+
 @R.add("v4_logo_mean", sql("panel", "SELECT a.iso_week, a.iso_year, count(b.presence) AS n_other, avg(b.presence) AS mean_other FROM (SELECT DISTINCT iso_week, iso_year FROM panel) a LEFT JOIN panel b ON a.iso_week = b.iso_week AND a.iso_year <> b.iso_year GROUP BY 1, 2"), "mean_other")
 def logo(spark, sf):
     return op.logo_mean(panel(spark, sf), "iso_year", "presence", ["iso_week"])
