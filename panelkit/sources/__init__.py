@@ -100,9 +100,10 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def upsert_latest(old: DataFrame, new: DataFrame, keys: list[str], latest: str | None = None) -> DataFrame:
-    """One row for each key: of rows with equal keys, those of `new` replace those of `old`; of several of one side, the one with the greatest `latest`."""
+    """One row for each key: of rows with equal keys, those of `new` replace those of `old`; of several of one side, the one with the greatest `latest`, then with the greatest other values, so that reruns agree."""
     both = old.withColumn("_turn", F.lit(0)).unionByName(new.withColumn("_turn", F.lit(1)), allowMissingColumns=True)
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_turn"), *([F.col(latest).desc_nulls_last()] if latest else [])))
+    rest = [f.name for f in both.schema if f.name not in (*keys, "_turn") and not isinstance(f.dataType, T.MapType)]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_turn"), *([F.col(latest).desc_nulls_last()] if latest else []), *(F.col(c).desc_nulls_last() for c in rest)))
     return both.withColumn("_rank", rank).filter("_rank = 1").drop("_rank", "_turn")
 
 

@@ -375,3 +375,9 @@ def test_background_numbers_are_a_permutation(spark):
     assert len(set(got)) == 40 and not {(r.Grid_ID, r.iso_year, r.iso_week) for r in got} & {tuple(r) for r in some.collect()}
     assert sorted(take(40, some).collect()) == sorted(got)
     assert take(1000, some).count() == 180 - 72 and take(50, some.limit(0)).count() == 50 and sets.sample_background(cells.limit(0), [2015], [1], some, 5).count() == 0
+
+
+def test_upsert_of_equal_rows_is_repeatable(spark):
+    new = spark.createDataFrame([(1, "a", 2.0), (1, "b", 1.0), (1, "b", None)], "k int, v string, w double")
+    for n in (1, 3):
+        assert tuple(io.upsert_latest(new.limit(0), new.repartition(n), ["k"]).first()) == (1, "b", 1.0)
