@@ -146,7 +146,9 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, unit: int = UNIT) -> Da
     paragraphs count whatever their length, other passages from min_words words on, in the same text
     as well: every run of min_words words that stands earlier anywhere is in one. Lines without
     words stay. Words are compared in lower case, by 64-bit hashes, and without what
-    stands between them. Rows that repeat both id and text count as one.
+    stands between them. Rows that repeat both id and text count as one. A very long text is cut
+    into all its units; its repeated ones come together as one row. Null and empty texts and an
+    empty table give none.
     """
     docs = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
     found = materialise(units(docs, unit, min_words - unit + 1), "passage-units")

@@ -245,7 +245,8 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
     """Adds `out`, the piece ids of the whole text, to every row.
 
     Null and empty texts get an empty list. Other columns stay as they are, a column named
-    like `out` is replaced. Repeated rows are encoded alike. No shuffle.
+    like `out` is replaced. Repeated rows are encoded alike; a very long text is cut where no piece
+    can reach across and encoded as a whole; an empty table stays one. No shuffle.
     """
     text_batches(df.sparkSession)
     schema = T.StructType([f for f in df.schema if f.name != out] + [T.StructField(out, T.ArrayType(T.IntegerType()))])
@@ -265,7 +266,8 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds `out`, the text that the list of piece ids stands for. Null lists count as empty ones.
 
-    Byte pieces that form no UTF-8 become one U+FFFD each; ids outside the vocabulary raise.
+    Byte pieces that form no UTF-8 become one U+FFFD each; ids outside the vocabulary raise. Very
+    long lists are decoded as a whole, repeated rows alike; an empty table stays one.
     """
     text_batches(df.sparkSession)
     schema = T.StructType([f for f in df.schema if f.name != out] + [T.StructField(out, T.StringType())])
@@ -295,7 +297,7 @@ def vocabulary() -> str:
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document: encode, then decode the ids."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document: encode, then decode the ids. Edge cases: see both."""
     path = path or vocabulary()
     both = decode(encode(docs.select("doc_id", "text"), path), path)
     return both.select(
