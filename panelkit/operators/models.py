@@ -16,12 +16,12 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import disagreement, effort_weight, key_hash, opacity, support
+from ..functions import disagreement, effort_weight, fold_label, key_hash, opacity, support
 from ..sources import materialise
 from .joins import support_distance
 from .panels import corr_matrix, decorrelated, impute
 from .sets import group_kfold, group_shuffle_split
-from .verification import SCHEMES, build_blocks, score
+from .verification import SCHEMES, kmeans_blocks, score
 
 LABEL, WEIGHT, VECTOR = "presence", "weight", "_features"
 
@@ -117,7 +117,7 @@ def _scored(train: DataFrame, aside: DataFrame | None, test: DataFrame, features
     return fit(train, features, make, aside, known=((n, pos), {c: 0.0 if x is None else float(x) for c, x in zip(features, found)})).predict(test)
 
 
-def pooled_oof(df: DataFrame, features: list[str], make: Callable[[], Estimator], fold: str, keys: list[str], calibrate: bool = False, group: str | None = None, parallel: int = 4) -> DataFrame:
+def pooled_oof(df: DataFrame, features: list[str], make: Callable[[], Estimator], fold: str, keys: list[str], calibrate: bool = False, group: str | None = None, parallel: int = 8) -> DataFrame:
     """keys, presence, fold, p: every row scored by the model that didn't see its fold.
 
     The driver loops over the folds alone, `parallel` at a time; fitting and scoring are distributed.
@@ -195,7 +195,9 @@ def seed_scores(df: DataFrame, features: list[str], makers: dict[str, Callable[[
     """seed, model, scheme, cells of the smallest and largest block, and scores, with the blocks built anew for each seed; the models' own seeds stay."""
     parts = []
     for s in seeds:
-        d = materialise(build_blocks(df.drop("spatial_block", "coarse_block", "st_block", "st_block3"), "kmeans", k, s), "seed-blocks")
+        labels = kmeans_blocks(df, k, s)
+        label = fold_label(F.col("spatial_block").cast("string"), F.col("iso_year").cast("string"))
+        d = materialise(df.drop("spatial_block", "st_block").join(labels, "Grid_ID").withColumn("st_block", label), "seed-blocks")
         sizes = d.groupBy("spatial_block").agg(F.countDistinct("Grid_ID").alias("n")).agg(F.min("n").alias("block_cells_min"), F.max("n").alias("block_cells_max")).first()
         for name, make in makers.items():
             for scheme in schemes:
