@@ -191,12 +191,12 @@ def calibration_table(df: DataFrame, features: list[str], makers: dict[str, Call
     return reduce(DataFrame.unionByName, parts)
 
 
-def seed_scores(df: DataFrame, features: list[str], makers: dict[str, Callable[[], Estimator]], seeds: list[int], keys: list[str], schemes: tuple[str, ...] = ("spatiotemporal", "spatial"), k: int = 6, calibrate: bool = True) -> DataFrame:
-    """seed, model, scheme, cells of the smallest and largest block, and scores, with the blocks built anew for each seed; the models' own seeds stay."""
+def seed_scores(df: DataFrame, features: list[str], makers: dict[str, Callable[[], Estimator]], seeds: list[int], keys: list[str], schemes: tuple[str, ...] = ("spatiotemporal", "spatial"), k: int = 6, calibrate: bool = True, period: str = "iso_year") -> DataFrame:
+    """seed, model, scheme, cells of the smallest and largest block, and scores, with the blocks built anew for each seed; the models' own seeds stay. period: what spatiotemporal folds join with the blocks."""
     parts = []
     for s in seeds:
         labels = kmeans_blocks(df, k, s)
-        label = fold_label(F.col("spatial_block").cast("string"), F.col("iso_year").cast("string"))
+        label = fold_label(F.col("spatial_block").cast("string"), F.col(period).cast("string"))
         d = materialise(df.drop("spatial_block", "st_block").join(labels, "Grid_ID").withColumn("st_block", label), "seed-blocks")
         sizes = d.groupBy("spatial_block").agg(F.countDistinct("Grid_ID").alias("n")).agg(F.min("n").alias("block_cells_min"), F.max("n").alias("block_cells_max")).first()
         for name, make in makers.items():
