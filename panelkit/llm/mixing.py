@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .shared import materialise
 
-BLOCK_WORDS, SHARD_SLOTS, SEED, ROUNDS = 128, 8192, 17, 12
+BLOCK_WORDS, SHARD_SLOTS, SEED, ROUNDS = 128, 1024, 17, 12
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 #: A source's documents are laid end to end in so many parts, whose lengths are summed first.
 PARTS_HEX = 3
@@ -78,15 +78,21 @@ def permuted(x: Column, n: Column, key: Column) -> Column:
     return _swapped(x, n, key, round_keys(n, key))
 
 
+def _mark(doc_id: Column, text: Column) -> Column:
+    """What stands in for a missing id: a digest of the text, so that rows without an id fall into all parts of their source."""
+    return F.when(doc_id.isNull(), F.substring(F.md5(F.coalesce(text, F.lit("")).cast("binary")), 1, 12))
+
+
 def laid_out(sizes: DataFrame) -> DataFrame:
-    """Adds key (of the source) and start (the document's place in its source's words). Needs doc_id, source, size."""
-    df = sizes.withColumn("key", _source_key(F.col("source"))).withColumn("part", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, PARTS_HEX))
+    """Adds key (of the source) and start (the document's place in its source's words). Needs doc_id, mark (of _mark), source, size."""
+    spread = F.coalesce(F.col("doc_id").cast("string"), F.col("mark"))
+    df = sizes.withColumn("key", _source_key(F.col("source"))).withColumn("part", F.substring(F.md5(spread.cast("binary")), 1, PARTS_HEX))
     parts = df.groupBy("key", "part").agg(F.sum("size").alias("words"))
     base = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("key", "part", F.coalesce(F.sum("words").over(base), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("key", "part").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("key", "part").orderBy("doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return df.join(parts, ["key", "part"]).withColumn("start", F.col("base") + F.col("inside")).drop("part", "base", "inside")
+    return df.join(parts, ["key", "part"]).withColumn("start", F.col("base") + F.col("inside")).drop("part", "mark", "base", "inside")
 
 
 def blocks(laid: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -150,10 +156,11 @@ def mix(docs: DataFrame, keep: list[str] | None = None) -> tuple[DataFrame, Data
 
     Null texts and texts without words have size 0 and are never drawn; a null source is a
     source of its own; repeated rows lie one after another; a very long text is many blocks. An
-    empty table gives empty results. Texts are read once: what follows works on ids, sources and
-    sizes, and columns to keep.
+    empty table gives empty results. Rows without an id are laid out by a digest of their text.
+    Texts are read once: what follows works on ids, sources and sizes, and columns to keep.
     """
-    sizes = materialise(docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), *(keep or [])), "mix-sizes")
+    mark = _mark(F.col("doc_id"), F.col("text")).alias("mark")
+    sizes = materialise(docs.select("doc_id", mark, "source", F.size(words(F.col("text"))).cast("long").alias("size"), *(keep or [])), "mix-sizes")
     plan = materialise(targets(sizes), "mix-targets")
     return laid_out(sizes), plan, slots(plan)
 
@@ -233,7 +240,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = f"""
 WITH docs AS (
-  SELECT doc_id, source, coalesce('s' || source, 'n') AS key, substr(md5(coalesce(doc_id::VARCHAR, '')), 1, {PARTS_HEX}) AS part,
+  SELECT doc_id, source, coalesce('s' || source, 'n') AS key, substr(md5(coalesce(doc_id::VARCHAR, substr(md5(coalesce(text, '')), 1, 12))), 1, {PARTS_HEX}) AS part,
          len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
 sources AS (SELECT source, key, sum(size)::BIGINT AS source_size FROM docs GROUP BY 1, 2),
 weighted AS (

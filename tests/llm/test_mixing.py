@@ -102,3 +102,21 @@ def test_targets_met_to_the_word(spark):
         for r in rows:
             got[r.target, r.source_size] = got.get((r.target, r.source_size), 0) + r.taken
         assert len(got) == 3 and got == {k: round(k[0]) for k in got}
+
+
+def test_several_shards_draw_at_the_small_scale(spark):
+    rows = mixing.op7_mixing(spark, "/root/testdata/sf0.01").select("n_shards", "first_shard").distinct().collect()
+    assert max(r.n_shards for r in rows) > 1 and len({r.first_shard for r in rows}) > 2
+
+
+def test_rows_without_an_id_are_spread_by_their_text(spark):
+    texts = [f"w{i} " * (i % 3 + 1) for i in range(400)]
+    df = spark.createDataFrame([(None, t, "x") for t in texts] + [(None, None, "x")] * 2, "doc_id long, text string, source string")
+    laid, _, _ = mixing.mix(df, ["text"])
+    at = {r.text: r.start for r in laid.collect()}
+    order = sorted(texts, key=at.get)
+    assert order != sorted(texts) and [at[t] for t in order] == [sum(len(u.split()) for u in order[:i]) for i in range(400)]
+    rows = mixing.taken(df).collect()
+    assert len(rows) == 402 and sum(r.taken for r in rows) == int(rows[0].target + 0.5)
+    again = {r.text: r.start for r in mixing.mix(df.orderBy("text"), ["text"])[0].collect()}
+    assert again == at
