@@ -11,7 +11,6 @@ MIN_WORDS words to a group of its own, which keeps its earliest occurrence.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, WordHashes, lots, materialise, mixed, rolled, spans, text_batches
+from .shared import LOT_CODES, OTHER, CodeWords, lots, materialise, mixed, rolled, spans, text_batches
 
-LINE = re.compile(r"\r\n?|\n")
 MIN_WORDS, UNIT = 50, 30
 SPREAD = MIN_WORDS - UNIT + 1
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -36,33 +34,45 @@ def run_hashes(s: np.ndarray, unit: int = UNIT, spread: int = SPREAD) -> np.ndar
     return out
 
 
-def selected(h: np.ndarray, unit: int = UNIT, spread: int = SPREAD) -> tuple[np.ndarray, ...]:
-    """Of the units of a text, given its words' hashes: digest, first word and end of the runs that select it, and a hash of these runs."""
-    if len(h) < unit + spread - 1:
+def least(s: np.ndarray, spread: int) -> np.ndarray:
+    """Place of the least of each `spread` neighbours in s, the last of equal ones."""
+    at, width = np.arange(len(s)), 1
+    while width < spread:
+        step = min(width, spread - width)
+        at = np.where(s[:-step] < s[step:], at[:-step], at[step:])
+        s = np.minimum(s[:-step], s[step:])
+        width += step
+    return at
+
+
+def selected(h: np.ndarray, first: np.ndarray, unit: int = UNIT, spread: int = SPREAD) -> tuple[np.ndarray, ...]:
+    """Of the units of texts, given their words' hashes and the number of each one's first word (and of all): digest, first word and end of the runs that select it, and a hash of these runs."""
+    begins = spans(np.maximum(np.diff(first) - (unit + spread - 2), 0), first[:-1])
+    if not len(begins):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     s = rolled(h, unit)
-    view = np.lib.stride_tricks.sliding_window_view(s, spread)
-    chosen = np.arange(len(view)) + spread - 1 - np.argmin(view[:, ::-1], axis=1)
+    chosen = least(s, spread)[begins]
     lo = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])  # runs that follow each other and choose the same
-    at, n = chosen[lo], np.diff(np.r_[lo, len(chosen)])
+    n = np.diff(np.r_[lo, len(chosen)])
+    at, lo = chosen[lo], begins[lo]
     r = run_hashes(s, unit, spread)
     return s[at], lo, lo + n + unit + spread - 2, mixed(r[lo] * GOLD + r[lo + n - 1])
 
 
-def cut(text: str) -> tuple[list[str], np.ndarray]:
-    """Words of a text, and first word and end of its lines and paragraphs (lines between blank ones) that have words."""
-    words: list[str] = []
-    found, begin = set(), 0
-    for line in LINE.split(text):
-        n = len(words)
-        words += WORD.findall(line)
-        if len(words) > n:
-            found.add((n, len(words)))
-        elif not line.strip():
-            found.add((begin, n))
-            begin = n
-    found.add((begin, len(words)))
-    return words, np.array(sorted(x for x in found if x[0] < x[1]), np.int64).reshape(-1, 2)
+def line_ranges(words: CodeWords) -> np.ndarray:
+    """First word and end of the lines and paragraphs (lines between blank ones) that have words, each range once."""
+    feed, back = words.codes == ord("\n"), words.codes == ord("\r")
+    back[:-1] &= ~feed[1:]
+    stop = np.flatnonzero(feed | back)
+    end = np.searchsorted(words.start, stop)
+    marks = np.searchsorted(np.flatnonzero(words.kind == OTHER), stop)
+    begin = np.r_[0, end[:-1]]
+    closing = (begin == end) & (marks == np.r_[0, marks[:-1]])
+    closing[np.searchsorted(stop, words.base[1:] - 1)] = True  # the last line of each text
+    close = end[closing]
+    begin, end = np.r_[begin, 0, close[:-1]], np.r_[end, close]
+    found = np.unique((begin[begin < end] << 32) + end[begin < end])
+    return np.stack([found >> 32, found & 0xFFFFFFFF], axis=1)
 
 
 def whole_digests(h: np.ndarray, ranges: np.ndarray) -> np.ndarray:
@@ -86,18 +96,16 @@ def units(docs: DataFrame, unit: int = UNIT, spread: int = SPREAD) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in lots(texts):
-                found = []
-                for t in texts[a:b]:
-                    words, ranges = cut(t or "")
-                    h = hashes.of(words)
-                    whole = (whole_digests(h, ranges), ranges[:, 0], ranges[:, 1], np.zeros(len(ranges), np.uint64))
-                    found.append([np.concatenate(x) for x in zip(selected(h, unit, spread), whole)])
-                row = pa.array(np.repeat(np.arange(a, b), [len(x[0]) for x in found]))
-                digest, word, past, context = (np.concatenate(x) for x in zip(*found))
+            texts = [t or "" for t in batch.column(2).to_pylist()]
+            for a, b in lots(texts, LOT_CODES):
+                words = CodeWords(texts[a:b])
+                ranges = line_ranges(words)
+                whole = (whole_digests(words.hash, ranges), ranges[:, 0], ranges[:, 1], np.zeros(len(ranges), np.uint64))
+                digest, word, past, context = (np.concatenate(x) for x in zip(selected(words.hash, words.first, unit, spread), whole))
+                text = words.text_of(word)
+                word, past = word - words.first[text], past - words.first[text]
+                row = pa.array(a + text)
                 values = [pa.array(x) for x in (word.astype(np.int32), past.astype(np.int32), digest.view(np.int64), context.view(np.int64))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *values], ["doc_id", "text_key", "word", "past", "digest", "context"])
 
@@ -111,29 +119,30 @@ def _placed(texts: DataFrame, min_words: int, unit: int) -> DataFrame:
     names = ["doc_id", "text_key", "word", "first", "last", "line", "first_doc_id", "digest", "context", "run"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            at = batch.column(2)
+            at, texts = batch.column(2), batch.column(3).to_pylist()
             flat, ends = at.flatten(), at.offsets.to_numpy() - at.offsets[0].as_py()
-            word, past = (flat.field(x).to_numpy() for x in ("word", "past"))
+            word, past = (flat.field(x).to_numpy().astype(np.int64) for x in ("word", "past"))
             whole = flat.field("whole").to_numpy(zero_copy_only=False)
-            for i, text in enumerate(batch.column(3).to_pylist()):
-                mine = np.arange(ends[i], ends[i + 1])
-                found = list(WORD.finditer(text))
-                start, end = (np.fromiter((f(m) for m in found), np.int32, len(found)) for f in (lambda m: m.start(), lambda m: m.end()))
-                full, part = mine[whole[mine]], mine[~whole[mine]]
-                n = past[part] - word[part] - min_words + 1
-                begins = spans(n.astype(np.int64), word[part].astype(np.int64))
-                runs = np.zeros(0, np.uint64)
-                if len(part):
-                    runs = run_hashes(rolled(hashes.of([m.group() for m in found]), unit), unit, min_words - unit + 1)[begins]
-                of = np.r_[full, np.repeat(part, n)]
-                row, take = pa.array(np.full(len(of), i)), pa.array(of)
-                none = np.arange(len(of)) < len(full)
-                values = [np.r_[word[full], begins], np.r_[start[word[full]], start[begins]], np.r_[end[past[full] - 1], end[begins + min_words - 1]]]
+            for a, b in lots(texts, LOT_CODES):
+                words = CodeWords(texts[a:b])
+                text = np.repeat(np.arange(b - a), np.diff(ends[a : b + 1]))  # of each unit
+                mine = np.arange(ends[a], ends[b])
+                first, base = words.first[text], words.base[text]
+                w, p, full = word[mine] + first, past[mine] + first, whole[mine]
+                n = np.where(full, 1, p - w - min_words + 1)
+                of = np.repeat(np.arange(len(mine)), n)
+                begins = spans(n, w)
+                none = full[of]
+                lasts = np.where(none, p[of], begins + min_words) - 1
+                runs = np.zeros(len(of), np.uint64)
+                if not full.all():
+                    runs[~none] = run_hashes(rolled(words.hash, unit), unit, min_words - unit + 1)[begins[~none]]
+                row, take = pa.array(a + text[of]), pa.array(mine[of])
+                values = [begins - first[of], words.start[begins] - base[of], words.end[lasts] - base[of]]
                 values = [pa.array(x.astype(np.int32)) for x in values]
                 keys = [flat.field(x).take(take) for x in ("line", "first_doc_id", "digest", "context")]
-                hashed = pa.array(np.r_[np.zeros(len(full), np.uint64), runs].view(np.int64), mask=none)
+                hashed = pa.array(runs.view(np.int64), mask=none)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *values, *keys, hashed], names)
 
     return texts.select("doc_id", "text_key", "at", "text").mapInArrow(run, f"doc_id {kind}, text_key bigint, word int, first int, last int, line boolean, first_doc_id {kind}, digest bigint, context bigint, run bigint")

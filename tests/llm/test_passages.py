@@ -1,7 +1,13 @@
+import random
+import re
+import time
+
 import numpy as np
+import pyarrow as pa
+import xxhash
 
 from panelkit.llm import passages
-from panelkit.llm.shared import WORD
+from panelkit.llm.shared import WORD, CodeWords
 
 rng = np.random.default_rng(2)
 
@@ -113,3 +119,55 @@ def test_query_finds_every_repeated_line(spark):
             at += len(line) + 1
     rows = {r.doc_id: r.lines for r in passages.op4_passages(spark, sf).collect()}
     assert len(want) > 100 and all(any(x["first"] <= a and b <= x["last"] for x in rows[d]) for d, v in want.items() for a, b in v)
+
+
+def test_words_of_code_points():
+    r = random.Random(4)
+    parts = ["Σ", "ΑΣ", "ας", "ασ", "ΟΔΟΣ", "οδος", "İΣ", "İx", "ix", "K", "k", "ß", "汉字", "é", "e\u0301", "𐐀", "𐐨", "🙂", "x_y", "٣", "'", ", ", " ", " ", "\n", "\r", "\r\n", "\n\n", "\n \t\n", "\r\r", "\x85", "\x1c", "\u2028", "\n--\n"]
+    texts = ["", "\r", "\n", *("".join(r.choices(parts, k=r.randrange(60))) for _ in range(400)), "", "end"]
+    for most in (7, 400_000):
+        words = CodeWords(texts, most)
+        hashes, spelt = {}, {}
+        ranges = passages.line_ranges(words)
+        owner = words.text_of(ranges[:, 0])
+        for i, t in enumerate(texts):
+            a, b = words.first[i : i + 2]
+            found = list(WORD.finditer(t))
+            assert [m.span() for m in found] == [(x - words.base[i], y - words.base[i]) for x, y in zip(words.start[a:b], words.end[a:b])]
+            for m, h in zip(found, words.hash[a:b].tolist()):  # equal hashes for equal lower cases, and for no others
+                assert hashes.setdefault(m.group().lower(), h) == h and spelt.setdefault(h, m.group().lower()) == m.group().lower()
+            want, n, begin = set(), 0, 0
+            for line in re.split(r"\r\n?|\n", t):
+                k = len(WORD.findall(line))
+                if k:
+                    want.add((n, n + k))
+                elif not line.strip():
+                    want.add((begin, n))
+                    begin = n
+                n += k
+            want = sorted(x for x in {*want, (begin, n)} if x[0] < x[1])
+            assert [tuple(x) for x in (ranges[owner == i] - a).tolist()] == want
+
+
+def test_units_cost_less_than_words_as_strings(spark):
+    r = random.Random(1)
+    names = [f"{r.choice(['Mot', 'wörter', 'palabra'])}{i}" for i in range(30_000)]
+    texts = [" ".join(r.choices(names, k=300)) for _ in range(1_000)]
+    taken = {}
+
+    class Rows:  # catches the function that runs in the tasks
+        sparkSession, schema = spark, spark.createDataFrame([], "doc_id long, text string").schema
+        select = lambda self, *c: self
+
+        def mapInArrow(self, run, schema):
+            taken["run"] = run
+
+    passages.units(Rows())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1_000)), pa.array(range(1_000)), pa.array(texts)], ["doc_id", "text_key", "text"])
+    list(taken["run"](iter([batch])))
+    t = time.process_time()
+    assert sum(x.num_rows for x in taken["run"](iter([batch]))) > 1_000
+    here, t = time.process_time() - t, time.process_time()
+    for text in texts:
+        [xxhash.xxh3_64_intdigest(w.lower()) for w in WORD.findall(text)]
+    assert here < time.process_time() - t
