@@ -178,7 +178,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, unit: int = UNIT) -> Da
     # Where the runs around a unit differ, each run of min_words words has its own earliest occurrence.
     runs = placed.filter("run is not null")
     runs = runs.join(materialise(runs.groupBy("digest", "run").agg(F.min(rank).alias("kept")), "passage-runs"), ["digest", "run"])
-    keepers = runs.groupBy("digest", "context").agg(F.collect_set(F.struct("kept.doc_id")).alias("ids"))
+    keepers = materialise(runs.groupBy("digest", "context").agg(F.collect_set(F.struct("kept.doc_id")).alias("ids")), "passage-keepers")
     out = ["doc_id", "text_key", "first", "last", "line"]
     alone = placed.filter("run is null and digest is null").select(*out, "first_doc_id")
     again = runs.filter(rank != F.col("kept")).select(*out, F.col("kept.doc_id").alias("first_doc_id"))

@@ -171,3 +171,9 @@ def test_units_cost_less_than_words_as_strings(spark):
     for text in texts:
         [xxhash.xxh3_64_intdigest(w.lower()) for w in WORD.findall(text)]
     assert here < time.process_time() - t
+
+
+def test_joins_have_no_sums_beside_them(spark):
+    df = spark.createDataFrame([(1, "a b\nc"), (2, "a b")], "doc_id long, text string")
+    plan = passages.repeats(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "Aggregate" not in plan  # so that Spark can split the rows of a digest that very many have
