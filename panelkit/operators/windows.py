@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -113,7 +115,9 @@ def state_features(daily: DataFrame, mondays: DataFrame, specs: dict[str, tuple[
         total = F.sum(F.col(c) * held)
         out.append((total if h == "sum" else total / F.sum(held) if h == "mean" else how[h](F.when(held.isNotNull(), F.col(c)))).alias(name))
     out += [F.max_by(c, F.when(days(c, 1) > 0, F.col(day))).alias(name) for name, c in levels.items()]
-    return d.groupBy(key, "monday").agg(*out)
+    # A long fill may reach a window that only the shorter ones are asked for: such a row tells nothing.
+    used = reduce(lambda a, b: a | b, (days(c, n) > 0 for c, n in {(c, n) for c, _, n in specs.values()} | {(c, 1) for c in levels.values()}))
+    return d.filter(used).groupBy(key, "monday").agg(*out)
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:

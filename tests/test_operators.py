@@ -381,3 +381,12 @@ def test_upsert_of_equal_rows_is_repeatable(spark):
     new = spark.createDataFrame([(1, "a", 2.0), (1, "b", 1.0), (1, "b", None)], "k int, v string, w double")
     for n in (1, 3):
         assert tuple(io.upsert_latest(new.limit(0), new.repartition(n), ["k"]).first()) == (1, "b", 1.0)
+
+
+def test_no_state_where_only_a_longer_fill_reaches_the_window(spark):
+    days = [("a", DAY(1998, 1, 1), 1.0, 2.0), ("b", DAY(1998, 1, 30), 1.0, None)]
+    specs = {"a_7": ("a", "sum", 7), "a_28": ("a", "sum", 28)}
+    monday = spark.createDataFrame([(DAY(1998, 2, 2),)], "monday date")
+    state = windows.state_features(spark.createDataFrame(days, "Grid_ID string, Date date, a double, v double"), monday, specs, {"a": 3, "v": 16}, {"level": "v"})
+    # Of "a" the long fill ends on 17 January, in reach of a window of 28 days, but v is asked for on the last day alone.
+    assert [tuple(r) for r in state.collect()] == [("b", DAY(1998, 2, 2), 3.0, 3.0, None)]
