@@ -390,3 +390,17 @@ def test_no_state_where_only_a_longer_fill_reaches_the_window(spark):
     state = windows.state_features(spark.createDataFrame(days, "Grid_ID string, Date date, a double, v double"), monday, specs, {"a": 3, "v": 16}, {"level": "v"})
     # Of "a" the long fill ends on 17 January, in reach of a window of 28 days, but v is asked for on the last day alone.
     assert [tuple(r) for r in state.collect()] == [("b", DAY(1998, 2, 2), 3.0, 3.0, None)]
+
+
+def test_daily_sums_do_not_depend_on_how_tasks_are_cut(spark, tmp_path):
+    from panelkit.plans import _tables
+
+    values = [0.1, 0.2, 0.3]
+    assert (values[0] + values[1]) + values[2] != values[0] + (values[1] + values[2])
+    rows = [(i, dt.datetime(2024, 1, 1, i), 1, "view", x) for i, x in enumerate(values)] + [(9, dt.datetime(2024, 1, 2), 1, "view", None)]
+    for part in (rows[2:], rows[1:2], rows[:1]), (rows[1:], rows[:1]):
+        sf = str(tmp_path / str(len(part)))
+        for p in part:
+            spark.createDataFrame(p, "event_id long, ts timestamp, user_id long, event_type string, value double").coalesce(1).write.mode("append").parquet(f"{sf}/events.parquet")
+        got = {r.Date.day: r.prcp for r in _tables.daily(spark, sf).collect()}
+        assert got == {1: (values[0] + values[1]) + values[2], 2: None}
