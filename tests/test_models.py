@@ -124,3 +124,59 @@ def test_out_of_period_surface_is_of_the_predicted_year(spark, sf):
 def test_climate_features_keep_no_twins(spark, table):
     d = table.withColumn("twin", F.col("a") * 2 + 0.001 * F.col("b")).withColumn("pct_forest", F.col("b")).withColumn("evi_level", F.col("b")).withColumn("flat", F.lit(3.0))
     assert op.climate_features(d, ["a", "twin", "pct_forest", "evi_level", "b", "flat"]) == ["a", "b", "flat"]
+
+
+def binned(table):
+    return op.Bins(table, NAMES, 4).put(table)
+
+
+def test_bins_follow_quantiles_and_leave_nulls(spark):
+    d = spark.createDataFrame([(i, float(i % 100), float(i % 3), None if i % 2 else float("nan")) for i in range(1000)], "id int, many double, few double, none double")
+    rows = op.Bins(d, ["many", "few", "none"]).put(d).collect()
+    assert all(r.none is None for r in rows)
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.many, set()).add(r.id % 100)
+    # Of 32 bins none is empty, and the values of each are neighbours.
+    assert len(bins) == 32 and all(max(x) - min(x) == len(x) - 1 <= 4 for x in bins.values())
+    assert len({(r.few, r.id % 3) for r in rows}) == 3
+
+
+def test_collapsed_rows_give_what_the_rows_give(table):
+    d = binned(table)
+    small = op.collapsed(table, NAMES, ["spatial_block"], op.Bins(table, NAMES, 4))
+    assert small.count() < 400 and small.agg(F.sum(op.ROWS)).first()[0] == 1200
+    for calibrate in (False, True):
+        rows = {(r.spatial_block, r.a, r.b, r.noise): r.p for r in op.pooled_oof(d, NAMES, boost, "spatial_block", ["spatial_block", *NAMES], calibrate).collect()}
+        got = op.pooled_oof(small, NAMES, boost, "spatial_block", ["spatial_block", *NAMES, op.ROWS], calibrate)
+        found = {(r.spatial_block, r.a, r.b, r.noise): r.p for r in got.collect()}
+        assert found.keys() == rows.keys() and all(p == pytest.approx(rows[k]) for k, p in found.items())
+        one, other = v.score(got, "presence", "p", weight=op.ROWS).first(), v.score(op.pooled_oof(d, NAMES, boost, "spatial_block", KEYS, calibrate), "presence", "p").first()
+        assert one.asDict() == pytest.approx(other.asDict())
+
+
+def test_rows_that_are_fitted_do_not_grow_with_the_table(table):
+    """Five of every row: as many rows are fitted, and they count five times."""
+    many, seen = table.withColumn("_k", F.explode(F.array(*map(F.lit, range(5))))).drop("_k"), []
+
+    class Counted:
+        def fit(self, d):
+            seen.append(d.count())
+            return boost().fit(d)
+
+    bins = op.Bins(table, NAMES, 4)
+    scores = [op.seed_scores(x, NAMES, {"boosted": Counted}, [42], KEYS, ("spatial",), k=3, bins=bins).first() for x in (table, many)]
+    assert sorted(seen[: len(seen) // 2]) == sorted(seen[len(seen) // 2 :]) and scores[1].n == 5 * scores[0].n == 6000
+    assert scores[1].brier == pytest.approx(scores[0].brier) and scores[1].block_cells_max == scores[0].block_cells_max
+    grid = op.calibration_table(op.collapsed(many, NAMES, ["spatial_block"], bins), NAMES, {"boosted": boost}, {"spatial": "spatial_block"}).collect()
+    assert [(r.calibrated, r.n) for r in sorted(grid, key=lambda r: r.calibrated)] == [(False, 6000.0), (True, 6000.0)]
+
+
+def test_deployment_fit_on_bins(table):
+    """The model takes values, not bins, and puts them into the bins that it was fitted on."""
+    bins = op.Bins(table, NAMES, 4)
+    fitted, plain = op.fit_calibrated(table, NAMES, boost, KEYS, bins=bins), op.fit_calibrated(binned(table), NAMES, boost, KEYS)
+    got = {(r.Grid_ID, r.iso_year, r.iso_week): r for r in fitted.predict(table.select(*KEYS, *NAMES)).collect()}
+    want = {(r.Grid_ID, r.iso_year, r.iso_week): r.p for r in plain.predict(binned(table)).collect()}
+    assert got.keys() == want.keys() and all(r.p == pytest.approx(want[k]) for k, r in got.items())
+    assert {r.a for r in got.values()} == {r.a for r in table.collect()}
